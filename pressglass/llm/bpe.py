@@ -3,9 +3,10 @@
 Encoding.  For a prefix of a word, BPE's last token is the one vocabulary token ending there that can stand next
 to the last token of the shorter prefix (two tokens can stand side by side when BPE leaves their concatenation
 as these two).  Reading byte by byte, the unread future can only start its next token at a boundary from which the
-bytes read so far are a proper prefix of a longer token; every such boundary is one item of a set, with the tokens
-that lead to it.  Such sets are the transducer's states.  They are built when first met (determinisation), and what
-all items of a set agree on is emitted: the delay is bounded by the longest token.
+bytes read so far are a proper prefix of a longer token; every such boundary is one item of a set: the token that ends
+there, and the bytes since.  Such sets are the transducer's states, built when first met (determinisation).  Its
+output at a byte is the token that ends there if one does; which of these count is sure after a lookahead bounded by
+the longest token, when the chains of tokens to all boundaries of the state agree.
 
 Decoding.  UTF-8's state machine over bytes, lifted to tokens: most tokens begin and end between characters,
 so runs of these are copied at once, and the machine walks through the others only.
@@ -16,15 +17,15 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressglass.llm.common import bounded_batches
-from pressglass.llm.pretokens import WordIds, pretokens, unsettled, words_of
+from pressglass.llm.pretokens import WordIds, split_words
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,17 +35,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 #: Above every rank.
 NEVER = 1 << 40
+#: Bytes of a word between two looks at which tokens are sure.
+LOOKAHEAD = 1024
 
 
 class Transducer:
     """A vocabulary's tokens must each be what BPE makes of their own bytes, as trained vocabularies are.  States
     and edges appear as words ask for them; beyond max_states the tables start afresh."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}  # a trie of the tokens: node << 8 | byte -> node; 0 is its root
-        self.token_at, self.inner = [-1], [True]
+        self.token_at, self.inner, self.depth = [-1], [True], [0]
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -52,6 +56,7 @@ class Transducer:
                     to = self.child[node << 8 | byte] = len(self.token_at)
                     self.token_at.append(-1)
                     self.inner.append(False)
+                    self.depth.append(self.depth[node] + 1)
                     self.inner[node] = True
                 node = to
             self.token_at[node] = rank
@@ -60,11 +65,10 @@ class Transducer:
         self._start_afresh()
 
     def _start_afresh(self) -> None:
-        # An item: the ids up to a boundary (the first is already emitted, or -1 at the start), the bytes since as a node.
-        self.states = [(((-1,), 0),)]
+        # An item: the token that ends at a boundary (-1 at the word's start), and the bytes read since as a node.
+        self.states = [((-1, 0),)]
         self.number = {self.states[0]: 0}
-        self.edges: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: list[tuple[int, ...]] = [()]
+        self.edges: dict[int, tuple[int, int]] = {}
 
     def merge(self, word: bytes, until: int = 1) -> list[bytes]:
         """BPE by definition: joins the adjacent pair of lowest rank until none (or so many parts) is left."""
@@ -110,38 +114,42 @@ class Transducer:
                 j -= 1
         return True
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The edge for a byte: the state behind it and the ids emitted on it."""
-        items, done, child, beside = [], None, self.child, self.beside
-        for path, node in self.states[state]:
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """The edge for a byte: the state behind it, and the token that ends there if a token does."""
+        items, done, child, token_at, inner = [], -1, self.child, self.token_at, self.inner
+        for last, node in self.states[state]:
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            token = self.token_at[node]
-            if done is None and token >= 0:
-                left = path[-1]
-                ok = left < 0 or beside.get(left << 32 | token)
-                if ok is None:
-                    ok = beside[left << 32 | token] = self.fits(self.tokens[left], self.tokens[token])
-                if ok:
-                    done = (*path, token)
-            if self.inner[node]:
-                items.append((path, node))
-        agreed = len(done)
-        for path, _ in items:
-            n = 1
-            while n < len(path) and n < agreed and path[n] == done[n]:
-                n += 1
-            agreed = n if n < agreed else agreed
+            token = token_at[node]
+            if done < 0 <= token:
+                if last < 0:
+                    done = token
+                else:
+                    ok = self.beside.get(last << 32 | token)
+                    if ok is None:
+                        ok = self.beside[last << 32 | token] = self.fits(self.tokens[last], self.tokens[token])
+                    if ok:
+                        done = token
+            if inner[node]:
+                items.append((last, node))
         items.append((done, 0))
-        key = tuple([(path[agreed - 1 :], node) for path, node in items])
-        if (to := self.number.get(key)) is None:
-            to = self.number[key] = len(self.states)
+        key = tuple(items)
+        to = self.number.setdefault(key, len(self.states))
+        if to == len(self.states):
             self.states.append(key)
-            self.ends.append(key[-1][0][1:])
-        edge = self.edges[state << 8 | byte] = (to, done[1:agreed])
+        edge = self.edges[state << 8 | byte] = (to, done)
         return edge
 
+    def _chain(self, ends: list[int], at: int) -> list[int]:
+        """The tokens up to a boundary, the last one first."""
+        out, size = [], self.size
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= size[token]
+        return out
+
     def encode(self, word: bytes) -> tuple[int, ...]:
         """The ids of one pre-token; a word of the vocabulary is its own token, as in public encoders."""
         if (rank := self.ranks.get(word)) is not None:
@@ -150,13 +158,32 @@ class Transducer:
             self._start_afresh()
         if len(self.beside) > 4 * self.max_states:
             self.beside.clear()
-        edges, at, out = self.edges, 0, ()
+        if len(word) > LOOKAHEAD:
+            return tuple(self.stream(word))
+        edges, at, ends = self.edges, 0, []
         for byte in word:
-            edge = edges.get(at << 8 | byte) or self.step(at, byte)
-            at = edge[0]
-            if edge[1]:
-                out += edge[1]
-        return out + self.ends[at]
+            at, token = edges.get(at << 8 | byte) or self.step(at, byte)
+            ends.append(token)
+        return tuple(self._chain(ends, len(ends))[::-1])
+
+    def stream(self, data: Iterable[int]) -> Iterator[int]:
+        """Tokens of a word of any length, bytes by bytes: LOOKAHEAD bytes are held at most, and those of one token.
+
+        A token is sure once the chains of tokens to all boundaries of the state go through its end.
+        """
+        at, ends = 0, []
+        for byte in data:
+            at, token = self.edges.get(at << 8 | byte) or self.step(at, byte)
+            ends.append(token)
+            if len(ends) >= LOOKAHEAD:
+                chains = [self._chain(ends, len(ends) - self.depth[node])[::-1] for _, node in self.states[at]]
+                agreed = 0
+                while all(len(c) > agreed and c[agreed] == chains[0][agreed] for c in chains):
+                    agreed += 1
+                yield from chains[0][:agreed]
+                # Boundaries inside what is left count from the last sure one.
+                del ends[: sum(self.size[t] for t in chains[0][:agreed])]
+        yield from self._chain(ends, len(ends))[::-1]
 
     def encode_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
         return [self.encode(w) for w in words]
@@ -247,7 +274,7 @@ def _joined(tokens: pa.Array, ids: np.ndarray) -> bytes:
 def _tables(path: str) -> tuple[Transducer, WordIds, pa.Array, pa.Array]:
     """Per worker, built once: the transducer, its memo, each id's bytes and its decimal digits behind a space."""
     if path not in _TABLES:
-        gc.set_threshold(1_000_000)  # these tables have no cycles; the collector would walk them again and again
+        gc.disable()  # these tables have no cycles; the collector would walk them again and again
         transducer = Transducer(ranks := read_ranks(path))
         tokens = [b""] * (1 + max(ranks.values()))
         for token, rank in ranks.items():
@@ -274,13 +301,7 @@ def _digest(pieces) -> str:
     return h.hexdigest()
 
 
-def _prepared(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    bounded_batches(docs.sparkSession)
-    text = F.coalesce(text, F.lit(""))
-    return docs.select(*keep, pretokens(text).alias("words"), unsettled(text).alias("raw"))
-
-
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes every text and decodes the ids again; one row per row: id, n_tokens, ids_sha256, decoded_sha256,
     with with_ids also the ids and the decoded text.
 
@@ -293,7 +314,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         _, memo, tokens, digits = _tables(ranks_path)
         decoder = StreamDecoder(tokens)
         for batch in batches:
-            words, rows = words_of(batch, pattern)
+            words, rows = split_words(batch.column(1).to_pylist())
             ids, ends = memo.ids(words)
             rows = ends[rows]
             n = np.diff(rows)
@@ -306,4 +327,5 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 more = [[_digest(_decoded(decoder, x)) for x in own]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip([n, coded, *more], [pa.int64(), pa.string(), pa.string(), None, pa.string()], strict=False))], names=[f.split()[0] for f in fields.split(", ")])
 
-    return _prepared(docs, F.col(text_col), [id_col]).mapInArrow(each, fields)
+    bounded_batches(docs.sparkSession)
+    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(each, fields)

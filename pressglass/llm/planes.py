@@ -8,7 +8,6 @@ The high planes of ids below 65,536 are all zero and cost next to nothing, and n
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressglass.llm.common import bounded_batches, shared_folder, stored
-from pressglass.llm.pretokens import WordIds, pretokens, unsettled, words_of
+from pressglass.llm.pretokens import WordIds, split_words
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -130,7 +129,22 @@ class PlaneReader:
             yield doc, pieces
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, folder: str, kind: str = "bytes", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_encoder(tokenizer_path: str):
+    """A function from pre-tokens to their ids by the tokenizers library's model; the tokenizer must be byte-level BPE."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    split = tokenizer.pre_tokenizer
+    if tokenizer.normalizer is not None or not isinstance(split, pre_tokenizers.ByteLevel) or split.add_prefix_space:
+        raise ValueError("a byte-level tokenizer without normalisation or prefix is needed")
+    # The library's spelling of bytes: visible Latin-1 characters stand for themselves, the others count up from 256.
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    spelt = {b: b for b in own} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+    tokenize = tokenizer.model.tokenize
+    return lambda words: [tuple([t.id for t in tokenize(w.decode("latin-1").translate(spelt))]) for w in words]
+
+
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, kind: str = "bytes", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes texts with the tokenizers library and writes one file for each range of ids, in ascending order of ids.
 
     Returns one row per file, itself stored in the shared folder: file_no, path, n_docs, n_ids.  Files left by lost
@@ -140,16 +154,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, f
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).repartitionByRange("id").sortWithinPartitions("id")
-    ready = ordered.select("id", pretokens(F.col("text")).alias("words"), unsettled(F.col("text")).alias("raw"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if tokenizer_path not in _MEMOS:
-            tokenizer = Tokenizer.from_file(tokenizer_path)
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-            _MEMOS[tokenizer_path] = WordIds(lambda words: [tuple(e.ids) for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
+            _MEMOS[tokenizer_path] = WordIds(word_encoder(tokenizer_path))
         memo, writer, n_docs = _MEMOS[tokenizer_path], None, 0
         number = TaskContext.get().partitionId()
         where, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -158,7 +166,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, f
             if writer is None:
                 where.create_dir(base, recursive=True)
                 writer = PlaneWriter(where.open_output_stream(path), kind)
-            words, rows = words_of(batch, pattern)
+            words, rows = split_words(batch.column("text").to_pylist())
             ids, ends = memo.ids(words)
             ends = ends[rows]
             ids = np.insert(ids, ends[1:], np.uint32(end_id))
@@ -169,7 +177,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, f
             writer.out.close()
             yield pa.RecordBatch.from_pydict({"file_no": [number], "path": [path], "n_docs": [n_docs], "n_ids": [writer.n]})
 
-    return stored(ready.mapInArrow(each, "file_no long, path string, n_docs long, n_ids long"), "id-files")
+    return stored(ordered.mapInArrow(each, "file_no long, path string, n_docs long, n_ids long"), "id-files")
 
 
 _MEMOS: dict[str, WordIds] = {}
@@ -207,6 +215,6 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
     return listed.mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, kind: str = "bytes") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "bytes") -> DataFrame:
     folder = shared_folder(docs.sparkSession, "id-planes")
-    return read_ids(write_ids(docs, tokenizer_path, pattern, end_id, folder, kind), folder)
+    return read_ids(write_ids(docs, tokenizer_path, end_id, folder, kind), folder)

@@ -1,44 +1,75 @@
-"""Byte-level BPE pre-tokens: the JVM finds them, Arrow workers see each distinct one once per batch."""
+"""Byte-level BPE pre-tokens of a batch of texts, found for all its characters at once."""
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-#: The public pre-token pattern in Java's spelling: \s is Unicode white space there, as in the tokenizer libraries.
-_S = r"\p{IsWhite_Space}"
-JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|{_S}+(?!\P{{IsWhite_Space}})|{_S}+"
-#: Texts with other characters are left to the tokenizers' own Unicode tables, which may be newer than the JVM's.
-_SETTLED = r"\u0000-ɏͰ-ͷ΄-ϿЀ-ԯ -⁯₠-₵←-⯿&&[^͸-΃΋΍΢⁲⁳⭴-⯿]"
-UNSETTLED = rf"[^{_SETTLED}]"
+OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
-def pretokens(text: Column) -> Column:
-    """array<string> of the pattern's matches; null where the text has unsettled characters."""
-    return F.when(~text.rlike(UNSETTLED), F.regexp_extract_all(text, F.lit(JAVA_PATTERN), F.lit(0)))
-
+@cache
+def _classes() -> np.ndarray:
+    """Each code point's class."""
+    import regex
 
-def unsettled(text: Column) -> Column:
-    """The text where pretokens() is null."""
-    return F.when(text.rlike(UNSETTLED), text)
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(0x110000))
+    out = np.full(len(every), OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
 
 
-def words_of(batch: pa.RecordBatch, pattern: str) -> tuple[pa.Array, np.ndarray]:
-    """All pre-tokens of a batch as one binary array, and where each row's begin and end (n + 1 offsets)."""
-    import regex
+def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The matches of public_tokenizers.PATTERN in each text: all as one binary array, and n + 1 offsets of the texts in it.
 
-    words, raw = batch.column("words"), batch.column("raw")
-    if raw.null_count == len(raw):
-        flat, offsets = words.flatten(), np.append(0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))
+    Runs of letters, of numbers and of other characters are words, each with the one space before it; white space
+    before a word leaves its last character out; an apostrophe by itself takes s, t, m, d, re, ve or ll from the letters behind it.
+    """
+    joined = "".join(texts)
+    data = joined.encode("utf-8", "replace")
+    code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+    n = len(code)
+    rows = np.cumsum([0, *map(len, texts)])
+    if not n:
+        return pa.array([], pa.binary()), np.zeros(len(texts) + 1, np.int64)
+    kind = _classes()[code]
+    first = np.zeros(n + 1, bool)  # a text begins
+    first[rows] = True
+    edge = first.copy()  # a run of one class begins
+    edge[1:n] |= kind[1:] != kind[:-1]
+    space = kind == SPACE
+    before_word = np.zeros(n, bool)  # white space with a word right behind it in its text
+    before_word[:-1] = space[:-1] & ~space[1:] & ~first[1:n]
+    start = edge[:n].copy()
+    start |= before_word
+    blank = code == 32
+    start[1:] &= ~(before_word[:-1] & blank[:-1])
+    mark = np.flatnonzero((code == 39) & start & edge[1:])
+    mark = mark[mark + 1 < n]
+    mark = mark[(kind[mark + 1] == LETTER) & ~first[mark + 1]]
+    if len(mark):
+        a = code[mark + 1]
+        two = np.where(mark + 2 < n, code[np.minimum(mark + 2, n - 1)], 0) * ~first[mark + 2]
+        one_letter = np.isin(a, [ord(c) for c in "stmd"])
+        two_letters = ((a == ord("r")) | (a == ord("v"))) & (two == ord("e")) | (a == ord("l")) & (two == ord("l"))
+        for at, length in ((mark[one_letter], 2), (mark[two_letters & ~one_letter], 3)):
+            start[at + 1] = False
+            start[(at + length)[at + length < n]] = True
+    at = np.flatnonzero(start)
+    if len(data) == n:
+        offsets = np.append(at, n)
     else:
-        find = regex.compile(pattern).findall
-        rows = [w if r is None else find(r) for w, r in zip(words.to_pylist(), raw.to_pylist(), strict=True)]
-        flat, offsets = pa.array([x for r in rows for x in r], pa.string()), np.cumsum([0, *map(len, rows)])
-    return flat.cast(pa.binary()), offsets.astype(np.int64)
+        size = 1 + (code >= 0x80).astype(np.int32) + (code >= 0x800) + (code >= 0x10000)
+        places = np.cumsum(size) - size
+        offsets = np.append(places[at], len(data))
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    return words, np.searchsorted(at, rows)
 
 
 class WordIds:
@@ -47,11 +78,15 @@ class WordIds:
     At LIMIT words the memo starts afresh, so a worker's memory doesn't grow with the corpus.
     """
 
-    LIMIT = 250_000
+    LIMIT = 500_000
 
     def __init__(self, encode: Callable[[list[bytes]], list[tuple[int, ...]]]):
         self.encode, self.known = encode, {}
 
+    @staticmethod
+    def _packed(ids: tuple[int, ...]) -> bytes:
+        return struct.pack(f"={len(ids)}I", *ids)
+
     def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and the number of ids before each word (n + 1 offsets)."""
         coded = words.dictionary_encode()
@@ -60,10 +95,10 @@ class WordIds:
         if len(known) > self.LIMIT:
             known.clear()
         new = [w for w in distinct if w not in known]
-        known.update(zip(new, self.encode(new), strict=True))
+        known.update(zip(new, map(self._packed, self.encode(new)), strict=True))
         each = [known[w] for w in distinct]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for ids in each for i in ids), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), np.uint32)
         begins = np.append(0, np.cumsum(sizes))
         at = coded.indices.to_numpy()
         n = sizes[at]

@@ -17,18 +17,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
+    return bpe.encode_decode(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op5_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planes.round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), _pattern(), end_id=2)
+    return planes.round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
 def op6_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
