@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressglass.llm import bpe, naming, pii, planes, sharding, warc, winnow
+from pressglass.llm import bpe, crf, naming, pii, planes, sharding, warc, winnow
 from pressglass.llm.common import documents
 
 
@@ -17,6 +17,21 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(id_col):
+    """Rows that the quality classifier never learns from."""
+    return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
+
+
+def quality_field(spark: SparkSession, sf_dir: str) -> crf.LineField:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return crf.train(documents(spark, sf_dir), labels.where(~held_out(F.col("doc_id"))))
+
+
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crf.score(documents(spark, sf_dir), quality_field(spark, sf_dir))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines")
+
+
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -70,7 +85,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii)}
+    return {f.__name__: f for f in (op1_line_crf, op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
