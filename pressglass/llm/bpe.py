@@ -301,14 +301,14 @@ def _digest(pieces) -> str:
     return h.hexdigest()
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Encodes every text and decodes the ids again; one row per row: id, n_tokens, ids_sha256, decoded_sha256,
-    with with_ids also the ids and the decoded text.
+    and if wanted the ids and the decoded text.
 
     Null and empty texts have no ids (the digests are those of no bytes); repeated rows each give a row; other
     columns are ignored.  Every id is made and checked in the task that reads the row: nothing is shuffled.
     """
-    fields = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    fields = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, memo, tokens, digits = _tables(ranks_path)
@@ -320,12 +320,17 @@ def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text
             n = np.diff(rows)
             own = [ids[a:b] for a, b in zip(rows, rows[1:], strict=False)]
             coded = [hashlib.sha256(_joined(digits, x)[1:]).hexdigest() for x in own]
-            if with_ids:
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string())]
+            if with_text:
                 texts = [b"".join(_decoded(decoder, x)) for x in own]
-                more = [[hashlib.sha256(x).hexdigest() for x in texts], pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32())), [x.decode() for x in texts]]
+                columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()))
             else:
-                more = [[_digest(_decoded(decoder, x)) for x in own]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip([n, coded, *more], [pa.int64(), pa.string(), pa.string(), None, pa.string()], strict=False))], names=[f.split()[0] for f in fields.split(", ")])
+                columns.append(pa.array([_digest(_decoded(decoder, x)) for x in own], pa.string()))
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids.astype(np.int32))))
+            if with_text:
+                columns.append(pa.array([x.decode() for x in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields.split(", ")])
 
     bounded_batches(docs.sparkSession)
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(each, fields)

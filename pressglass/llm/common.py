@@ -38,6 +38,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """docs with a number for each row that is the same in every later job of the session.
+
+    docs must be read from files.  The way in which files are cut into tasks depends on the number of cores unless
+    it is pinned, so it is pinned here: executors that come or go between two jobs change no number.
+    """
+    spark = docs.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressglass.llm.common import bounded_batches, stored
+from pressglass.llm.common import bounded_batches, numbered, stored
 
 WHITE = b" \t\n\v\f\r"
 #: Bytes of normalised text in a block.
@@ -58,7 +58,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the most code points stays, then the smallest id (null ids last), then the first of repeated rows.
     """
     bounded_batches(docs.sparkSession)
-    read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    read = numbered(docs, "_rid").select(F.col("_rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = read.mapInArrow(_blocks, f"rid long, doc_id {kind}, n_chars long, digest binary, n_blocks long, block_no long, block binary")
     own = ["rid", "doc_id", "n_chars", "digest", "n_blocks"]
@@ -81,7 +81,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups() keeps, all their columns."""
-    docs = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
-    groups = exact_groups(docs.select(F.struct("_rid", id_col).alias("id_"), text_col), "id_", text_col)
-    return docs.join(groups.where("kept").select(F.col("id_._rid").alias("_rid")), "_rid", "left_semi").drop("_rid")
+    """The rows of docs (read from files) that exact_groups() keeps, all their columns."""
+    rows = numbered(docs, "_rid")
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("rid").alias("_rid"))
+    return rows.join(gone, "_rid", "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressglass.llm import bpe, crf, naming, pii, planes, sharding, warc, winnow
+from pressglass.llm import bpe, crf, jaccard, naming, pii, planes, sharding, warc, winnow
 from pressglass.llm.common import documents
 
 
@@ -84,8 +84,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
 
+def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_crf, op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii)}
+    return {f.__name__: f for f in (op1_line_crf, op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii, op10_jaccard_regions)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,45 +58,62 @@ def benchmark_windows(benchmark: DataFrame, span: int, id_col: str = "item_id",
     return runs.withColumn("fingerprint", prints)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit (words inside any occurring window), n_items, item_ids (sorted
-    as strings), contaminated.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """id, text_hash (tells rows with the same id apart), text; and the same with words (w) instead."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return base, base.select("id", "text_hash", words(F.col("text")).alias("w"))
 
-    Null and empty texts have no words.  Repeated rows each give their row; rows that share an id are told apart
-    by their text.  An empty benchmark hits nothing.  Other columns of either table are ignored.
-    """
+
+def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_hash, n_hit, item_ids of the documents with a hit, once for repeated rows."""
+    base, split = _rows(docs, id_col, text_col)
     windows = stored(benchmark_windows(benchmark, span), "windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # span of them at most
     prints = windows.select("size", "fingerprint").distinct()
     if prints.count() <= BROADCAST_ROWS:
         prints = F.broadcast(prints)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    split = base.select("id", "text_hash", words(F.col("text")).alias("w"))
     found = None
     for size in sizes:
         runs = F.array_distinct(fingerprints(F.col("w"), size))
         own = split.select("id", "text_hash", F.lit(size).alias("size"), F.explode(runs).alias("fingerprint"))
         own = own.join(prints, ["size", "fingerprint"], "left_semi")
         found = own if found is None else found.unionByName(own)
-    counts = split.select("id", "text_hash", F.size("w").alias("n_words"))
     if found is None:
-        hits = counts.limit(0).select("id", "text_hash", F.lit(0).alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
-    else:
-        # Extension: documents with a hit are read again, and their runs with these fingerprints are compared word by word.
-        found = stored(found.groupBy("id", "text_hash").agg(F.collect_set("fingerprint").alias("prints")), "hits")
-        again = base.alias("b").join(found.alias("f"), F.col("b.id").eqNullSafe(F.col("f.id")) & (F.col("b.text_hash") == F.col("f.text_hash"))).select("b.id", "b.text_hash", "prints", words(F.col("text")).alias("w")).dropDuplicates(["id", "text_hash"])
-        runs = None
-        for size in sizes:
-            at = F.transform(fingerprints(F.col("w"), size), lambda h, i: F.when(F.array_contains("prints", h), F.struct(i.alias("at"), F.slice("w", i + 1, size).alias("window"))))
-            own = again.select("id", "text_hash", F.lit(size).alias("size"), F.inline(F.filter(at, lambda x: x.isNotNull())))
-            runs = own if runs is None else runs.unionByName(own)
-        by_window = windows.select("size", "window").distinct()
-        shared = stored(runs.join(by_window, ["size", "window"], "left_semi"), "shared")
-        hit = shared.select("id", "text_hash", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("word")).groupBy("id", "text_hash").agg(F.count_distinct("word").alias("n_hit"))
-        by_item = shared.select("id", "text_hash", "size", "window").distinct().join(windows, ["size", "window"]).select("id", "text_hash", F.col("item_id").cast("string").alias("item_id"))
-        by_item = by_item.distinct().groupBy("id", "text_hash").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
-        hits = hit.alias("h").join(by_item.alias("i"), F.col("h.id").eqNullSafe(F.col("i.id")) & (F.col("h.text_hash") == F.col("i.text_hash"))).select("h.id", "h.text_hash", "n_hit", "item_ids")
-    out = counts.alias("c").join(hits.alias("h"), F.col("c.id").eqNullSafe(F.col("h.id")) & (F.col("c.text_hash") == F.col("h.text_hash")), "left")
+        return base.where("false").select("id", "text_hash", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
+    # Extension: documents with a hit are read again, and their runs with these fingerprints are compared word by word.
+    found = stored(found.groupBy("id", "text_hash").agg(F.collect_set("fingerprint").alias("prints")), "hits")
+    again = base.alias("b").join(found.alias("f"), F.col("b.id").eqNullSafe(F.col("f.id")) & (F.col("b.text_hash") == F.col("f.text_hash"))).select("b.id", "b.text_hash", "prints", words(F.col("text")).alias("w")).dropDuplicates(["id", "text_hash"])
+    runs = None
+    for size in sizes:
+        at = F.transform(fingerprints(F.col("w"), size), lambda h, i: F.when(F.array_contains("prints", h), F.struct(i.alias("at"), F.slice("w", i + 1, size).alias("window"))))
+        own = again.select("id", "text_hash", F.lit(size).alias("size"), F.inline(F.filter(at, lambda x: x.isNotNull())))
+        runs = own if runs is None else runs.unionByName(own)
+    by_window = windows.select("size", "window").distinct()
+    shared = stored(runs.join(by_window, ["size", "window"], "left_semi"), "shared")
+    hit = shared.select("id", "text_hash", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("word")).groupBy("id", "text_hash").agg(F.count_distinct("word").alias("n_hit"))
+    by_item = shared.select("id", "text_hash", "size", "window").distinct().join(windows, ["size", "window"]).select("id", "text_hash", F.col("item_id").cast("string").alias("item_id"))
+    by_item = by_item.distinct().groupBy("id", "text_hash").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    return hit.alias("h").join(by_item.alias("i"), F.col("h.id").eqNullSafe(F.col("i.id")) & (F.col("h.text_hash") == F.col("i.text_hash"))).select("h.id", "h.text_hash", "n_hit", "item_ids")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_words, n_hit (words inside any occurring window), n_items, item_ids (sorted
+    as strings), contaminated.
+
+    Null and empty texts have no words.  Repeated rows each give their row; rows that share an id are told apart
+    by their text.  An empty benchmark hits nothing.  Other columns of either table are ignored.
+    """
+    _, split = _rows(docs, id_col, text_col)
+    counts = split.select("id", "text_hash", F.size("w").alias("n_words"))
+    found = hits(docs, benchmark, span, id_col, text_col)
+    out = counts.alias("c").join(found.alias("h"), F.col("c.id").eqNullSafe(F.col("h.id")) & (F.col("c.text_hash") == F.col("h.text_hash")), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select(F.col("c.id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"), (n_hit > 0).alias("contaminated"), "c.text_hash")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without a hit, all their columns."""
+    found = hits(docs, benchmark, span, id_col, text_col).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
+    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(found, docs[id_col].eqNullSafe(found["_id"]) & (own == found["_hash"]), "left_anti")

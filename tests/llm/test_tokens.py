@@ -43,7 +43,7 @@ def test_encode_decode(spark):
     own = rows_of(spark)
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in [*own, own[0], (None, "null id")]], "doc_id long, text string, words string, raw string")
     enc = reference()
-    got = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True).collect()
+    got = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True, with_text=True).collect()
     assert len(got) == len(own) + 2
     texts = dict(own) | {None: "null id"}
     for r in got:
