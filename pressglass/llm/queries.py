@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressglass.llm import bpe, crf, jaccard, naming, pii, planes, sharding, warc, winnow
+from pressglass.llm import bpe, chaining, crf, jaccard, naming, pii, planes, sharding, warc, winnow
 from pressglass.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines")
 
 
+def op2_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(documents(spark, sf_dir))
+
+
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -89,7 +93,7 @@ def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_crf, op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii, op10_jaccard_regions)}
+    return {f.__name__: f for f in (op1_line_crf, op2_collinear_chains, op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii, op10_jaccard_regions)}
 
 
 def oracle_sql() -> dict[str, str]:
