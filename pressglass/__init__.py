@@ -1,0 +1 @@
+"""Keyword-watchlist analytics over articles, print pages, transcripts and tickers, as Spark DataFrame operators."""
