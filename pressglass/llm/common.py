@@ -30,11 +30,20 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: the lineage ends there."""
+    """Writes df as Parquet into the shared folder and reads it back: the lineage ends there.
+
+    The job's shuffle files are of no use once the table is there, so they are removed when it ends.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, what)
     schema = df.schema
-    df.write.parquet(path)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -197,12 +197,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
 
     plain = texts.mapInArrow(unpack, "rid long, text string")
     regions = _regions(plain, _frequent(plain, k), k, percent)
-    # Regions with two members or more, and their pivots: the members of the smallest hashes.
+    # Regions with two members or more: all that is shuffled of the others is a seat and a number.
+    seats = regions.groupBy("seat").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low != high").select("seat", F.col("seat").alias("twin"))
+    met = stored(regions.withColumn("twin", F.col("seat")).join(seats, ["seat", "twin"]).drop("twin"), "met")
+    # Their pivots: the members of the smallest hashes.
     for i in range(PIVOTS):
-        regions = regions.withColumn(f"h{i}", F.xxhash64("rid", F.lit(i)))
-    seats = regions.groupBy("seat").agg(F.count("*").alias("members"), *[F.min(f"h{i}").alias(f"m{i}") for i in range(PIVOTS)]).where("members > 1")
+        met = met.withColumn(f"h{i}", F.xxhash64("rid", F.lit(i)))
+    lows = met.groupBy("seat").agg(*[F.min(f"h{i}").alias(f"m{i}") for i in range(PIVOTS)]).withColumn("twin", F.col("seat"))
     least = [F.col(f"h{i}") == F.col(f"m{i}") for i in range(PIVOTS)]
-    crowd = regions.withColumn("twin", F.col("seat")).join(seats.withColumn("twin", F.col("seat")), ["seat", "twin"])
+    crowd = met.withColumn("twin", F.col("seat")).join(lows, ["seat", "twin"])
     crowd = stored(crowd.select("seat", "rid", "n", "at", least[0].alias("is_first"), reduce(lambda x, y: x | y, least).alias("is_pivot")), "regions")
     p, b = crowd.where("is_pivot").alias("p"), crowd.alias("b")
     # A pair of pivots is met once.

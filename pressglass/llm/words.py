@@ -46,7 +46,7 @@ def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.nd
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     rows = np.searchsorted(start, begins)
     out = np.empty(len(start), np.uint64)
-    step = 1 << 22  # bytes at a time; a longer word is done by itself
+    step = 1 << 18  # bytes at a time; a longer word is done by itself
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + step, "right")))
