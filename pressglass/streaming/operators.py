@@ -12,19 +12,38 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pressglass.functions import text as T
 from pressglass.operators.match import keyword_fingerprint
 from pressglass.operators.merge import merge_mentions
+from pressglass.sizes import small
 
 CATCH_UP = "4 days"
 
 
-def stream_matches(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, keyword, language as documents come: static watchlist, every match once (append)."""
-    kw = keywords.select(F.col("text").alias("keyword"), "language", T.keyword_pattern(T.normalize_text(F.col("text"), F.col("language"))).alias("pattern")).where("pattern is not null").dropDuplicates(["keyword", "language"])
-    longest = F.aggregate(T.word_tokens(T.normalize_text(F.col("keyword"), F.col("language"))), F.lit(""), lambda b, w: F.when(F.length(w) > F.length(b), w).otherwise(b))
-    kw = kw.withColumn("word", longest)
-    forms = docs.select(F.col(id_col), T.normalize_text(F.col(text_col), "en").alias("en"), T.normalize_text(F.col(text_col), "ur").alias("ur"))
-    words = forms.select("*", F.explode(F.array_distinct(F.concat(T.word_tokens(F.col("en")), T.word_tokens(F.col("ur"))))).alias("word"))
-    form = F.when(F.col("language") == "ur", F.col("ur")).otherwise(F.col("en"))
-    return words.join(kw, "word").where(F.rlike(form, F.col("pattern"))).select(id_col, "keyword", "language")
+def stream_matches(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000) -> DataFrame:
+    """id, keyword, language as documents come: static watchlist, every match once (append).
+
+    Single words meet the stream's distinct words in a join with the static watchlist, without the texts.  Phrases, of
+    which there may be `most`, are part of the plan: a text is looked at for them where one pattern of all says so.
+    """
+    normal = T.normalize_text(F.col("text"), F.col("language"))
+    kw = keywords.select(F.col("text").alias("keyword"), "language", normal.alias("normal"), T.keyword_pattern(normal).alias("pattern"), T.word_tokens(normal).alias("tokens")).where("pattern is not null").dropDuplicates(["keyword", "language"])
+    single = (F.size("tokens") == 1) & (F.get("tokens", F.lit(0)) == F.col("normal"))
+    phrases = kw.where(~single).select("keyword", "language", "pattern").limit(most + 1).collect()
+    if len(phrases) > most:
+        raise ValueError(f"more than {most} phrases")
+    words = kw.where(single).select("keyword", "language", F.col("normal").alias("word"))
+    languages = [r[0] for r in kw.select("language").distinct().collect()]
+    out = None
+    for language in languages:
+        form = docs.select(F.col(id_col), T.normalize_text(F.col(text_col), language).alias("form"))
+        parts = [form.select(id_col, F.explode(F.array_distinct(T.word_tokens(F.col("form")))).alias("word")).join(small(words.where(F.col("language") == language)), "word").select(id_col, "keyword", "language")]
+        own = [p for p in phrases if p.language == language]
+        if own:
+            any_of = "|".join(p.pattern for p in own)
+            each = F.array(*[F.when(F.col("form").rlike(p.pattern), p.keyword) for p in own])
+            found = form.where(F.col("form").rlike(any_of)).select(id_col, F.explode(F.filter(each, lambda k: k.isNotNull())).alias("keyword"))
+            parts.append(found.select(id_col, "keyword", F.lit(language).alias("language")))
+        for p in parts:
+            out = p if out is None else out.unionByName(p)
+    return out
 
 
 def stream_ticker_events(stream: DataFrame, gap_seconds: int = 20, by: tuple[str, ...] = ("stream_id", "keyword"), time: str = "ts", late: str = CATCH_UP) -> DataFrame:
