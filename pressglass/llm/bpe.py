@@ -43,7 +43,7 @@ class Transducer:
     """A vocabulary's tokens must each be what BPE makes of their own bytes, as trained vocabularies are.  States
     and edges appear as words ask for them; beyond max_states the tables start afresh."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}  # a trie of the tokens: node << 8 | byte -> node; 0 is its root
@@ -156,7 +156,7 @@ class Transducer:
             return (rank,)
         if len(self.states) > self.max_states:
             self._start_afresh()
-        if len(self.beside) > 4 * self.max_states:
+        if len(self.beside) > 3 * self.max_states:
             self.beside.clear()
         if len(word) > LOOKAHEAD:
             return tuple(self.stream(word))

@@ -154,7 +154,7 @@ class LineField:
             weight, _ = _padded(size[places] + 1, at)
             out[some] = (p * weight).sum(1) / weight.sum(1)
             i = j
-        return out, n
+        return np.round(out, 12), n
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> LineField:

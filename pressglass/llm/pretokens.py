@@ -78,7 +78,7 @@ class WordIds:
     At LIMIT words the memo starts afresh, so a worker's memory doesn't grow with the corpus.
     """
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self, encode: Callable[[list[bytes]], list[tuple[int, ...]]]):
         self.encode, self.known = encode, {}
