@@ -73,9 +73,9 @@ def minimax_cuts(groups: DataFrame, n: int, directory: int = DIRECTORY) -> tuple
     total, largest = groups.agg(F.max("upto"), F.max("size")).first()
     if not total:
         return 0, [0] * n
-    known, windows = {total: False}, [(0, total)]
+    known, windows, run = {total: False}, [(0, total)], 4 * total
     while True:
-        run = max(1, 2 * sum(b - a for a, b in windows) // directory)
+        run = max(1, min(run // 4, 2 * sum(b - a for a, b in windows) // directory))  # shorter each time
         inside = F.lit(False)
         for a, b in windows:
             inside |= (F.col("upto") > a) & (F.col("upto") <= b)

@@ -119,7 +119,7 @@ def test_minimax_shards(spark, docs, rows):
     for d, t in rows:
         groups.setdefault(t or "", []).append((d is None, d or 0))
     ordered = [size(t) * len(g) for t, g in sorted(groups.items(), key=lambda x: min(x[1]))]
-    best = next(c for c in range(max(ordered), sum(ordered) + 1) if fits(ordered, c, n))
+    best = smallest(ordered, n)
     loads = [sum(r.size for r in got if r.shard == s) for s in range(n)]
     assert max(loads) == best
     by_text = {}
@@ -137,6 +137,14 @@ def fits(sizes, capacity, n):
     return shards <= n
 
 
+def smallest(sizes, n):
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(sizes, mid, n) else (mid + 1, high)
+    return low
+
+
 @pytest.mark.parametrize("directory", [40, 200, 100_000])
 def test_capacity_search_in_rounds(spark, directory):
     rng = random.Random(6)
@@ -145,11 +153,7 @@ def test_capacity_search_in_rounds(spark, directory):
         upto = [sum(sizes[: i + 1]) for i in range(len(sizes))]
         groups = spark.createDataFrame(list(zip(sizes, upto, strict=True)), "size long, upto long").cache()
         capacity, cuts = sharding.minimax_cuts(groups, n, directory)
-        low, high = max(sizes), sum(sizes)
-        while low < high:
-            mid = (low + high) // 2
-            low, high = (low, mid) if fits(sizes, mid, n) else (mid + 1, high)
-        assert capacity == low
+        assert capacity == smallest(sizes, n)
         edges = [*cuts, sum(sizes)]
         assert all(b - a <= capacity for a, b in zip(edges, edges[1:], strict=False)) and all(c in (0, *upto) for c in cuts)
 
