@@ -24,6 +24,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,10 @@ from pressglass.llm.common import bounded_batches, numbered, stored
 from pressglass.llm.words import gram_hashes, word_hashes
 
 #: Members of a region that all its others are compared with.
-PIVOTS = 3
-#: Cells of the table that says which shingles are frequent: its size is fixed (4 bytes each).
-CELLS = 1 << 20
+PIVOTS = 2
+#: Cells of the table that says which shingles are frequent: its size is fixed (4 bytes each). It travels in slices.
+CELL_BITS = 22
+CELLS, SLICES = 1 << CELL_BITS, 64
 
 
 def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
@@ -65,25 +67,44 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(each, f"rid long, id {docs.schema['id'].dataType.simpleString()}, n_shingles long, digest binary")
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts (slice, counts) of equal slices added up; one slice of counts per slice is held."""
+    sums: dict[int, np.ndarray] = {}
+    unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts = np.frombuffer(unpack(body), np.int64)
+            sums[part] = sums[part] + counts if part in sums else counts
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(c.tobytes()) for c in sums.values()], pa.binary())], names=["part", "body"])
+
+
 def _frequent(texts: DataFrame, k: int) -> np.ndarray:
-    """Per cell of the hash space, how often its shingles occur beyond what chance puts there, over all texts.
+    """How often the shingles of each cell of the hash space occur in all texts: CELLS counts, whatever the input.
 
-    Only an order of shingles hangs on it: any order gives the same links.  At most CELLS rows come to the driver.
+    Only an order of shingles hangs on it (rare ones first): any order gives the same links.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        counts, salt = np.zeros(CELLS, np.int64), TaskContext.get().partitionId() % 32
         for batch in batches:
-            for s in shingle_sets(batch.column("text").to_pylist(), k):
-                np.add.at(counts, (s >> np.uint64(44)).astype(np.int64) % CELLS, 1)
-        usual = counts.mean()
-        over = np.flatnonzero(counts > usual + 4 * np.sqrt(usual + 1) + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(over, pa.int64()), pa.array((counts[over] - usual).astype(np.int64))], names=["cell", "extra"])
+            sets = shingle_sets(batch.column("text").to_pylist(), k)
+            if sets:
+                np.add.at(counts, _cells(np.concatenate(sets)), 1)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        bodies = [pack(x.tobytes()) for x in np.split(counts, SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(bodies, pa.binary()), pa.array([salt] * SLICES, pa.int32())], names=["part", "body", "salt"])
+
+    parts = texts.mapInArrow(each, "part int, body binary, salt int").repartition("part", "salt").select("part", "body")
+    sums = parts.mapInArrow(_summed, "part int, body binary").repartition("part").mapInArrow(_summed, "part int, body binary")
+    out = np.zeros((SLICES, CELLS // SLICES), np.int64)
+    for r in sums.toLocalIterator():
+        out[r.part] += np.frombuffer(zstandard.ZstdDecompressor().decompress(r.body), np.int64)
+    return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
+
 
-    out = np.zeros(CELLS, np.int64)
-    for r in texts.mapInArrow(each, "cell long, extra long").groupBy("cell").agg(F.sum("extra").alias("extra")).toLocalIterator():
-        out[r.cell] = r.extra
-    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def _regions(texts: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -95,7 +116,7 @@ def _regions(texts: DataFrame, order: np.ndarray, k: int, percent: int) -> DataF
             seats, sizes, counts = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), k):
                 n = len(s) - -(-percent * len(s) // 100) + 1
-                heavy = shared.value[(s >> np.uint64(44)).astype(np.int64) % CELLS]
+                heavy = shared.value[_cells(s)]
                 first = np.lexsort((s, heavy))[:n]
                 seats.append(s[first])
                 sizes.append(len(s))
