@@ -157,7 +157,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, ki
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _MEMOS:
-            _MEMOS[tokenizer_path] = WordIds(word_encoder(tokenizer_path))
+            _MEMOS[tokenizer_path] = WordIds(word_encoder(tokenizer_path), 500_000)
         memo, writer, n_docs = _MEMOS[tokenizer_path], None, 0
         number = TaskContext.get().partitionId()
         where, base = pyarrow.fs.FileSystem.from_uri(folder)

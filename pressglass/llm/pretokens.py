@@ -75,13 +75,11 @@ def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
 class WordIds:
     """Word -> token ids with a bounded memo; encode() gets the words that the memo lacks.
 
-    At LIMIT words the memo starts afresh, so a worker's memory doesn't grow with the corpus.
+    At `limit` words the memo starts afresh, so a worker's memory doesn't grow with the corpus.
     """
 
-    LIMIT = 300_000
-
-    def __init__(self, encode: Callable[[list[bytes]], list[tuple[int, ...]]]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[bytes]], list[tuple[int, ...]]], limit: int = 300_000):
+        self.encode, self.limit, self.known = encode, limit, {}
 
     @staticmethod
     def _packed(ids: tuple[int, ...]) -> bytes:
@@ -92,7 +90,7 @@ class WordIds:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         known = self.known
-        if len(known) > self.LIMIT:
+        if len(known) > self.limit:
             known.clear()
         new = [w for w in distinct if w not in known]
         known.update(zip(new, map(self._packed, self.encode(new)), strict=True))
