@@ -272,18 +272,18 @@ def _joined(tokens: pa.Array, ids: np.ndarray) -> bytes:
 
 
 def _tables(path: str) -> tuple[Transducer, WordIds, pa.Array, pa.Array]:
-    """Per worker, built once: the transducer, its memo, each id's bytes and its decimal digits behind a space."""
-    if path not in _TABLES:
-        gc.disable()  # these tables have no cycles; the collector would walk them again and again
-        transducer = Transducer(ranks := read_ranks(path))
-        tokens = [b""] * (1 + max(ranks.values()))
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        _TABLES[path] = transducer, WordIds(transducer.encode_all), pa.array(tokens, pa.binary()), pa.array([b" %d" % i for i in range(len(tokens))], pa.binary())
-    return _TABLES[path]
+    """The transducer, its memo, each id's bytes and its decimal digits behind a space.
+
+    Built for each task: workers outlive tasks, and what they kept would stay in memory while they do other work.
+    """
+    gc.disable()  # these tables have no cycles; the collector would walk them again and again
+    transducer = Transducer(ranks := read_ranks(path))
+    tokens = [b""] * (1 + max(ranks.values()))
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return transducer, WordIds(transducer.encode_all), pa.array(tokens, pa.binary()), pa.array([b" %d" % i for i in range(len(tokens))], pa.binary())
 
 
-_TABLES: dict[str, tuple[Transducer, WordIds, pa.Array, pa.Array]] = {}
 #: Ids decoded at a time.
 PIECE = 65_536
 
@@ -331,6 +331,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text
             if with_text:
                 columns.append(pa.array([x.decode() for x in texts], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields.split(", ")])
+        gc.enable()
 
     bounded_batches(docs.sparkSession)
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(each, fields)
