@@ -155,7 +155,7 @@ def image_map_regions(pages: DataFrame, id_col: str = "page_id", scan: tuple[str
     Coordinates are those of the mapped image if its size is given (both over 100), else of the scan (columns of width
     and height) if they fit it within 2 %, else of their own extents.  Slivers and whole pages go, and repeated links.
     """
-    size = F.get(F.filter(F.transform(F.filter(_attributes(F.col("html"), "img"), lambda i: F.lower(i).contains("usemap")), lambda i: F.struct(F.try_to_number(_attribute(i, "width"), F.lit("999999")).cast("double").alias("w"), F.try_to_number(_attribute(i, "height"), F.lit("999999")).cast("double").alias("h"))), lambda s: (s["w"] > 100) & (s["h"] > 100)), F.lit(0))
+    size = F.get(F.filter(F.transform(F.filter(_attributes(F.col("html"), "img"), lambda i: F.lower(i).contains("usemap")), lambda i: F.named_struct(F.lit("w"), _attribute(i, "width").try_cast("double"), F.lit("h"), _attribute(i, "height").try_cast("double"))), lambda s: (s["w"] > 100) & (s["h"] > 100)), F.lit(0))
     base = pages.select(id_col, size.alias("img"), *([F.col(scan[0]).cast("double").alias("sw"), F.col(scan[1]).cast("double").alias("sh")] if scan else [F.lit(None).cast("double").alias("sw"), F.lit(None).cast("double").alias("sh")]), F.posexplode(_attributes(F.col("html"), "area")).alias("pos", "area"))
     numbers = F.transform(F.regexp_extract_all(F.coalesce(_attribute(F.col("area"), "coords"), F.lit("")), F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
     rows = base.select("*", _attribute(F.col("area"), "href").alias("link"), F.explode(F.array(numbers)).alias("xy")).where("size(xy) >= 4 and link is not null")
