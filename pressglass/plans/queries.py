@@ -175,13 +175,13 @@ def _excerpt_hit(k):
 
 
 @query(f"""
-WITH o AS (SELECT * FROM documents WHERE doc_id % 2 = 0), n AS (SELECT * FROM documents WHERE doc_id % 3 = 0)
-SELECT doc_id::VARCHAR AS external_id, 'the' AS labels FROM o WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id::VARCHAR, 'and' FROM n WHERE doc_id % 2 <> 0
-UNION ALL SELECT doc_id::VARCHAR, CASE WHEN {_excerpt_hit('and')} AND {_excerpt_hit('the')} THEN 'and|the' WHEN {_excerpt_hit('and')} THEN 'and' ELSE 'the' END FROM o WHERE doc_id % 3 = 0 AND ({_excerpt_hit('and')} OR {_excerpt_hit('the')})
+WITH o AS (SELECT * FROM documents WHERE lang IN ('en', 'de')), n AS (SELECT * FROM documents WHERE lang <> 'en')
+SELECT doc_id::VARCHAR AS external_id, 'the' AS labels FROM o WHERE lang = 'en' UNION ALL SELECT doc_id::VARCHAR, 'and' FROM n WHERE lang <> 'de'
+UNION ALL SELECT doc_id::VARCHAR, CASE WHEN {_excerpt_hit('and')} AND {_excerpt_hit('the')} THEN 'and|the' WHEN {_excerpt_hit('and')} THEN 'and' ELSE 'the' END FROM o WHERE lang = 'de' AND ({_excerpt_hit('and')} OR {_excerpt_hit('the')})
 """)
 def merge_mentions(spark, sf_dir):
-    # Two overlapping halves of the table are the two versions that are merged.
-    merged, _ = merge.merge_mentions(mentions_of(spark, sf_dir, "the", "doc_id % 2 = 0"), mentions_of(spark, sf_dir, "and", "doc_id % 3 = 0"))
+    # English and German documents are stored, German and other ones come: German ones meet.
+    merged, _ = merge.merge_mentions(mentions_of(spark, sf_dir, "the", "lang in ('en', 'de')"), mentions_of(spark, sf_dir, "and", "lang <> 'en'"))
     return merged.select("external_id", F.array_join("matched_keywords", "|").alias("labels"))
 
 
@@ -191,13 +191,13 @@ def prune_hits(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT doc_id, coalesce(text, '') AS body FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS body FROM documents WHERE doc_id % 3 = 0)
+WITH o AS (SELECT doc_id, coalesce(text, '') AS body FROM documents WHERE lang IN ('en', 'de')), n AS (SELECT doc_id, CASE WHEN n_chars < 1000 THEN '' ELSE lang END AS body FROM documents WHERE lang <> 'en')
 SELECT coalesce(o.doc_id, n.doc_id)::VARCHAR AS external_id, md5(coalesce(nullif(n.body, ''), o.body, '')) AS body_md5, n.doc_id IS NOT NULL AS fetched FROM o FULL JOIN n ON o.doc_id = n.doc_id
 """)
 def upsert_cache(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.lit("newspaper").alias("module"), F.col("doc_id").cast("string").alias("external_id"), F.lit("t").alias("title"), F.coalesce("text", F.lit("")).alias("body"), "doc_id", "lang", F.lit(None).cast("timestamp").alias("fetched_at"))
-    new = docs.where("doc_id % 3 = 0").withColumn("body", F.expr("if(doc_id % 5 = 0, '', lang)"))
-    out = merge.upsert_cache(docs.where("doc_id % 2 = 0"), new, F.expr(NOW))
+    docs = table(spark, sf_dir, "documents").select(F.lit("newspaper").alias("module"), F.col("doc_id").cast("string").alias("external_id"), F.lit("t").alias("title"), F.coalesce("text", F.lit("")).alias("body"), "lang", "n_chars", F.lit(None).cast("timestamp").alias("fetched_at"))
+    new = docs.where("lang <> 'en'").withColumn("body", F.expr("if(n_chars < 1000, '', lang)"))
+    out = merge.upsert_cache(docs.where("lang in ('en', 'de')"), new, F.expr(NOW))
     return out.select("external_id", F.md5(F.coalesce("body", F.lit("")).cast("binary")).alias("body_md5"), F.col("fetched_at").isNotNull().alias("fetched"))
 
 
@@ -298,13 +298,13 @@ def event_mentions(spark, sf_dir):
 
 
 @query(f"""
-WITH e AS (SELECT event_id AS id, CASE WHEN user_id % 3 = 0 THEN 'epaper' ELSE 'newspaper' END AS module, event_type, ts FROM events),
+WITH e AS (SELECT event_id AS id, CASE WHEN user_id % 3 = 0 THEN 'epaper' ELSE 'newspaper' END AS module, event_type, ts, value FROM events),
 k AS (SELECT id FROM e WHERE ts >= {NOW} - INTERVAL 90 DAY QUALIFY row_number() OVER (PARTITION BY module, event_type ORDER BY ts DESC, id) <= 25)
-SELECT '/m/' || id AS path FROM e WHERE id NOT IN (SELECT id FROM k) AND id % 7 <> 0
+SELECT '/m/' || id AS path FROM e WHERE id NOT IN (SELECT id FROM k) AND event_type <> 'click'
 """)
 def orphan_media(spark, sf_dir):
     before = event_mentions(spark, sf_dir)
-    used = before.where("id % 7 = 0").select(F.col("screenshot_path").alias("image_path"))
+    used = before.where("matched_keywords[0] = 'click'").select(F.col("screenshot_path").alias("image_path"))
     return policy.orphan_media(before, policy.enforce_limits(before, F.expr(NOW)), used)
 
 
@@ -320,14 +320,14 @@ def published_between(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT event_id, user_id, event_type FROM events), x AS (SELECT DISTINCT user_id, event_type FROM e WHERE event_id % 50 = 0),
+WITH e AS (SELECT event_id, user_id, event_type, value FROM events), x AS (SELECT DISTINCT user_id, event_type FROM e WHERE value > 150),
 f AS (SELECT * FROM e WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM x) QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1)
 SELECT user_id::VARCHAR AS external_id, event_type AS keyword, event_id AS pos FROM f QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id, user_id::VARCHAR) + 10 <= 25
 """)
 def admit_new(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(F.lit("m").alias("module"), F.col("user_id").cast("string").alias("external_id"), F.col("event_type").alias("keyword"), F.col("event_id").alias("pos"))
+    events = table(spark, sf_dir, "events").select(F.lit("m").alias("module"), F.col("user_id").cast("string").alias("external_id"), F.col("event_type").alias("keyword"), F.col("event_id").alias("pos"), "value")
     counts = events.select("keyword").distinct().withColumn("n", F.lit(10))
-    return policy.admit_new(events, events.where("pos % 50 = 0"), counts).drop("module")
+    return policy.admit_new(events, events.where("value > 150"), counts).drop("module")
 
 
 SNAP = """
