@@ -132,14 +132,16 @@ def _regions(texts: DataFrame, order: np.ndarray, k: int, percent: int) -> DataF
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: a, b, n_a, n_b, at_a, at_b, one for each shared region -> the pairs that may be linked.
+    """rows: a, b, n_a, n_b, at_a, at_b, for some of the shared regions -> the pairs that may be linked.
 
-    With c shared seats, the last at places i and j, at most c + min(n_a - i, n_b - j) - 1 shingles are shared.
+    Shared shingles before a seat at places i and j are among the first i and j of both sets, those from it on among the
+    last n_a - i and n_b - j: at most min(i, j) + min(n_a - i, n_b - j) are shared.  This holds by each seat alone, whichever
+    others of the pair are in rows.
     """
     rows = rows.where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
-    most = F.col("c") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) - 1
-    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("at_a").alias("i"), F.max("at_b").alias("j"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    return pairs.where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
+    most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    rows = rows.where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+    return rows.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, packed: DataFrame, k: int) -> DataFrame:

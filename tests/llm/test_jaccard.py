@@ -68,6 +68,19 @@ def test_edges_and_dense_groups(spark, tmp_path):
     check(spark, rows, tmp_path)
 
 
+def test_sparse_groups_near_the_threshold(spark, tmp_path):
+    rng = random.Random(17)
+    rows = []
+    for g in range(250):  # the members' seats have different members, so different pivots
+        base = [f"g{g}w{i}" for i in range(rng.randint(40, 160))]
+        for m in range(rng.randint(3, 8)):
+            t = list(base)
+            for _ in range(max(1, len(t) // rng.choice((60, 80, 100)))):
+                t[rng.randrange(len(t))] = f"g{rng.randrange(250)}w{rng.randrange(160)}"
+            rows.append((10 * g + m, " ".join(t)))
+    check(spark, rows, tmp_path)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none")
     assert jaccard.near_duplicates(spark.read.parquet(f"{tmp_path}/none")).count() == 0
