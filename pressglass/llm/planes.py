@@ -12,6 +12,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -144,9 +146,22 @@ def word_encoder(tokenizer_path: str):
     return lambda words: [tuple([t.id for t in tokenize(w.decode("latin-1").translate(spelt))]) for w in words]
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, kind: str = "bytes", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@cache
+def added_encoder(tokenizer_path: str, special_as_text: bool):
+    """The spellings of the tokenizer's added tokens that are looked for in texts, and a function from a text to its ids by the library's encode()."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    tokenizer.encode_special_tokens = special_as_text
+    spelt = [t.content for t in tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+    return spelt, lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, kind: str = "bytes", id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> DataFrame:
     """Encodes texts with the tokenizers library and writes one file for each range of ids, in ascending order of ids.
 
+    With special_as_text the spellings of special tokens (<|endoftext|>) are encoded like other text (the library's
+    encode_special_tokens = True); without, they get their own ids, as by the library's default.
     Returns one row per file, itself stored in the shared folder: file_no, path, n_docs, n_ids.  Files left by lost
     or repeated task attempts are in no row.  Null texts count as empty and give end_id alone; rows without an id
     come first; repeated rows are each written; an empty table gives no file.
@@ -159,6 +174,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, ki
         if tokenizer_path not in _MEMOS:
             _MEMOS[tokenizer_path] = WordIds(word_encoder(tokenizer_path), 500_000)
         memo, writer, n_docs = _MEMOS[tokenizer_path], None, 0
+        spelt, encode = added_encoder(tokenizer_path, special_as_text)
         number = TaskContext.get().partitionId()
         where, base = pyarrow.fs.FileSystem.from_uri(folder)
         path = f"{base}/ids-{number:06d}-{uuid.uuid4().hex}.planes"
@@ -166,11 +182,16 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, ki
             if writer is None:
                 where.create_dir(base, recursive=True)
                 writer = PlaneWriter(where.open_output_stream(path), kind)
-            words, rows = split_words(batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            # Texts with added tokens are rare; the library encodes them whole, and they are empty for the words' memo.
+            whole = {i: encode(t) for i, t in enumerate(texts) if any(x in t for x in spelt)}
+            words, rows = split_words(["" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
             ids, ends = memo.ids(words)
             ends = ends[rows]
-            ids = np.insert(ids, ends[1:], np.uint32(end_id))
-            writer.add(batch.column("id").to_pylist(), np.diff(ends) + 1, ids)
+            more = [[*whole.get(i, ()), end_id] for i in range(len(texts))]
+            n_more = np.fromiter(map(len, more), np.int64, len(more))
+            ids = np.insert(ids, np.repeat(ends[1:], n_more), np.array(list(chain.from_iterable(more)), np.uint32))
+            writer.add(batch.column("id").to_pylist(), np.diff(ends) + n_more, ids)
             n_docs += batch.num_rows
         if writer:
             writer.close()
@@ -215,6 +236,6 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
     return listed.mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "bytes") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "bytes", special_as_text: bool = True) -> DataFrame:
     folder = shared_folder(docs.sparkSession, "id-planes")
-    return read_ids(write_ids(docs, tokenizer_path, end_id, folder, kind), folder)
+    return read_ids(write_ids(docs, tokenizer_path, end_id, folder, kind, special_as_text=special_as_text), folder)

@@ -41,7 +41,7 @@ def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planes.round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return planes.round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=2, special_as_text=False)
 
 
 def op6_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,21 @@ def test_id_planes(spark, kind):
         start += len(ids)
 
 
+def test_added_tokens_have_their_own_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from pressglass.llm.queries import op5_id_planes
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a b", "<|endoftext|>", "before<|endoftext|> after <|endoftext|>", "<|endoftext |>", None, "", "it's last"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, start = op5_id_planes(spark, str(tmp_path)).orderBy("doc_id").collect(), 0
+    for r, text in zip(got, texts, strict=True):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))), repr(text)
+        start += len(ids)
+
+
 def test_planes_of_blocks():
     import io
 
