@@ -29,13 +29,33 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+class Scratch:
+    """Tables in one folder below the shared one, which goes with all of them when the scope ends.
+
+    Only what no DataFrame reads any more may be in it: results are stored() outside.
+    """
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.folder = spark, shared_folder(spark, what)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        return stored(df, what, f"{self.folder}/{what}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: the lineage ends there.
 
     The job's shuffle files are of no use once the table is there, so they are removed when it ends.
     """
     spark = df.sparkSession
-    path = shared_folder(spark, what)
+    path = path or shared_folder(spark, what)
     schema = df.schema
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting, None)

@@ -2,24 +2,26 @@
 
 The space: sets of word shingles under the Jaccard distance, which obeys the triangle inequality.  Equal sets are one point.
 
-Regions.  All texts are far from nearly all others (distance 1), so pivots taken at random would see nothing.  The
-seats of regions are single shingles instead: a set lies in the regions of its rarest |x| - ceil(t |x|) + 1 shingles.
-Two sets of similarity t or more share at least one such region, whatever the order of shingles, as long as it
-is the same for all sets; rare ones first keeps regions small.  That is the window in which boundary documents are
-replicated, and it is exact.
-
-Joins.  In each region a few members are pivots (PIVOTS of the smallest hashes), and every other member is compared with them:
-a dense group of near copies falls together in one step, by a number of comparisons linear in its size.
-Members of one component need no comparison; a region whose members are all in one is done.  What is left is
-joined recursively: members of different components in the same region, in the window that the triangle inequality leaves
-(distances to a common pivot differ by no more than 1 - t), and that positions in the order leave (see _pairs()).
+Cells.  All texts are far from nearly all others (distance 1), so pivots taken at random would see nothing.  A set x
+therefore lies in the cells of its first |x| - c + 1 shingles, where c shared ones are needed at least: two linked
+sets meet in such a cell whatever the order of shingles, as long as it is the same for all sets.
+
+Regions.  Each cell names its most typical member (the cell's shingle stands earliest in its order) as pivot.  Cells of
+one pivot are one Voronoi region; a set lies in the regions of all its cells' pivots, so boundary sets are replicated and
+linked sets meet.  Every member is compared with the pivot: a dense group of near copies falls together in one step.
+
+Recursion.  In a region with the pivot p, sets are replaced by their differences to it (what they lack and what they have more).
+That keeps all distances: two differences differ in just what the sets differ in.  By the triangle inequality two sets close to p
+are in one component already, and a set farther away is linked to those only that share so much of its difference (see
+_needed()).  So a crowded region is joined again as sets of differences, in cells of what they share.  Regions whose members
+are all in one component are done; in small ones the members are compared where two lower bounds of their distance
+(the triangle inequality, and bits of the sets) leave room.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressglass.llm.common import bounded_batches, numbered, stored
-from pressglass.llm.words import gram_hashes, word_hashes
-
-#: Members of a region that all its others are compared with.
-PIVOTS = 2
+from pressglass.llm.common import Scratch, bounded_batches, numbered, stored
+from pressglass.llm.words import gram_hashes, mixed, word_hashes
+
+#: Members of a region up to which they are compared with each other; larger regions are split again.
+SMALL = 128
+#: Splits of a region at most; what is left then is compared as in small regions.
+LEVELS = 4
+#: A row number's bits (4 million tasks of 8 billion rows); above them stands the place in an order, up to 127.
+RID_BITS = 55
+RID_MASK = (1 << RID_BITS) - 1
+#: Bits of a set that bound distances from below, as 64-bit numbers.
+SKETCH = 4
 #: Cells of the table that says which shingles are frequent: its size is fixed (4 bytes each). It travels in slices.
 CELL_BITS = 22
 CELLS, SLICES = 1 << CELL_BITS, 64
+#: Entries of cells in an Arrow batch.
+STEP = 100_000
 
 
 def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
@@ -51,8 +62,12 @@ def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _fits(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int):
-    return 100 * common >= percent * (a + b - common)
+def _packed(text: str) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(text.encode("utf-8", "surrogatepass"))
+
+
+def _unpacked(body: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(body).decode("utf-8", "surrogatepass")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -62,7 +77,9 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), k)
             digests = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], names=["rid", "id", "n_shingles", "digest"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            columns = [batch.column("rid"), batch.column("id"), sizes, pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "id", "n_shingles", "digest"])
 
     return docs.mapInArrow(each, f"rid long, id {docs.schema['id'].dataType.simpleString()}, n_shingles long, digest binary")
 
@@ -76,7 +93,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.frombuffer(unpack(body), np.int64)
             sums[part] = sums[part] + counts if part in sums else counts
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(c.tobytes()) for c in sums.values()], pa.binary())], names=["part", "body"])
+        bodies = pa.array([pack(c.tobytes()) for c in sums.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), bodies], names=["part", "body"])
 
 
 def _frequent(texts: DataFrame, k: int) -> np.ndarray:
@@ -93,7 +111,8 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
                 np.add.at(counts, _cells(np.concatenate(sets)), 1)
         pack = zstandard.ZstdCompressor(level=1).compress
         bodies = [pack(x.tobytes()) for x in np.split(counts, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(bodies, pa.binary()), pa.array([salt] * SLICES, pa.int32())], names=["part", "body", "salt"])
+        columns = [pa.array(range(SLICES), pa.int32()), pa.array(bodies, pa.binary()), pa.array([salt] * SLICES, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "body", "salt"])
 
     parts = texts.mapInArrow(each, "part int, body binary, salt int").repartition("part", "salt").select("part", "body")
     sums = parts.mapInArrow(_summed, "part int, body binary").repartition("part").mapInArrow(_summed, "part int, body binary")
@@ -107,166 +126,255 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _regions(texts: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
-    """seat, rid, n, at: the regions of each set; at is the seat's place in the set's order."""
+def _lead(at: np.ndarray, rid: np.ndarray, near: np.ndarray | bool = False) -> np.ndarray:
+    """Who leads a cell, the smallest first: sets that aren't close to their last pivot, then by the place of the cell's
+    shingle in the set's order, then by row number."""
+    return (np.asarray(near, np.int64) << 62) | (np.minimum(at, 127) << RID_BITS) | rid
+
+
+def _set_cells(texts: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
+    """cell, lead for the first |x| - ceil(t |x|) + 1 shingles of each set x, rare ones first."""
     shared = texts.sparkSession.sparkContext.broadcast(order)  # CELLS numbers, whatever the input
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seats, sizes, counts = [], [], []
+            cells, counts = [], []
             for s in shingle_sets(batch.column("text").to_pylist(), k):
-                n = len(s) - -(-percent * len(s) // 100) + 1
-                heavy = shared.value[_cells(s)]
-                first = np.lexsort((s, heavy))[:n]
-                seats.append(s[first])
-                sizes.append(len(s))
-                counts.append(n)
-            rid = np.repeat(batch.column("rid").to_numpy(), counts)
+                counts.append(len(s) - -(-percent * len(s) // 100) + 1)
+                cells.append(s[np.lexsort((s, shared.value[_cells(s)]))[: counts[-1]]])
             at = np.concatenate([np.arange(c) for c in counts])
-            seat = np.concatenate(seats).view(np.int64)
-            for i in range(0, len(seat), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(seat[part]), pa.array(rid[part]), pa.array(np.repeat(sizes, counts)[part], pa.int32()), pa.array(at[part], pa.int32())], names=["seat", "rid", "n", "at"])
+            lead = _lead(at, np.repeat(batch.column("rid").to_numpy(), counts))
+            cell = np.concatenate(cells).view(np.int64)
+            for i in range(0, len(cell), STEP):
+                yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + STEP]), pa.array(lead[i : i + STEP])], names=["cell", "lead"])
+
+    return texts.mapInArrow(each, "cell long, lead long")
+
+
+def _regions(entries: DataFrame) -> DataFrame:
+    """entries: cell, lead, and component where known -> pivot, rid of the cells that more than one set (or component) lies in."""
+    parts = "component" if "component" in entries.columns else "lead"
+    heads = entries.groupBy("cell").agg(F.min("lead").alias("head"), F.min(parts).alias("low"), F.max(parts).alias("high"))
+    heads = heads.where("low != high").select("cell", F.col("cell").alias("twin"), F.col("head").bitwiseAND(RID_MASK).alias("pivot"))
+    # Joined on more than the grouping key: both sides are dealt out anew, so that AQE can split a cell with many sets.
+    met = entries.withColumn("twin", F.col("cell")).join(heads, ["cell", "twin"])
+    return met.select("pivot", F.col("lead").bitwiseAND(RID_MASK).alias("rid")).where("pivot != rid").distinct()
+
+
+def _with_bodies(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """pairs: pivot, rid and more -> the same with body (of rid) and pivot_body."""
+    own = pairs.join(bodies, "rid")
+    return own.join(bodies.select(F.col("rid").alias("pivot"), F.col("body").alias("pivot_body")), "pivot")
 
-    return texts.mapInArrow(each, "seat long, rid long, n int, at int")
 
+def _both_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of rid and pivot of each row; equal texts of a batch are cut up once."""
+    bodies = [*batch.column("body").to_pylist(), *batch.column("pivot_body").to_pylist()]
+    new = list(dict.fromkeys(bodies))
+    known = dict(zip(new, shingle_sets([_unpacked(x) for x in new], k), strict=True))
+    n = batch.num_rows
+    return ((known[x], known[p]) for x, p in zip(bodies[:n], bodies[n:], strict=True))
 
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: a, b, n_a, n_b, at_a, at_b, for some of the shared regions -> the pairs that may be linked.
 
-    Shared shingles before a seat at places i and j are among the first i and j of both sets, those from it on among the
-    last n_a - i and n_b - j: at most min(i, j) + min(n_a - i, n_b - j) are shared.  This holds by each seat alone, whichever
-    others of the pair are in rows.
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH numbers of 64 bits: whether the number of the set's shingles in each of their places is odd.
+
+    Two sets' bits differ in no more places than the sets differ in shingles.
     """
-    rows = rows.where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
-    most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    rows = rows.where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-    return rows.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+    odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _verified(pairs: DataFrame, packed: DataFrame, k: int) -> DataFrame:
-    """a, b, common, n_a, n_b of each pair, from the texts themselves. packed: rid, body (compressed text)."""
+def _measured(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """pivot, rid, n_pivot, n (set sizes), apart (shingles that one of the two has), near (linked), s0 .. (bits of rid's set)."""
+    names = ["pivot", "rid", "n_pivot", "n", "apart", *(f"s{i}" for i in range(SKETCH))]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            memo: dict[bytes, np.ndarray] = {}
-            bodies = [*batch.column("body_a").to_pylist(), *batch.column("body_b").to_pylist()]
-            new = list(dict.fromkeys(bodies))
-            memo.update(zip(new, shingle_sets([unpack(x).decode("utf-8", "surrogatepass") for x in new], k), strict=True))
-            n = batch.num_rows
-            common = [len(np.intersect1d(memo[x], memo[y], assume_unique=True)) for x, y in zip(bodies[:n], bodies[n:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array([len(memo[x]) for x in bodies[:n]], pa.int64()), pa.array([len(memo[x]) for x in bodies[n:]], pa.int64())], names=["a", "b", "common", "n_a", "n_b"])
+            rows = []
+            for x, p in _both_sets(batch, k):
+                apart = len(x) + len(p) - 2 * len(np.intersect1d(x, p, assume_unique=True))
+                rows.append((len(p), len(x), apart, *sketch(x).tolist()))
+            columns = [batch.column("pivot"), batch.column("rid"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    found = _with_bodies(pairs.select("pivot", "rid"), bodies).select("pivot", "rid", "body", "pivot_body")
+    found = found.mapInArrow(each, ", ".join(f"{c} long" for c in names))
+    return found.withColumn("near", _within(F.col("apart"), F.col("n") + F.col("n_pivot"), percent))
+
 
-    left = pairs.join(packed.select(F.col("rid").alias("a"), F.col("body").alias("body_a")), "a")
-    both = left.join(packed.select(F.col("rid").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
-    return both.mapInArrow(each, "a long, b long, common long, n_a long, n_b long")
+def _within(apart, sizes, percent: int):
+    """Whether sets that differ in `apart` shingles, of so many together, are linked: 100 * shared >= percent * united."""
+    return (100 + percent) * apart <= (100 - percent) * sizes
 
 
-def components(links: DataFrame) -> DataFrame:
+def _needed(apart: int, n: int, n_pivot: int, near: bool, percent: int) -> int | None:
+    """How much of its difference to the pivot p (apart shingles) a set x of n shingles shares at least with the difference of
+    any set y that it is linked to; None if it can be linked to none.  Pairs of which both are linked to p don't count.
+
+    With c shared, x and y differ in apart + b - 2 c shingles (b: y's difference to p), which is (100 - t) / (100 + t)
+    of their sizes at most.  If x is linked to p, y isn't, which bounds b from below; else all b are tried.  c = 0 would
+    make both be linked to p.
+    """
+    more, less = 100 + percent, 100 - percent
+    if near:
+        return max(1, (more * apart + less * (n_pivot - n)) // (2 * more) + 1)
+    b = np.arange(apart + less * (n + 100 * n // percent) // more + 2)
+    most = less * (n + np.minimum(n_pivot + b, 100 * n // percent)) // more
+    shared = np.maximum(1, -((most - apart - b) // 2))
+    shared = shared[shared <= np.minimum(apart, b)]
+    return int(shared.min()) if len(shared) else None
+
+
+def _difference_cells(region: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """region: pivot, rid, near, component -> cell, lead, component: cells of the differences' first apart - c + 1 shingles.
+
+    What a set has more than the pivot comes first (few others have it), then what it lacks.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [batch.column(c).to_pylist() for c in ("pivot", "rid", "near", "component")]
+            for pivot, rid, near, component, (x, p) in zip(*names, _both_sets(batch, k), strict=True):
+                own = np.concatenate([np.setdiff1d(x, p, True), np.setdiff1d(p, x, True)])
+                shared = _needed(len(own), len(x), len(p), near, percent)
+                if shared is None:
+                    continue
+                cell = mixed(own[: len(own) - shared + 1] ^ mixed(np.array([pivot], np.uint64))).view(np.int64)
+                lead = _lead(np.arange(len(cell)), np.int64(rid), near)
+                for i in range(0, len(cell), STEP):
+                    part = cell[i : i + STEP]
+                    columns = [pa.array(part), pa.array(lead[i : i + STEP]), pa.array(np.full(len(part), component))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "lead", "component"])
+
+    rows = _with_bodies(region.select("pivot", "rid", "near", "component"), bodies)
+    return rows.select("pivot", "rid", "near", "component", "body", "pivot_body").mapInArrow(each, "cell long, lead long, component long")
+
+
+def _close_pairs(region: DataFrame, percent: int) -> DataFrame:
+    """region: pivot, rid, n, apart, near, component, s0 .. -> pivot, rid: the pairs of small regions that may be linked.
+
+    Of the pair one isn't linked to the region's pivot, components differ, and sizes, the triangle inequality (distances to
+    the pivot) and the sets' bits leave room.
+    """
+    columns = ["rid", "n", "apart", "near", "component", *(f"s{i}" for i in range(SKETCH))]
+    x = region.where("not near").select(F.col("pivot").alias("centre"), *[F.col(c).alias(f"{c}_x") for c in columns])
+    y = region.select(F.col("pivot").alias("centre"), *[F.col(c).alias(f"{c}_y") for c in columns])
+    sizes = F.col("n_x") + F.col("n_y")
+    bits = sum(F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y"))) for i in range(SKETCH))
+    once = F.col("near_y") | (F.col("rid_x") < F.col("rid_y"))
+    room = [_within(b, sizes, percent) for b in (F.abs(F.col("n_x") - F.col("n_y")), F.abs(F.col("apart_x") - F.col("apart_y")), bits)]
+    pairs = x.join(y, "centre").where((F.col("component_x") != F.col("component_y")) & once & room[0] & room[1] & room[2])
+    return pairs.select(F.least("rid_x", "rid_y").alias("pivot"), F.greatest("rid_x", "rid_y").alias("rid")).distinct()
+
+
+def components(links: DataFrame, tables: Scratch) -> DataFrame:
     """rid, component for every rid in links (a, b): the smallest rid that is reachable.
 
     Each node is hooked to its smallest neighbour, hooks are followed to their ends by pointer doubling, and nodes are
     replaced by where they end, until no link between different nodes is left: a logarithmic number of rounds, all
     in tables of the shared folder.  Repeated links and loops are dropped on the way.
     """
-    links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "links")
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    links = tables.stored(links.select(low, high).where("a != b").distinct(), "links")
     found = None
     while True:
         ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = stored(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "hooks")
+        hooks = tables.stored(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "hooks")
         while True:
             on = hooks.join(hooks.select(F.col("a").alias("to"), F.col("to").alias("next")), "to")
             if on.where("next != to").isEmpty():
                 break
-            hooks = stored(on.select("a", F.col("next").alias("to")), "hooks")
+            hooks = tables.stored(on.select("a", F.col("next").alias("to")), "hooks")
         if found is None:
             found = hooks.select(F.col("a").alias("rid"), F.col("to").alias("component"))
         else:
-            found = found.join(hooks.withColumnRenamed("a", "component"), "component", "left").select("rid", F.coalesce("to", "component").alias("component"))
-        found = stored(found, "found")
-        moved = links.join(hooks.select("a", F.col("to").alias("to_a")), "a").join(hooks.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b")
-        links = stored(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a != b").distinct(), "links")
+            found = found.join(hooks.withColumnRenamed("a", "component"), "component", "left")
+            found = found.select("rid", F.coalesce("to", "component").alias("component"))
+        found = tables.stored(found, "found")
+        moved = links.join(hooks.select("a", F.col("to").alias("to_a")), "a")
+        moved = moved.join(hooks.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b")
+        moved = moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        links = tables.stored(moved.where("a != b").distinct(), "links")
         if links.isEmpty():
             return found
 
 
+def _links(texts: DataFrame, tables: Scratch, k: int, percent: int) -> DataFrame:
+    """texts: rid, body of each point -> links (a, b) that have the components of all linked pairs."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = pa.array([_unpacked(x) for x in batch.column("body").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), plain], names=["rid", "text"])
+
+    plain = texts.mapInArrow(unpack, "rid long, text string")
+    entries, bodies, links = _set_cells(plain, _frequent(plain, k), k, percent), None, []
+    for level in range(LEVELS):
+        regions = tables.stored(_regions(entries), "regions")
+        if bodies is None:
+            inside = regions.select("rid").union(regions.select("pivot")).distinct()
+            bodies = tables.stored(texts.join(inside, "rid", "left_semi"), "bodies")
+        measured = tables.stored(_measured(regions, bodies, k, percent), "measured")
+        links.append(measured.where("near").select(F.col("pivot").alias("a"), F.col("rid").alias("b")))
+        known = links[0]
+        for more in links[1:]:
+            known = known.union(more)
+        parts = components(known, tables)
+        placed = measured.join(parts, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+        kinds = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+        crowded = F.col("members") > SMALL if level + 1 < LEVELS else F.lit(False)
+        kinds = kinds.where("low != high").select("pivot", F.col("pivot").alias("twin"), crowded.alias("crowded"))
+        open_ = placed.withColumn("twin", F.col("pivot")).join(kinds, ["pivot", "twin"]).drop("twin")
+        open_ = tables.stored(open_, "open")
+        pairs = tables.stored(_close_pairs(open_.where("not crowded"), percent), "pairs")
+        late = tables.stored(_measured(pairs, bodies, k, percent).where("near").select("pivot", "rid"), "late")
+        links.append(late.select(F.col("pivot").alias("a"), F.col("rid").alias("b")))
+        left = open_.where("crowded")
+        if left.isEmpty():
+            return known.union(links[-1])
+        entries = tables.stored(_difference_cells(left, bodies, k, percent), "differences")
+    raise AssertionError("no region is crowded at the last level")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: rid, id, n_shingles, component_id (smallest id that links lead to), component (smallest rid so).
 
     Two rows link when 100 * shared >= percent * united shingles.  Null and empty texts have empty sets and link with
     nothing; rows without an id take part, and give a component their id only where it has no other; repeated
-    rows each give a row.  Shingles are compared by 64-bit hashes.
+    rows each give a row.  Shingles are compared by 64-bit hashes.  docs is read from files.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     read = numbered(docs, "_rid").select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = stored(_sets(read, k), "sets")
-    # Equal sets are one point, named by its smallest row; its members are joined back on more than the grouping key,
-    # so that AQE can split a point with many rows.
-    points = sets.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("point"), F.min("n_shingles").alias("n_shingles"))
-    member = stored(sets.join(points, ["digest", "n_shingles"]).select("rid", "id", "point"), "members")
-    seen = member.where("rid = point").select("rid")
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], pa.binary())], names=["rid", "body"])
-
-    texts = stored(read.select("rid", "text").mapInArrow(pack, "rid long, body binary").join(seen, "rid", "left_semi"), "points")
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grow = zstandard.ZstdDecompressor().decompress
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([grow(x).decode("utf-8", "surrogatepass") for x in batch.column("body").to_pylist()])], names=["rid", "text"])
-
-    plain = texts.mapInArrow(unpack, "rid long, text string")
-    regions = _regions(plain, _frequent(plain, k), k, percent)
-    # Regions with two members or more: all that is shuffled of the others is a seat and a number.
-    seats = regions.groupBy("seat").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low != high").select("seat", F.col("seat").alias("twin"))
-    met = stored(regions.withColumn("twin", F.col("seat")).join(seats, ["seat", "twin"]).drop("twin"), "met")
-    # Their pivots: the members of the smallest hashes.
-    for i in range(PIVOTS):
-        met = met.withColumn(f"h{i}", F.xxhash64("rid", F.lit(i)))
-    lows = met.groupBy("seat").agg(*[F.min(f"h{i}").alias(f"m{i}") for i in range(PIVOTS)]).withColumn("twin", F.col("seat"))
-    least = [F.col(f"h{i}") == F.col(f"m{i}") for i in range(PIVOTS)]
-    crowd = met.withColumn("twin", F.col("seat")).join(lows, ["seat", "twin"])
-    crowd = stored(crowd.select("seat", "rid", "n", "at", least[0].alias("is_first"), reduce(lambda x, y: x | y, least).alias("is_pivot")), "regions")
-    p, b = crowd.where("is_pivot").alias("p"), crowd.alias("b")
-    # A pair of pivots is met once.
-    near = p.join(b, F.col("p.seat") == F.col("b.seat")).where("p.rid != b.rid and not (b.is_pivot and b.rid < p.rid)")
-    ahead = F.col("p.rid") < F.col("b.rid")
-    near = near.select(*[F.when(ahead, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(name) for c, names in (("rid", "a b"), ("n", "n_a n_b"), ("at", "at_a at_b")) for name, (x, y) in zip(names.split(), ("pb", "bp"), strict=True)])
-    bodies = stored(texts.join(crowd.select("rid").distinct(), "rid", "left_semi"), "bodies")
-    measured = stored(_verified(_pairs(near, percent), bodies, k), "measured")
-    first = measured.where(_fits(F.col("common"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    parts = components(first)
-    # What is left: regions in which more than one component meets.
-    placed = crowd.join(parts, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    mixed = placed.groupBy("seat").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("seat", F.lit(1).alias("one"))
-    rest = placed.withColumn("one", F.lit(1)).join(mixed, ["seat", "one"], "left_semi")
-    # Distances to the region's first pivot, where they were measured, bound those between members.
-    d = measured.select("a", "b", (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
-    toward = d.union(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("rid"), F.col("b").alias("pivot"), "d")
-    pivot = crowd.where("is_first").groupBy("seat").agg(F.min("rid").alias("pivot"))
-    rest = rest.drop("one").withColumn("twin", F.col("seat")).join(pivot.withColumn("twin", F.col("seat")), ["seat", "twin"]).drop("twin")
-    rest = rest.join(toward, ["rid", "pivot"], "left").withColumn("d", F.when(F.col("rid") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-    rest = stored(rest.where("not is_pivot").select("seat", "rid", "n", "at", "component", "d"), "rest")
-    x, y = (rest.select("seat", *[F.col(c).alias(f"{c}_{s}") for c in ("rid", "n", "at", "component", "d")]) for s in "ab")
-    window = (F.col("d_a").isNull() | F.col("d_b").isNull() | (F.abs(F.col("d_a") - F.col("d_b")) <= 1 - percent / 100 + 1e-9))
-    cross = x.join(y, "seat").where((F.col("rid_a") < F.col("rid_b")) & (F.col("component_a") != F.col("component_b")) & window)
-    late = _verified(_pairs(cross.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"), "n_a", "n_b", "at_a", "at_b"), percent), bodies, k)
-    links = first.union(late.where(_fits(F.col("common"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
-    parts = components(links)
-    whole = stored(member.join(parts.withColumnRenamed("rid", "point"), "point", "left").select("rid", "id", F.coalesce("component", "point").alias("component")), "whole")
-    names = whole.groupBy("component").agg(F.min("id").alias("component_id"))
-    found = whole.withColumn("twin", F.col("component")).join(names.withColumn("twin", F.col("component")), ["component", "twin"]).select("rid", "component", "component_id")
-    out = sets.join(found, "rid", "left")
-    return out.select("rid", F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("component", "rid").alias("component"))
+            bodies = pa.array([_packed(t) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), bodies], names=["rid", "body"])
+
+    with Scratch(spark, "jaccard") as tables:
+        sets = tables.stored(_sets(read, k), "sets")
+        # Equal sets are one point, named by its smallest row; its members are joined back on more than the grouping key,
+        # so that AQE can split a point with many rows.
+        points = sets.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("point"), F.min("n_shingles").alias("n_shingles"))
+        member = tables.stored(sets.join(points, ["digest", "n_shingles"]).select("rid", "id", "point"), "members")
+        first = member.where("rid = point").select("rid")
+        texts = tables.stored(read.select("rid", "text").mapInArrow(pack, "rid long, body binary").join(first, "rid", "left_semi"), "points")
+        parts = components(_links(texts, tables, k, percent), tables)
+        whole = member.join(parts.withColumnRenamed("rid", "point"), "point", "left")
+        whole = tables.stored(whole.select("rid", "id", F.coalesce("component", "point").alias("component")), "whole")
+        names = whole.groupBy("component").agg(F.min("id").alias("component_id")).withColumn("twin", F.col("component"))
+        found = whole.withColumn("twin", F.col("component")).join(names, ["component", "twin"])
+        out = sets.join(found.select("rid", "component", "component_id"), "rid", "left")
+        named = [F.coalesce("component_id", "id").alias("component_id"), F.coalesce("component", "rid").alias("component")]
+        return stored(out.select("rid", F.col("id").alias(id_col), "n_shingles", *named), "near")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs (read from files), all their columns: of each component the one with the smallest id (null last) stays."""
     rows = numbered(docs, "_rid")
-    found = stored(near_duplicates(docs, percent, k, id_col, text_col).select("rid", "component", F.col(id_col).alias("id")), "near")
+    found = near_duplicates(docs, percent, k, id_col, text_col).select("rid", "component", F.col(id_col).alias("id"))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
     gone = found.select("rid").join(first, "rid", "left_anti").withColumnRenamed("rid", "_rid")
     return rows.join(gone, "_rid", "left_anti").select(*docs.columns)

@@ -3,7 +3,10 @@
 import random
 import re
 
+import pytest
+
 from pressglass.llm import jaccard
+from pressglass.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,7 +53,10 @@ def test_documents(spark, tmp_path):
     check(spark, rows, tmp_path)
 
 
-def test_edges_and_dense_groups(spark, tmp_path):
+@pytest.mark.parametrize(("small", "levels"), [(128, 4), (3, 4), (3, 2)])
+def test_edges_and_dense_groups(spark, tmp_path, monkeypatch, small, levels):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
     base = [rng.choice(vocabulary) for _ in range(60)]
@@ -68,6 +74,68 @@ def test_edges_and_dense_groups(spark, tmp_path):
     check(spark, rows, tmp_path)
 
 
+def test_a_crowd_around_one_text(spark, tmp_path, monkeypatch):
+    """Many edited copies of a text: some linked to it, some only to others, many to none; words put in, out and changed."""
+    monkeypatch.setattr(jaccard, "SMALL", 20)
+    rng = random.Random(23)
+    base = [f"b{i}" for i in range(90)]
+    texts = [base]
+    for _ in range(500):
+        t = list(rng.choice([base, base, rng.choice(texts)]))
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.choice((0, 1, 1))] = [f"e{rng.randrange(6)}"] * rng.choice((0, 1, 1, 1))
+        texts.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    check(spark, rows, tmp_path)
+
+
+def test_a_large_cell_of_unlike_texts(spark, tmp_path, monkeypatch):
+    """Texts that share most of what they have with many, yet aren't alike: no links, and few comparisons."""
+    monkeypatch.setattr(jaccard, "SMALL", 20)
+    rng = random.Random(29)
+    blocks = [[f"k{b}w{i}" for i in range(12)] for b in range(16)]
+    rows = [(i, " ".join(w for b in rng.sample(range(16), 8) for w in blocks[b])) for i in range(600)]
+    check(spark, rows, tmp_path)
+
+
+def test_needed_is_a_lower_bound():
+    rng = random.Random(31)
+    for _ in range(3_000):
+        p = set(range(rng.randint(1, 60)))
+        x, y = ({i for i in p if rng.random() > q} | {rng.randrange(100, 100 + m) for _ in range(rng.randint(0, m))} for q, m in ((0.1, 8), (0.15, 12)))
+        if not x or not y:
+            continue
+        linked = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+        near = linked(x, p), linked(y, p)
+        if linked(x, y) and x not in (y, p) and y != p and not all(near):
+            shared = len((x ^ p) & (y ^ p))
+            for s, n in ((x, near[0]), (y, near[1])):
+                needed = jaccard._needed(len(s ^ p), len(s), len(p), n, 80)
+                assert needed is not None and 1 <= needed <= shared
+
+
+def test_sketches_are_no_farther_apart_than_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 400, rng.integers(0, 80)).astype(np.uint64)) for _ in range(2))
+        bits = sum(int(a ^ b).bit_count() if a ^ b >= 0 else ((int(a ^ b)) & (1 << 64) - 1).bit_count() for a, b in zip(jaccard.sketch(x), jaccard.sketch(y), strict=True))
+        assert bits <= len(np.setxor1d(x, y))
+
+
+def test_only_the_result_is_left_in_the_shared_folder(spark, tmp_path):
+    import os
+
+    spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    assert jaccard.near_duplicates(spark.read.parquet(f"{tmp_path}/docs")).count() == 9
+    assert [x.split("-")[0] for x in set(os.listdir(base)) - before] == ["near"]
+
+
 def test_sparse_groups_near_the_threshold(spark, tmp_path):
     rng = random.Random(17)
     rows = []
@@ -90,5 +158,6 @@ def test_components_of_long_chains(spark):
     rng = random.Random(2)
     order = list(range(1, 120))
     links = [(a, a + 1) for a in order] + [(500, 501), (501, 502), (700, 700)] + [(900 + rng.randrange(9), 900 + rng.randrange(9)) for _ in range(20)]
-    got = {r.rid: r.component for r in jaccard.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    with Scratch(spark, "test") as tables:
+        got = {r.rid: r.component for r in jaccard.components(spark.createDataFrame(links, "a long, b long"), tables).collect()}
     assert all(got[i] == 1 for i in range(1, 121)) and got[502] == 500
