@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: keeps a batch of long texts well below a worker's memory.
@@ -48,6 +48,12 @@ class Scratch:
     def stored(self, df: DataFrame, what: str) -> DataFrame:
         return stored(df, what, f"{self.folder}/{what}-{uuid.uuid4().hex}")
 
+    def counted(self, df: DataFrame, what: str, **rows: Column) -> tuple[DataFrame, dict[str, int]]:
+        """df stored, and how many of its rows meet each condition, found while it is written."""
+        seen = Observation()
+        df = self.stored(df.observe(seen, *[F.count_if(c).alias(k) for k, c in rows.items()]), what)
+        return df, {k: seen.get.get(k, 0) for k in rows}  # an empty plan may observe nothing
+
 
 def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: the lineage ends there.

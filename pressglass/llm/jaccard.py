@@ -34,7 +34,7 @@ from pressglass.llm.common import Scratch, bounded_batches, numbered, stored
 from pressglass.llm.words import gram_hashes, mixed, word_hashes
 
 #: Members of a region up to which they are compared with each other; larger regions are split again.
-SMALL = 128
+SMALL = 512
 #: Splits of a region at most; what is left then is compared as in small regions.
 LEVELS = 4
 #: A row number's bits (4 million tasks of 8 billion rows); above them stands the place in an order, up to 127.
@@ -45,12 +45,16 @@ SKETCH = 4
 #: Cells of the table that says which shingles are frequent: its size is fixed (4 bytes each). It travels in slices.
 CELL_BITS = 22
 CELLS, SLICES = 1 << CELL_BITS, 64
-#: Entries of cells in an Arrow batch.
-STEP = 100_000
+#: Entries of cells in an Arrow batch, and characters of texts that are cut up at once.
+STEP, AT_ONCE = 100_000, 1 << 20
 
 
 def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
     """Each text's set as sorted 64-bit hashes of its k-word shingles; fewer words make one shingle, none an empty set."""
+    sizes = np.cumsum([len(t) for t in texts])
+    if len(texts) > 1 and sizes[-1] > AT_ONCE:  # long texts are done in turn
+        cut = max(1, int(np.searchsorted(sizes, AT_ONCE)))
+        return shingle_sets(texts[:cut], k) + shingle_sets(texts[cut:], k)
     words, rows, _, _ = word_hashes(texts)
     grams = gram_hashes(words, k)
     out = []
@@ -106,7 +110,7 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, salt = np.zeros(CELLS, np.int64), TaskContext.get().partitionId() % 32
         for batch in batches:
-            sets = shingle_sets(batch.column("text").to_pylist(), k)
+            sets = shingle_sets([_unpacked(x) for x in batch.column("body").to_pylist()], k)
             if sets:
                 np.add.at(counts, _cells(np.concatenate(sets)), 1)
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -139,7 +143,7 @@ def _set_cells(texts: DataFrame, order: np.ndarray, k: int, percent: int) -> Dat
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells, counts = [], []
-            for s in shingle_sets(batch.column("text").to_pylist(), k):
+            for s in shingle_sets([_unpacked(x) for x in batch.column("body").to_pylist()], k):
                 counts.append(len(s) - -(-percent * len(s) // 100) + 1)
                 cells.append(s[np.lexsort((s, shared.value[_cells(s)]))[: counts[-1]]])
             at = np.concatenate([np.arange(c) for c in counts])
@@ -275,65 +279,60 @@ def components(links: DataFrame, tables: Scratch) -> DataFrame:
     replaced by where they end, until no link between different nodes is left: a logarithmic number of rounds, all
     in tables of the shared folder.  Repeated links and loops are dropped on the way.
     """
-    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    links = tables.stored(links.select(low, high).where("a != b").distinct(), "links")
-    found = None
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    links, found = tables.stored(links, "links"), None
     while True:
         ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = tables.stored(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "hooks")
-        while True:
+        moved = 1
+        while moved:
             on = hooks.join(hooks.select(F.col("a").alias("to"), F.col("to").alias("next")), "to")
-            if on.where("next != to").isEmpty():
-                break
-            hooks = tables.stored(on.select("a", F.col("next").alias("to")), "hooks")
+            hooks, n = tables.counted(on.select("a", F.col("next").alias("to"), F.col("to").alias("was")), "hooks", moved=F.col("to") != F.col("was"))
+            hooks, moved = hooks.drop("was"), n["moved"]
         if found is None:
-            found = hooks.select(F.col("a").alias("rid"), F.col("to").alias("component"))
+            found = hooks.withColumnsRenamed({"a": "rid", "to": "component"})
         else:
             found = found.join(hooks.withColumnRenamed("a", "component"), "component", "left")
             found = found.select("rid", F.coalesce("to", "component").alias("component"))
-        found = tables.stored(found, "found")
-        moved = links.join(hooks.select("a", F.col("to").alias("to_a")), "a")
-        moved = moved.join(hooks.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b")
-        moved = moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
-        links = tables.stored(moved.where("a != b").distinct(), "links")
-        if links.isEmpty():
-            return found
-
-
-def _links(texts: DataFrame, tables: Scratch, k: int, percent: int) -> DataFrame:
-    """texts: rid, body of each point -> links (a, b) that have the components of all linked pairs."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            plain = pa.array([_unpacked(x) for x in batch.column("body").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), plain], names=["rid", "text"])
-
-    plain = texts.mapInArrow(unpack, "rid long, text string")
-    entries, bodies, links = _set_cells(plain, _frequent(plain, k), k, percent), None, []
-    for level in range(LEVELS):
+        ahead = links.join(hooks.select("a", F.col("to").alias("to_a")), "a")
+        ahead = ahead.join(hooks.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b")
+        ahead = ahead.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        links, n = tables.counted(ahead.where("a != b").distinct(), "links", left=F.lit(True))
+        if not n["left"]:
+            return tables.stored(found, "found")
+
+
+def _components_of_links(texts: DataFrame, tables: Scratch, k: int, percent: int) -> DataFrame:
+    """texts: rid, body of each point -> rid, component of the linked ones."""
+    entries, bodies, known, parts = _set_cells(texts, _frequent(texts, k), k, percent), None, None, None
+    for level in range(1, LEVELS + 1):
         regions = tables.stored(_regions(entries), "regions")
         if bodies is None:
             inside = regions.select("rid").union(regions.select("pivot")).distinct()
             bodies = tables.stored(texts.join(inside, "rid", "left_semi"), "bodies")
-        measured = tables.stored(_measured(regions, bodies, k, percent), "measured")
-        links.append(measured.where("near").select(F.col("pivot").alias("a"), F.col("rid").alias("b")))
-        known = links[0]
-        for more in links[1:]:
-            known = known.union(more)
-        parts = components(known, tables)
+        measured, new = tables.counted(_measured(regions, bodies, k, percent), "measured", links=F.col("near"))
+        found = measured.where("near").select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
+        known = found if known is None else known.union(found)
+        if parts is None or new["links"] or more.get("links"):
+            parts = components(known, tables)
         placed = measured.join(parts, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
         kinds = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-        crowded = F.col("members") > SMALL if level + 1 < LEVELS else F.lit(False)
+        crowded = F.col("members") > SMALL if level < LEVELS else F.lit(False)
         kinds = kinds.where("low != high").select("pivot", F.col("pivot").alias("twin"), crowded.alias("crowded"))
-        open_ = placed.withColumn("twin", F.col("pivot")).join(kinds, ["pivot", "twin"]).drop("twin")
-        open_ = tables.stored(open_, "open")
-        pairs = tables.stored(_close_pairs(open_.where("not crowded"), percent), "pairs")
-        late = tables.stored(_measured(pairs, bodies, k, percent).where("near").select("pivot", "rid"), "late")
-        links.append(late.select(F.col("pivot").alias("a"), F.col("rid").alias("b")))
-        left = open_.where("crowded")
-        if left.isEmpty():
-            return known.union(links[-1])
-        entries = tables.stored(_difference_cells(left, bodies, k, percent), "differences")
+        mixed_ = placed.withColumn("twin", F.col("pivot")).join(kinds, ["pivot", "twin"]).drop("twin")
+        mixed_, n = tables.counted(mixed_, "mixed", small=~F.col("crowded"), crowded=F.col("crowded"))
+        more: dict[str, int] = {}
+        if n["small"]:
+            pairs, more = tables.counted(_close_pairs(mixed_.where("not crowded"), percent), "pairs", all=F.lit(True))
+            if more["all"]:
+                late = _measured(pairs, bodies, k, percent).where("near").select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
+                late, more = tables.counted(late, "late", links=F.lit(True))
+                known = known.union(late)
+            if more.get("links") and not n["crowded"]:
+                parts = components(known, tables)
+        if not n["crowded"]:
+            return parts
+        entries = tables.stored(_difference_cells(mixed_.where("crowded"), bodies, k, percent), "differences")
     raise AssertionError("no region is crowded at the last level")
 
 
@@ -361,7 +360,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         member = tables.stored(sets.join(points, ["digest", "n_shingles"]).select("rid", "id", "point"), "members")
         first = member.where("rid = point").select("rid")
         texts = tables.stored(read.select("rid", "text").mapInArrow(pack, "rid long, body binary").join(first, "rid", "left_semi"), "points")
-        parts = components(_links(texts, tables, k, percent), tables)
+        parts = _components_of_links(texts, tables, k, percent)
         whole = member.join(parts.withColumnRenamed("rid", "point"), "point", "left")
         whole = tables.stored(whole.select("rid", "id", F.coalesce("component", "point").alias("component")), "whole")
         names = whole.groupBy("component").agg(F.min("id").alias("component_id")).withColumn("twin", F.col("component"))
