@@ -8,7 +8,8 @@ sets meet in such a cell whatever the order of shingles, as long as it is the sa
 
 Regions.  Each cell names its most typical member (the cell's shingle stands earliest in its order) as pivot.  Cells of
 one pivot are one Voronoi region; a set lies in the regions of all its cells' pivots, so boundary sets are replicated and
-linked sets meet.  Every member is compared with the pivot: a dense group of near copies falls together in one step.
+linked sets meet.  Members are compared with the pivot, unless their sizes or sketches (bits of the sets) show that they
+are too far from it: a dense group of near copies falls together in one step.
 
 Recursion.  In a region with the pivot p, sets are replaced by their differences to it (what they lack and what they have more).
 That keeps all distances: two differences differ in just what the sets differ in.  By the triangle inequality two sets close to p
@@ -40,8 +41,9 @@ LEVELS = 4
 #: A row number's bits (4 million tasks of 8 billion rows); above them stands the place in an order, up to 127.
 RID_BITS = 55
 RID_MASK = (1 << RID_BITS) - 1
-#: Bits of a set that bound distances from below, as 64-bit numbers.
-SKETCH = 4
+#: Bits of a set that bound distances from below, as 64-bit numbers, and their columns.
+SKETCH = 8
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
 #: Cells of the table that says which shingles are frequent: its size is fixed (4 bytes each). It travels in slices.
 CELL_BITS = 22
 CELLS, SLICES = 1 << CELL_BITS, 64
@@ -189,22 +191,48 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _known(texts: DataFrame, k: int) -> DataFrame:
+    """rid, body, n (set size), s0 .. (the set's sketch) of each point."""
+    names = ["rid", "body", "n", *SKETCHES]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(len(x), *sketch(x).tolist()) for x in shingle_sets([_unpacked(x) for x in batch.column("body").to_pylist()], k)]
+            columns = [batch.column("rid"), batch.column("body"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return texts.mapInArrow(each, ", ".join(["rid long", "body binary", "n long", *(f"{c} long" for c in SKETCHES)]))
+
+
+def _sized(regions: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """regions: pivot, rid -> the same with n, s0 .., and maybe_near: sizes and sketches leave room for a link to the pivot."""
+    own = regions.join(known.select("rid", "n", *SKETCHES), "rid")
+    pivots = known.select(F.col("rid").alias("pivot"), F.col("n").alias("n_p"), *[F.col(c).alias(f"{c}_p") for c in SKETCHES])
+    both = own.join(pivots, "pivot").withColumn("maybe_near", _room("", "_p", percent))
+    return both.select("pivot", "rid", "n", *SKETCHES, "maybe_near")
+
+
+def _room(x: str, y: str, percent: int):
+    """Whether two lower bounds of a distance, that of the sizes and that of the sketches, leave room for a link."""
+    n, m = F.col(f"n{x}"), F.col(f"n{y}")
+    bits = sum(F.bit_count(F.col(f"{s}{x}").bitwiseXOR(F.col(f"{s}{y}"))) for s in SKETCHES)
+    return _within(F.abs(n - m), n + m, percent) & _within(bits, n + m, percent)
+
+
 def _measured(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
-    """pivot, rid, n_pivot, n (set sizes), apart (shingles that one of the two has), near (linked), s0 .. (bits of rid's set)."""
-    names = ["pivot", "rid", "n_pivot", "n", "apart", *(f"s{i}" for i in range(SKETCH))]
+    """pivot, rid, apart (shingles that one of the two has), near (linked)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            apart, near = [], []
             for x, p in _both_sets(batch, k):
-                apart = len(x) + len(p) - 2 * len(np.intersect1d(x, p, assume_unique=True))
-                rows.append((len(p), len(x), apart, *sketch(x).tolist()))
-            columns = [batch.column("pivot"), batch.column("rid"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                apart.append(len(x) + len(p) - 2 * len(np.intersect1d(x, p, assume_unique=True)))
+                near.append(_within(apart[-1], len(x) + len(p), percent))
+            columns = [batch.column("pivot"), batch.column("rid"), pa.array(apart, pa.int64()), pa.array(near, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["pivot", "rid", "apart", "near"])
 
     found = _with_bodies(pairs.select("pivot", "rid"), bodies).select("pivot", "rid", "body", "pivot_body")
-    found = found.mapInArrow(each, ", ".join(f"{c} long" for c in names))
-    return found.withColumn("near", _within(F.col("apart"), F.col("n") + F.col("n_pivot"), percent))
+    return found.mapInArrow(each, "pivot long, rid long, apart long, near boolean")
 
 
 def _within(apart, sizes, percent: int):
@@ -258,17 +286,16 @@ def _difference_cells(region: DataFrame, bodies: DataFrame, k: int, percent: int
 def _close_pairs(region: DataFrame, percent: int) -> DataFrame:
     """region: pivot, rid, n, apart, near, component, s0 .. -> pivot, rid: the pairs of small regions that may be linked.
 
-    Of the pair one isn't linked to the region's pivot, components differ, and sizes, the triangle inequality (distances to
-    the pivot) and the sets' bits leave room.
+    Of the pair one isn't linked to the region's pivot, components differ, and sizes, sketches and (where distances to the
+    pivot were measured) the triangle inequality leave room.
     """
-    columns = ["rid", "n", "apart", "near", "component", *(f"s{i}" for i in range(SKETCH))]
+    columns = ["rid", "n", "apart", "near", "component", *SKETCHES]
     x = region.where("not near").select(F.col("pivot").alias("centre"), *[F.col(c).alias(f"{c}_x") for c in columns])
     y = region.select(F.col("pivot").alias("centre"), *[F.col(c).alias(f"{c}_y") for c in columns])
-    sizes = F.col("n_x") + F.col("n_y")
-    bits = sum(F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y"))) for i in range(SKETCH))
     once = F.col("near_y") | (F.col("rid_x") < F.col("rid_y"))
-    room = [_within(b, sizes, percent) for b in (F.abs(F.col("n_x") - F.col("n_y")), F.abs(F.col("apart_x") - F.col("apart_y")), bits)]
-    pairs = x.join(y, "centre").where((F.col("component_x") != F.col("component_y")) & once & room[0] & room[1] & room[2])
+    window = _within(F.abs(F.col("apart_x") - F.col("apart_y")), F.col("n_x") + F.col("n_y"), percent)
+    wanted = (F.col("component_x") != F.col("component_y")) & once & _room("_x", "_y", percent) & F.coalesce(window, F.lit(True))
+    pairs = x.join(y, "centre").where(wanted)
     return pairs.select(F.least("rid_x", "rid_y").alias("pivot"), F.greatest("rid_x", "rid_y").alias("rid")).distinct()
 
 
@@ -309,13 +336,16 @@ def _components_of_links(texts: DataFrame, tables: Scratch, k: int, percent: int
         regions = tables.stored(_regions(entries), "regions")
         if bodies is None:
             inside = regions.select("rid").union(regions.select("pivot")).distinct()
-            bodies = tables.stored(texts.join(inside, "rid", "left_semi"), "bodies")
-        measured, new = tables.counted(_measured(regions, bodies, k, percent), "measured", links=F.col("near"))
+            known_sets = tables.stored(_known(texts.join(inside, "rid", "left_semi"), k), "known")
+            bodies = known_sets.select("rid", "body")
+        sized = tables.stored(_sized(regions, known_sets, percent), "sized")
+        measured, new = tables.counted(_measured(sized.where("maybe_near"), bodies, k, percent), "measured", links=F.col("near"))
         found = measured.where("near").select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
         known = found if known is None else known.union(found)
         if parts is None or new["links"] or more.get("links"):
             parts = components(known, tables)
-        placed = measured.join(parts, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+        placed = sized.drop("maybe_near").join(measured, ["pivot", "rid"], "left").join(parts, "rid", "left")
+        placed = placed.withColumn("near", F.coalesce("near", F.lit(False))).withColumn("component", F.coalesce("component", "rid"))
         kinds = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
         crowded = F.col("members") > SMALL if level < LEVELS else F.lit(False)
         kinds = kinds.where("low != high").select("pivot", F.col("pivot").alias("twin"), crowded.alias("crowded"))
