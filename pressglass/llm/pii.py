@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -84,13 +84,17 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     kinds = base.select("id", "text_hash", "rid", F.explode(F.array(*[proposed(i, k) for i, k in enumerate(KINDS)])).alias("k")).where("k is not null and size(k.spans) > 0")
     # Match i lies behind gap i. Places: the lengths of all gaps and matches before, as running sums within a text and kind.
-    pieces = kinds.select("id", "text_hash", "rid", "k.kind_no", F.posexplode(F.zip_with("k.spans", F.slice("k.gaps", 2, F.size("k.spans")), lambda s, after: F.struct(s.alias("span"), F.length(after).alias("step"), F.left(after, F.lit(AROUND)).alias("after")))).alias("i", "p"), F.length(F.get("k.gaps", F.lit(0))).alias("first"), F.get("k.gaps", F.lit(0)).alias("gap0"))
-    pieces = pieces.select("id", "text_hash", "rid", "kind_no", "i", "p.span", "p.step", "p.after", "first", F.when(F.col("i") == 0, F.right("gap0", F.lit(AROUND))).alias("before"))
-    from pyspark.sql import Window
-
+    # Of each gap the first characters are near the match before it, the last ones near the match behind it.
+    around = F.lit(AROUND)
+    piece = lambda s, gap: F.struct(s.alias("span"), F.length(gap).alias("step"), F.left(gap, around).alias("after"), F.right(gap, around).alias("ahead"))
+    both = F.zip_with("k.spans", F.slice("k.gaps", 2, F.size("k.spans")), piece)
+    gap0 = F.get("k.gaps", F.lit(0))
+    pieces = kinds.select("id", "text_hash", "rid", "k.kind_no", F.posexplode(both).alias("i", "p"), F.length(gap0).alias("first"), F.right(gap0, around).alias("ahead0"))
+    pieces = pieces.select("id", "text_hash", "rid", "kind_no", "i", "p.*", "first", "ahead0")
     upto = Window.partitionBy("rid", "kind_no").orderBy("i")
-    ahead = F.sum(F.length("span") + F.col("step")).over(upto) - F.length("span") - F.col("step")
-    placed = pieces.withColumn("start", (F.col("first") + ahead).cast("long")).withColumn("before", F.coalesce("before", F.lag("after").over(upto)))
+    passed = F.sum(F.length("span") + F.col("step")).over(upto) - F.length("span") - F.col("step")
+    placed = pieces.withColumn("start", (F.col("first") + passed).cast("long"))
+    placed = placed.withColumn("before", F.when(F.col("i") == 0, F.col("ahead0")).otherwise(F.lag("ahead").over(upto)))
     names = F.array(*[F.lit(k.name) for k in KINDS])
     placed = placed.withColumn("kind", F.get(names, F.col("kind_no"))).where(confirmed(F.col("kind"), F.col("span")))
     near = F.lower(F.concat_ws(" ", "before", "after"))
