@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressglass.llm.common import bounded_batches
-from pressglass.llm.words import word_hashes
+from pressglass.llm.words import mixed, word_hashes
 
 #: Labelled documents to learn from at most: those of the smallest hashes of their ids.
 SAMPLE = 4_000
-#: Lines of a document to learn from at most; scoring takes all lines.
-SAMPLE_LINES = 400
+#: Lines of them to learn from at most: those of the smallest hashes, over whole runs of RUN lines. Scoring takes all lines.
+SAMPLE_LINES, RUN = 400_000, 50
 _KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "stop": b".,;:?'\"()-", "shout": b"!", "bar": b"|", "sign": b"#$%&*+/<=>@[\\]^_`{}~", "space": b" \t", "wide": bytes(range(0x80, 0x100))}
 _TABLES = {k: np.isin(np.arange(256), list(v)) for k, v in _KINDS.items()}
 N_OWN = len(_KINDS) + 5
@@ -116,11 +116,11 @@ class LineField:
         self.weights, self.pull = np.zeros(N_FEATURES), np.zeros((2, 2))
 
     def fit(self, features: np.ndarray, rows: np.ndarray, labels: np.ndarray, steps: int = 250, ridge: float = 1e-3) -> LineField:
-        """Penalised likelihood by Adam; chains are cut into pieces of 50 lines."""
+        """Penalised likelihood by Adam; chains are cut into pieces of RUN lines."""
         self.mean, self.spread = features.mean(0), features.std(0) + 1e-3
         self.mean[-1], self.spread[-1] = 0, 1
         x = (features - self.mean) / self.spread
-        cuts = np.unique(np.concatenate([np.arange(a, b, 50) for a, b in zip(rows, rows[1:], strict=False)] + [rows[-1:]]))
+        cuts = np.unique(np.concatenate([np.arange(a, b, RUN) for a, b in zip(rows, rows[1:], strict=False)] + [rows[-1:]]))
         y = np.repeat(labels, np.diff(rows)).astype(float)
         truth, live = _padded(y, cuts)
         both = live[:, 1:]
@@ -157,23 +157,31 @@ class LineField:
         return np.round(out, 12), n
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> LineField:
-    """Learns from at most `sample` labelled documents; labels: id and 0/1.  With one label only, or none, all scores are 0.5.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> LineField:
+    """Learns from at most `sample` labelled documents and `sample_lines` of their lines; labels: id and 0/1.
 
-    Only the sampled lines' features come to the driver.
+    Both bounds are on rows, so the driver gets sample_lines * N_FEATURES numbers at most, whatever the texts' lengths.  What is
+    taken is fixed by hashes of ids and run numbers (then by label and features): the order in which tasks end doesn't
+    matter, nor do repeated ids.  With one label only, or none, all scores are 0.5.
     """
     bounded_batches(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.select("label", F.xxhash64("id").alias("key"), "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features, _, at = line_features(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features[a : min(b, a + SAMPLE_LINES)].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["label", "features"])
-
-    # Sorted, so that training doesn't depend on the order in which tasks end; repeated ids are cut to the sample's size.
-    got = sorted((r.label, bytes(r.features)) for r in rows.mapInArrow(each, "label int, features binary").limit(4 * sample).collect())
+            features, _, at = line_features(batch.column("text").to_pylist())
+            out = []
+            for label, key, a, b in zip(batch.column("label").to_pylist(), batch.column("key").to_numpy().view(np.uint64), at, at[1:], strict=False):
+                begins = np.arange(a, b, RUN)
+                hashes = mixed(key + np.arange(len(begins)).astype(np.uint64)).view(np.int64).tolist()
+                out += [(label, h, features[i : min(b, i + RUN)].tobytes()) for h, i in zip(hashes, begins.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["label", "hash", "features"])
+
+    runs = rows.mapInArrow(each, "label int, hash long, features binary").orderBy("hash", "label", "features").limit(max(1, sample_lines // RUN))
+    got = sorted((r.label, bytes(r.features)) for r in runs.select("label", "features").collect())
     field = LineField()
     if len({label for label, _ in got}) < 2:
         return field
