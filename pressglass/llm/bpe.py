@@ -276,7 +276,6 @@ def _tables(path: str) -> tuple[Transducer, WordIds, pa.Array, pa.Array]:
 
     Built for each task: workers outlive tasks, and what they kept would stay in memory while they do other work.
     """
-    gc.disable()  # these tables have no cycles; the collector would walk them again and again
     transducer = Transducer(ranks := read_ranks(path))
     tokens = [b""] * (1 + max(ranks.values()))
     for token, rank in ranks.items():
@@ -311,6 +310,13 @@ def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text
     fields = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the tables have no cycles; the collector would walk them again and again
+        try:
+            yield from coded(batches)
+        finally:  # also where a task fails or a limit ends it: the worker goes on with other work
+            gc.enable()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, memo, tokens, digits = _tables(ranks_path)
         decoder = StreamDecoder(tokens)
         for batch in batches:
@@ -319,8 +325,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text
             rows = ends[rows]
             n = np.diff(rows)
             own = [ids[a:b] for a, b in zip(rows, rows[1:], strict=False)]
-            coded = [hashlib.sha256(_joined(digits, x)[1:]).hexdigest() for x in own]
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string())]
+            digests = [hashlib.sha256(_joined(digits, x)[1:]).hexdigest() for x in own]
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string())]
             if with_text:
                 texts = [b"".join(_decoded(decoder, x)) for x in own]
                 columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()))
@@ -331,7 +337,6 @@ def encode_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text
             if with_text:
                 columns.append(pa.array([x.decode() for x in texts], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields.split(", ")])
-        gc.enable()
 
     bounded_batches(docs.sparkSession)
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(each, fields)
