@@ -29,18 +29,24 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fingerprints(own_words: Column, span: int) -> Column:
-    """array<long>: for each run of span words in order, the smallest hash of its grams; empty for shorter texts."""
+def _hashed(own_words: Column) -> Column:
+    return F.transform(own_words, lambda x: F.xxhash64(x))
+
+
+def _winnowed(hashed: Column, span: int) -> Column:
+    """hashed: the words' hashes (an array that is bound already) -> what fingerprints() gives."""
     k = min(GRAM, span)
 
     def runs_of(parts: Column, length: int, value) -> Column:
         return parts if length == 1 else F.transform(F.sequence(F.lit(1), F.size(parts) - (length - 1)), lambda i: value(F.slice(parts, i, length)))
 
-    def of(w: Column) -> Column:
-        runs = _let(F.transform(w, lambda x: F.xxhash64(x)), lambda hashed: _let(runs_of(hashed, k, F.xxhash64), lambda grams: runs_of(grams, span - k + 1, F.array_min)))
-        return F.when(F.size(w) >= span, runs).otherwise(F.array().cast("array<long>"))
+    runs = _let(runs_of(hashed, k, F.xxhash64), lambda grams: runs_of(grams, span - k + 1, F.array_min))
+    return F.when(F.size(hashed) >= span, runs).otherwise(F.array().cast("array<long>"))
+
 
-    return _let(own_words, of)
+def fingerprints(own_words: Column, span: int) -> Column:
+    """array<long>: for each run of span words in order, the smallest hash of its grams; empty for shorter texts."""
+    return _let(_hashed(own_words), lambda h: _winnowed(h, span))
 
 
 def benchmark_windows(benchmark: DataFrame, span: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -73,22 +79,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, id_col: str = "d
     prints = windows.select("size", "fingerprint").distinct()
     if prints.count() <= BROADCAST_ROWS:
         prints = F.broadcast(prints)
-    found = None
-    for size in sizes:
-        runs = F.array_distinct(fingerprints(F.col("w"), size))
-        own = split.select("id", "text_hash", F.lit(size).alias("size"), F.explode(runs).alias("fingerprint"))
-        own = own.join(prints, ["size", "fingerprint"], "left_semi")
-        found = own if found is None else found.unionByName(own)
-    if found is None:
+    if not sizes:
         return base.where("false").select("id", "text_hash", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
+
+    def of_sizes(value) -> Column:
+        """value(hashes of w, size), an array for each size, all in one: words are split and hashed once."""
+        return F.explode(_let(_hashed(F.col("w")), lambda h: F.flatten(F.array(*[value(h, size) for size in sizes])))).alias("x")
+
+    def sized(h: Column, size: int) -> Column:
+        return F.transform(F.array_distinct(_winnowed(h, size)), lambda p: F.struct(F.lit(size).alias("size"), p.alias("fingerprint")))
+
+    found = split.select("id", "text_hash", of_sizes(sized)).select("id", "text_hash", "x.*").join(prints, ["size", "fingerprint"], "left_semi")
     # Extension: documents with a hit are read again, and their runs with these fingerprints are compared word by word.
     found = stored(found.groupBy("id", "text_hash").agg(F.collect_set("fingerprint").alias("prints")), "hits")
     again = base.alias("b").join(found.alias("f"), F.col("b.id").eqNullSafe(F.col("f.id")) & (F.col("b.text_hash") == F.col("f.text_hash"))).select("b.id", "b.text_hash", "prints", words(F.col("text")).alias("w")).dropDuplicates(["id", "text_hash"])
-    runs = None
-    for size in sizes:
-        at = F.transform(fingerprints(F.col("w"), size), lambda h, i: F.when(F.array_contains("prints", h), F.struct(i.alias("at"), F.slice("w", i + 1, size).alias("window"))))
-        own = again.select("id", "text_hash", F.lit(size).alias("size"), F.inline(F.filter(at, lambda x: x.isNotNull())))
-        runs = own if runs is None else runs.unionByName(own)
+
+    def placed(h: Column, size: int) -> Column:
+        at = F.transform(_winnowed(h, size), lambda p, i: F.when(F.array_contains("prints", p), F.struct(F.lit(size).alias("size"), i.alias("at"), F.slice("w", i + 1, size).alias("window"))))
+        return F.filter(at, lambda x: x.isNotNull())
+
+    runs = again.select("id", "text_hash", of_sizes(placed)).select("id", "text_hash", "x.*")
     by_window = windows.select("size", "window").distinct()
     shared = stored(runs.join(by_window, ["size", "window"], "left_semi"), "shared")
     hit = shared.select("id", "text_hash", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("word")).groupBy("id", "text_hash").agg(F.count_distinct("word").alias("n_hit"))
