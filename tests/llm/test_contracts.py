@@ -106,6 +106,24 @@ def test_personal_data(spark, docs, rows):
     assert "ssn:19:30" in by[30_004].spans
 
 
+def test_words_near_personal_data(spark):
+    """Words count that stand within AROUND characters before or behind the span, up to the next match of its kind."""
+    far = " x" * 80
+    texts = [f"order 321-54-9876{far} my social security number is 123-45-6789", f"ref 321-54-9876 social security{far} code 111-22-3333", f"321-54-9876{far} 123-45-6789{far} ssn 222-33-4444 {far}", "ssn: 321-54-9876, 123-45-6789"]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice([" 123-45-6789 ", " ssn ", " a b c d e f ", "social ", " " + "z" * rng.randint(1, 60) + " "]) for _ in range(12)) for _ in range(60)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        found = list(re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t))
+        want = []
+        for j, m in enumerate(found):
+            low, high = found[j - 1].end() if j else 0, found[j + 1].start() if j + 1 < len(found) else len(t)
+            near = t[max(low, m.start() - pii.AROUND) : m.start()] + " " + t[m.end() : min(high, m.end() + pii.AROUND)]
+            if re.search("ssn|social|security", near.lower()):
+                want.append(f"ssn:{m.start()}:{m.end()}")
+        assert [x for x in got[i].split(",") if x.startswith("ssn")] == want, t
+
+
 def test_minimax_shards(spark, docs, rows):
     n = 5
     got = sharding.shard(docs, n).collect()
@@ -232,6 +250,22 @@ def test_quality_on_held_out_documents(spark):
     assert len(got) > 80 and (got.predicted == got.quality).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_training_is_bounded_and_takes_the_same_rows(spark, tmp_path, monkeypatch):
+    rows = [(i % 40, ("Good words stand here, in a line.\n" if i % 2 else "BUY NOW!!! $$$ | click\n") * (1 + i % 7 * 30)) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    docs, labels = spark.read.parquet(f"{tmp_path}/d"), spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (None, 1), (2, None)], "doc_id long, quality int")
+    seen, fit = [], crf.LineField.fit
+
+    def spied(self, features, rows, labels):
+        seen.append((features.tobytes(), len(features), len(labels)))
+        return fit(self, features, rows, labels, steps=5)
+
+    monkeypatch.setattr(crf.LineField, "fit", spied)
+    crf.train(docs, labels, sample_lines=500)
+    crf.train(docs.repartition(5), labels, sample_lines=500)
+    assert seen[0] == seen[1] and seen[0][1] <= 500 and seen[0][2] == 10
+
+
 def test_quality_of_odd_rows(docs):
     got = crf.score(docs, crf.LineField(), keep=["doc_id", "name"]).collect()
     assert len(got) == docs.count() and all(r.score == 0.5 for r in got) and got[0].name == "x"
