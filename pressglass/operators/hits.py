@@ -148,9 +148,10 @@ def keyword_second(located: DataFrame, id_col: str = "video_id") -> DataFrame:
 
 
 def hits_map(located: DataFrame, id_col: str = "video_id") -> DataFrame:
-    """One row per transcript: {keyword: ordered hits}."""
-    entry = F.struct("keyword", "hits")
-    return located.where(F.size("hits") > 0).groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("keyword_hits"))
+    """One row per transcript: {keyword: ordered hits}.  A keyword that is there in two languages has the hits of both."""
+    flat = located.where(F.size("hits") > 0).groupBy(id_col, "keyword").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+    entry = F.struct("keyword", F.array_sort("hits", lambda a, b: a["start"] - b["start"]).alias("hits"))
+    return flat.groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("keyword_hits"))
 
 
 def first_hit(located: DataFrame, id_col: str = "video_id") -> DataFrame:
@@ -173,15 +174,25 @@ def verify_hits(hits: Column, keyword: Column, language: Column) -> Column:
 
 
 def prune_hits(mentions: DataFrame, languages: DataFrame | None = None) -> DataFrame:
-    """mentions with keyword_hits cut to verified ones and matched_keywords to keywords that still have some."""
-    if languages is not None and not languages.isEmpty():
-        table = F.broadcast(languages.limit(100_000).agg(F.map_from_entries(F.collect_set(F.struct("text", "language"))).alias("_langs")))
-        rows = mentions.crossJoin(table)  # one row
-        lang = lambda k: F.coalesce(F.try_element_at("_langs", k), T.script_language(k))
-    else:
-        rows, lang = mentions, T.script_language
-    clean = F.map_filter(F.transform_values("keyword_hits", lambda k, v: verify_hits(v, k, lang(k))), lambda k, v: F.size(v) > 0)
-    return rows.withColumn("keyword_hits", clean).withColumn("matched_keywords", F.array_sort(F.map_keys("keyword_hits"))).select(*mentions.columns)
+    """mentions with keyword_hits cut to verified ones and matched_keywords to keywords that still have some.
+
+    languages (text, language) has each keyword's language; others have that of their script.  A keyword listed in two languages
+    keeps the hits that either form verifies.
+    """
+    if languages is None:
+        clean = F.transform_values("keyword_hits", lambda k, v: verify_hits(v, k, T.script_language(k)))
+        rows = mentions.withColumn("keyword_hits", F.map_filter(clean, lambda k, v: F.size(v) > 0))
+    else:  # the hits' keywords are joined with the list, whatever its length
+        rows = mentions.withColumn("_row", F.monotonically_increasing_id())
+        listed = languages.select(F.col("text").alias("_keyword"), "language").groupBy("_keyword").agg(F.collect_set("language").alias("_languages"))
+        hits = rows.select("_row", F.explode("keyword_hits").alias("_keyword", "_hits")).join(small(listed), "_keyword", "left")
+        forms = F.coalesce("_languages", F.array(T.script_language(F.col("_keyword"))))
+        good = F.array_distinct(F.flatten(F.transform(forms, lambda x: verify_hits(F.col("_hits"), F.col("_keyword"), x))))
+        entry = F.struct("_keyword", F.array_sort(good, lambda a, b: a["start"] - b["start"]).alias("hits"))
+        found = hits.select("_row", entry.alias("e")).where("size(e.hits) > 0").groupBy("_row").agg(F.map_from_entries(F.collect_list("e")).alias("_good"))
+        empty = F.create_map().cast(dict(mentions.dtypes)["keyword_hits"])
+        rows = rows.join(found, "_row", "left").withColumn("keyword_hits", F.coalesce("_good", empty))
+    return rows.withColumn("matched_keywords", F.array_sort(F.map_keys("keyword_hits"))).select(*mentions.columns)
 
 
 def verified_keywords(mentions: DataFrame, active: DataFrame) -> DataFrame:

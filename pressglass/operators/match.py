@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pressglass.functions import text as T
 from pressglass.sizes import small
 
+#: Keywords whose words may stand in a plan.
+PLAN_KEYWORDS = 2_000
+
 
 def active_keywords(keywords: DataFrame, module: str | None = None, ids: list[int] | None = None) -> DataFrame:
     """Active keywords with a text, of one module and some ids if given, ordered by text."""
@@ -36,44 +39,61 @@ def match_documents_theta(docs: DataFrame, keywords: DataFrame, id_col: str = "d
 def match_documents(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc id, keyword, language, by an equi-join on words.
 
-    Documents become distinct (id, word) rows, the watchlist is joined on each keyword's longest word, and only phrases
-    (and words glued to signs) join the text back to be verified.  Texts don't travel with their words.  Keywords without any
-    word character go to the theta form.
+    A document's words are joined with each keyword's longest word; phrases (and words glued to signs) are then verified
+    on the text.  With a watchlist of up to PLAN_KEYWORDS keywords its words stand in the plan: documents are read once, and only
+    those that hold such a word give rows, which carry their text to the verification.  With a longer one all distinct words
+    of a document are dealt out without the text, which phrases join again.  Keywords without any word character are tried
+    by pattern; that branch is there only if there are such keywords.
     """
-    kw = _prepared(keywords).persist()
-    languages = [r[0] for r in kw.select("language").distinct().collect()]
+    kw, spark = _prepared(keywords), docs.sparkSession
+    rows = kw.limit(PLAN_KEYWORDS + 1).collect()
+    listed = spark.createDataFrame(rows, kw.schema) if len(rows) <= PLAN_KEYWORDS else None
     longest = F.aggregate("tokens", F.lit(""), lambda b, w: F.when(F.length(w) > F.length(b), w).otherwise(b))
     sure = (F.size("tokens") == 1) & (F.get("tokens", F.lit(0)) == F.col("normal"))
-    entries = small(kw.where(F.size("tokens") > 0).select("keyword", "language", "pattern", longest.alias("word"), sure.alias("sure")))
-    out = None
-    for language in languages:
-        forms = docs.select(F.col(id_col).alias("id"), T.normalize_text(F.col(text_col), language).alias("form"))
-        words = forms.select("id", F.explode(F.array_distinct(T.word_tokens(F.col("form")))).alias("word"))
-        found = words.join(entries.where(F.col("language") == language), "word")
-        plain = found.where("sure").select("id", "keyword", "language")
-        phrases = found.where("not sure").select("id", "keyword", "language", "pattern")
-        phrases = phrases.join(forms, "id").where(F.rlike(F.col("form"), F.col("pattern"))).select("id", "keyword", "language")
-        part = plain.unionByName(phrases)
-        out = part if out is None else out.unionByName(part)
+    form = F.when(F.col("language") == "ur", "ur").otherwise("en")
+    entries = (kw if listed is None else listed).where(F.size("tokens") > 0).select("keyword", "language", form.alias("form"), "pattern", longest.alias("word"), sure.alias("sure"))
+    text = docs.select(F.col(id_col).alias("id"), T.composed(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    kinds = ["en", "ur"] if listed is None else sorted({"ur" if r.language == "ur" else "en" for r in rows if r.tokens})
+    normal = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), T.normalize_text(F.col("text"), k, compose=False).alias("normal")) for k in kinds])).alias("f") if kinds else None
+    names = ["id", "keyword", "language"]
+    out = docs.select(F.col(id_col).alias("id"), F.lit("").alias("keyword"), F.lit("").alias("language")).where("false") if normal is None else None
+    if normal is not None and listed is not None:
+        forms = text.select("id", normal).select("id", "f.form", "f.normal")
+        words = F.array(*[F.lit(w) for w in sorted({max(r.tokens, key=len) for r in rows if r.tokens})])
+        met = forms.select("id", "form", "normal", F.explode(F.array_intersect(T.word_tokens(F.col("normal")), words)).alias("word"))
+        found = met.join(F.broadcast(entries), ["form", "word"])
+        out = found.where(F.col("sure") | F.rlike("normal", F.col("pattern"))).select(*names)
+    elif normal is not None:
+        forms = text.select("id", normal).select("id", "f.form", "f.normal")
+        words = forms.select("id", "form", F.explode(F.array_distinct(T.word_tokens(F.col("normal")))).alias("word"))
+        found = words.join(small(entries), ["form", "word"])
+        phrases = found.where("not sure").select("id", "form", "keyword", "language", "pattern").join(forms, ["id", "form"])
+        out = found.where("sure").select(*names).unionByName(phrases.where(F.rlike("normal", F.col("pattern"))).select(*names))
     odd = kw.where(F.size("tokens") == 0).select(F.col("keyword").alias("text"), "language")
-    theta = match_documents_theta(docs, odd, id_col, text_col).withColumnRenamed(id_col, "id")
-    out = theta if out is None else out.unionByName(theta)
+    if any(not r.tokens for r in rows) or listed is None and not odd.isEmpty():
+        out = out.unionByName(match_documents_theta(docs, odd, id_col, text_col).withColumnRenamed(id_col, "id"))
     return out.select(F.col("id").alias(id_col), "keyword", "language").distinct()
 
 
 def prefilter_candidates(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs that contain the longest word of some keyword as a substring: a sound first cut, no match is lost.
 
-    A keyword whose longest word has under two characters switches the cut off.  The words become one pattern per
-    language, so the watchlist must be small enough for a plan (it is read to the driver, 10,000 keywords at most).
+    A keyword whose longest word has under two characters switches the cut off.  The words stand in the plan in lots of
+    PLAN_KEYWORDS, whatever the watchlist's length: a document is kept by the first lot that it meets.
     """
-    rows = keywords.select("language", T.longest_token(T.normalize_text(F.col("text"), F.col("language"))).alias("w")).where("w != ''").distinct().limit(10_001).collect()
-    if len(rows) > 10_000 or any(len(r.w) < 2 for r in rows):
+    rows = keywords.select("language", T.longest_token(T.normalize_text(F.col("text"), F.col("language"))).alias("w")).where("w != ''").distinct()
+    if not rows.where(F.length("w") < 2).isEmpty():
         return docs
+    form = F.when(F.col("language") == "ur", "ur").otherwise("en")
+    lots: dict[str, list[list[str]]] = {"en": [], "ur": []}
+    for r in rows.select(form.alias("form"), "w").distinct().toLocalIterator():  # a watchlist, not a corpus
+        if not lots[r.form] or len(lots[r.form][-1]) >= PLAN_KEYWORDS:
+            lots[r.form].append([])
+        lots[r.form][-1].append("\\Q" + r.w.replace("\\E", "\\E\\\\E\\Q") + "\\E")
     keep = F.lit(False)
-    for language in {r.language for r in rows}:
-        words = sorted(r.w for r in rows if r.language == language)
-        keep |= T.normalize_text(F.col(text_col), language).rlike("|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in words))
+    for kind, parts in lots.items():
+        for words in parts:
+            keep |= T.normalize_text(F.col(text_col), kind).rlike("|".join(sorted(words)))
     return docs.where(keep)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressglass.operators.hits import prune_hits
@@ -24,13 +24,14 @@ def _over(old: Column, new: Column, kind: str) -> Column:
 def merge_mentions(existing: DataFrame, new: DataFrame, languages: DataFrame | None = None, base: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The merged table, and alerts (module, external_id, added: labels that weren't there).
 
-    Key: module, external_id.  New rows are taken as they are, with the first excerpt (else the title) as snippet.  Rows on
+    Key: module, external_id.  New rows without any hit are ignored; others are taken as they are, with the first excerpt (else the title) as snippet.  Rows on
     both sides keep what they have, hits and media merged by keyword (new ones win) and pruned to verified ones; labels
     become the keywords that are left, snippet and links follow the first of them, the section is replaced, and rows
     without a label go.  base: URL column to which times are added for links (default: url).
     """
     key = ["module", "external_id"]
-    new = distinct_first(new, key, [F.desc_nulls_last("id")])
+    has_hits = F.exists(F.map_values(F.coalesce("keyword_hits", F.create_map().cast(dict(new.dtypes)["keyword_hits"]))), lambda h: F.size(h) > 0)
+    new = distinct_first(new.where(has_hits), key, [F.desc_nulls_last("id")])
     cols = existing.columns
     o, n = existing.alias("o"), new.alias("n")
     same = (F.col("o.module") == F.col("n.module")) & (F.col("o.external_id") == F.col("n.external_id"))
@@ -60,20 +61,26 @@ def merge_mentions(existing: DataFrame, new: DataFrame, languages: DataFrame | N
 
 
 def upsert_keywords(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """existing (id, text, language, module, active) with new (text, language, module): blank ones ignored, one row per
-    folded text and module; a row that is there is reactivated and its language repaired by the script."""
+    """existing (id, text, language, module, active and more) with new (text, language, module): blank ones are ignored.
+
+    A text that a module has, whatever its case, is reactivated and its language repaired by the script: in the row of the right
+    language, else in the first one.  All other rows and columns stay as they are.
+    """
     from pressglass.functions.text import keyword_language, squash_ws
 
     clean = new.select(squash_ws(F.col("text")).alias("text"), "language", "module").where("text is not null and text != ''")
     clean = clean.withColumn("language", keyword_language(F.col("text"), F.col("language"))).withColumn("fold", F.lower("text"))
     clean = distinct_first(clean, ["fold", "module"], ["text"])
-    old = existing.withColumn("fold", F.lower("text"))
-    # Of rows that differ in language only, the one of the right language stands for the text.
-    lead = distinct_first(old.join(clean.select("fold", "module", F.col("language").alias("_right")), ["fold", "module"], "left"), ["fold", "module"], [(F.col("language") == F.col("_right")).desc_nulls_last(), F.desc("active"), "id"]).drop("_right")
-    o, n = lead.alias("o"), clean.alias("n")
-    return o.join(n, (F.col("o.fold") == F.col("n.fold")) & (F.col("o.module") == F.col("n.module")), "full_outer").select(
-        F.col("o.id").alias("id"), F.coalesce("o.text", "n.text").alias("text"), F.coalesce("n.language", "o.language").alias("language"), F.coalesce("o.module", "n.module").alias("module"), F.when(F.col("n.text").isNotNull(), True).otherwise(F.col("o.active")).alias("active")
-    )
+    right = clean.select("fold", "module", F.col("language").alias("_right"))
+    old = existing.withColumn("fold", F.lower("text")).join(right, ["fold", "module"], "left")
+    order = [(F.col("language") == F.col("_right")).desc_nulls_last(), F.desc("active"), "id"]
+    old = old.withColumn("_n", F.row_number().over(Window.partitionBy("fold", "module").orderBy(*order)))
+    met = F.col("_right").isNotNull() & (F.col("_n") == 1)
+    repaired = {"language": F.when(met, F.col("_right")).otherwise(F.col("language")), "active": F.when(met, True).otherwise(F.col("active"))}
+    kept = old.select(*[repaired.get(c, F.col(c)).alias(c) for c in existing.columns])
+    fresh = clean.join(existing.select(F.lower("text").alias("fold"), "module"), ["fold", "module"], "left_anti")
+    added = fresh.select("text", "language", "module", F.lit(True).alias("active"))
+    return kept.unionByName(added, allowMissingColumns=True)
 
 
 def upsert_sources(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -85,12 +92,16 @@ def upsert_sources(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_cache(existing: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """By module and external_id: a blank new title or body keeps the old one; what was fetched again is as of now."""
+    """By module and external_id: a blank new title or body keeps the old one, missing new values keep the old ones; what
+    was fetched again is as of now.  Columns are those of existing."""
     key = ["module", "external_id"]
     o, n = existing.alias("o"), distinct_first(new, key, [F.length("body").desc_nulls_last(), "body"]).alias("n")
     joined = o.join(n, (F.col("o.module") == F.col("n.module")) & (F.col("o.external_id") == F.col("n.external_id")), "full_outer")
-    seen = F.col("n.external_id").isNotNull()
-    return joined.select(*[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in key], *[_filled(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in ("title", "body")], F.when(seen, now).otherwise(F.col("o.fetched_at")).alias("fetched_at"))
+    both, kinds = [c for c in existing.columns if c in new.columns], dict(existing.dtypes)
+    value = {c: _filled(F.col(f"n.{c}"), F.col(f"o.{c}")) if kinds[c] == "string" else F.coalesce(f"n.{c}", f"o.{c}") for c in both}
+    value |= {k: F.coalesce(f"o.{k}", f"n.{k}") for k in key}
+    value["fetched_at"] = F.when(F.col("n.external_id").isNotNull(), now).otherwise(F.col("o.fetched_at"))
+    return joined.select(*[value.get(c, F.col(f"o.{c}")).alias(c) for c in existing.columns])
 
 
 def upsert_channels(existing: DataFrame, seed: DataFrame) -> DataFrame:
@@ -107,13 +118,15 @@ def missing_slots(existing: DataFrame, seed: DataFrame) -> DataFrame:
 
 
 def finalize_transcripts(existing: DataFrame, results: DataFrame) -> DataFrame:
-    """Claimed rows filled from results (video_id, text, model, segments); rows that stay empty go.
-    Rows of the metadata model are marked so, others as transcribed."""
-    o, r = existing.alias("o"), results.alias("r")
-    joined = o.join(r, "video_id", "left")
-    text = _filled(F.col("r.text"), F.col("o.text"))
-    model = F.coalesce("r.model", "o.model")
-    out = joined.select("video_id", text.alias("text"), model.alias("model"), F.coalesce("r.segments", "o.segments").alias("segments"), F.when(model == "metadata", "metadata").otherwise("transcribed").alias("transcriber"))
+    """Claimed rows filled from results (video_id, text, model, segments and more); rows that stay empty go.
+    Rows of the metadata model are marked so, others as transcribed.  Columns are those of existing."""
+    o, r = existing.alias("o"), distinct_first(results, ["video_id"], [F.length("text").desc_nulls_last(), "text"]).alias("r")
+    joined = o.join(r, F.col("o.video_id") == F.col("r.video_id"), "left")
+    value = {c: F.coalesce(f"r.{c}", f"o.{c}") for c in existing.columns if c in results.columns}
+    value |= {"video_id": F.col("o.video_id"), "text": _filled(F.col("r.text"), F.col("o.text"))}
+    value["transcriber"] = F.when(value["model"] == "metadata", "metadata").otherwise("transcribed")
+    names = [*existing.columns, *({"transcriber"} - set(existing.columns))]
+    out = joined.select(*[value.get(c, F.col(f"o.{c}")).alias(c) for c in names])
     return out.where(F.coalesce(F.trim("text"), F.lit("")) != "")
 
 

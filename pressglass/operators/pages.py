@@ -74,14 +74,16 @@ class _Reader(HTMLParser):
                 pieces.append(piece)
 
 
-def read_html(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """id, paragraphs, blocks (arrays of text), anchors (array of href, title, inside) of each page; null html has none."""
-    kind = pages.schema[id_col].dataType.simpleString()
+def read_html(pages: DataFrame, id_col: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id and the columns in keep, paragraphs, blocks (arrays of text), anchors (array of href, title, inside) of each page;
+    null html has none."""
+    columns = list(dict.fromkeys([id_col, *keep]))
+    kinds = {f"c{i}": pages.schema[c].dataType.simpleString() for i, c in enumerate(columns)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paragraphs, blocks, anchors = [], [], []
-            for html in batch.column(1).to_pylist():
+            for html in batch.column("html").to_pylist():
                 r = _Reader()
                 r.feed(html or "")
                 r.close()
@@ -89,10 +91,14 @@ def read_html(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
                 blocks.append([" ".join(x) for x in r.blocks])
                 anchors.append([{"href": h, "title": " ".join(x), "inside": i} for h, x, i in r.anchors])
             link = pa.list_(pa.struct([("href", pa.string()), ("title", pa.string()), ("inside", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paragraphs, pa.list_(pa.string())), pa.array(blocks, pa.list_(pa.string())), pa.array(anchors, link)], names=["id", "paragraphs", "blocks", "anchors"])
+            texts = pa.list_(pa.string())
+            found = [pa.array(paragraphs, texts), pa.array(blocks, texts), pa.array(anchors, link)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kinds), *found], names=[*kinds, "paragraphs", "blocks", "anchors"])
 
-    read = pages.select(F.col(id_col).alias("id"), "html").mapInArrow(each, f"id {kind}, paragraphs array<string>, blocks array<string>, anchors array<struct<href:string,title:string,inside:string>>")
-    return read.withColumnRenamed("id", id_col)
+    fields = ", ".join(f"{k} {v}" for k, v in kinds.items())
+    read = pages.select(*[F.col(c).alias(k) for c, k in zip(columns, kinds, strict=True)], "html")
+    read = read.mapInArrow(each, f"{fields}, paragraphs array<string>, blocks array<string>, anchors array<struct<href:string,title:string,inside:string>>")
+    return read.toDF(*columns, "paragraphs", "blocks", "anchors")
 
 
 def largest_block(blocks: Column) -> Column:
@@ -109,14 +115,20 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", least: int = 20
 
 
 def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", least_title: int = 18, pattern: str | None = None) -> DataFrame:
-    """id, pos, title, url: links to stories, absolute, first of each; by pattern, else by how article URLs look."""
-    anchors = read_html(pages, id_col).select(id_col, F.posexplode("anchors").alias("pos", "a")).join(pages.select(id_col, F.col(url_col).alias("_page")), id_col)
+    """id, pos, title, url: links to stories, absolute, first of each; by pattern, else by how article URLs look.
+
+    A page's links come from its own row: nothing is joined or shuffled, and rows with one id each give theirs.
+    """
+    read = read_html(pages, id_col, (url_col,)).withColumnRenamed(url_col, "_page") if url_col != id_col else read_html(pages, id_col).withColumn("_page", F.col(id_col))
+    read = read.withColumn("_row", F.monotonically_increasing_id())
+    anchors = read.select("_row", id_col, "_page", F.posexplode("anchors").alias("pos", "a"))
     href = F.trim("a.href")
-    rows = anchors.where(~href.rlike("^(?:#|(?i:javascript|mailto|tel):)|^$")).select(id_col, "pos", F.col("a.title").alias("title"), F.regexp_replace(urls.absolute_url(href, F.col("_page")), "#.*$", "").alias("url"), "_page")
+    full = F.regexp_replace(urls.absolute_url(href, F.col("_page")), "#.*$", "")
+    rows = anchors.where(~href.rlike("^(?:#|(?i:javascript|mailto|tel):)|^$")).select("_row", id_col, "pos", F.col("a.title").alias("title"), full.alias("url"), "_page")
     good = F.col("url").rlike(pattern) if pattern else urls.is_article_url(F.col("url"), F.col("_page"))
     rows = rows.where((F.length("title") >= least_title) & good)
-    first = F.row_number().over(Window.partitionBy(id_col, "url").orderBy("pos"))
-    return rows.withColumn("_n", first).where("_n = 1").select(id_col, "pos", "title", "url")
+    first = rows.groupBy("_row", "url").agg(F.first(id_col).alias(id_col), F.min(F.struct("pos", "title")).alias("link"))
+    return first.select(id_col, "link.pos", "link.title", "url")
 
 
 def _attributes(html: Column, tag: str) -> Column:

@@ -91,11 +91,16 @@ def score_uploads(pairs: DataFrame, tz: str = times.ZONE, window: int = WINDOW_M
 
 
 def classify_uploads(uploads: DataFrame, slots: DataFrame, tz: str = times.ZONE) -> DataFrame:
-    """slots (with slot_date) joined with their channel's uploads of the day, scored."""
+    """slots (with slot_date) joined with their channel's uploads of the day, scored; where none is of the day, with
+    all that the channel has."""
     u = uploads.withColumnRenamed("channel_id", "_channel")
     start = F.to_utc_timestamp(F.col("slot_date").cast("timestamp"), tz)
-    near = F.col("published").isNull() | F.col("published").between(start - F.expr("interval 4 hours"), start + F.expr("interval 28 hours"))
-    return score_uploads(slots.join(u, (F.col("channel_id") == F.col("_channel")) & near).drop("_channel"), tz)
+    near = F.col("published").between(start - F.expr("interval 4 hours"), start + F.expr("interval 28 hours"))
+    dated = slots.join(u, (F.col("channel_id") == F.col("_channel")) & near).drop("_channel")
+    key = ["channel_id", "slot_date"]
+    bare = slots.join(dated.select(*key).distinct(), key, "left_anti")
+    rest = bare.join(u, F.col("channel_id") == F.col("_channel")).drop("_channel")
+    return score_uploads(dated.unionByName(rest), tz)
 
 
 def pick_best(scored: DataFrame, by: list[str], order: list, margin: float = MARGIN) -> DataFrame:
@@ -116,7 +121,7 @@ def is_due(bulletins: DataFrame, now: Column, offsets: list[int] | None = None,
     """Bulletins to look for now: not final (unless their transcription is open), and late enough for their attempt."""
     steps = F.array(*[F.lit(x) for x in (offsets or times.retry_offsets())])
     elapsed = (F.unix_timestamp(now) - F.unix_timestamp(times.slot_airtime(F.col("slot_date"), F.col("local_time"), tz))) / 60
-    final = F.col("discovery_status").isin("ready", "no_match", "missing", "needs_review")
+    final = F.coalesce("discovery_status", F.lit("")).isin("ready", "no_match", "missing", "needs_review")
     reopened = F.col("transcription_status").isin("pending", "failed")
     need = F.element_at(steps, F.least(F.coalesce("attempts", F.lit(0)) + 1, F.size(steps)))
     return bulletins.where((~final | reopened) & (elapsed >= F.element_at(steps, 1)) & (elapsed >= need))
@@ -127,12 +132,17 @@ def past_missing_deadline(bulletins: DataFrame, now: Column, tz: str = times.ZON
 
 
 def needs_transcription(videos: DataFrame, transcripts: DataFrame, now: Column) -> DataFrame:
-    """Videos without a transcript, with a stub of metadata, or whose claim (a row without text) is older than 20 minutes."""
-    t = transcripts.select("video_id", F.col("model").alias("_model"), F.col("text").alias("_text"), F.col("created_at").alias("_at"), F.lit(True).alias("_have"))
-    claim = F.coalesce(F.trim("_text"), F.lit("")) == ""
-    stale = F.unix_timestamp(now) - F.unix_timestamp("_at") > CLAIM_S
-    need = F.col("_have").isNull() | (F.col("_model") == "metadata") | (claim & stale)
-    return videos.join(t, "video_id", "left").where(F.coalesce(need, F.lit(False))).select(*videos.columns)
+    """Videos without a transcript, with a stub of metadata, or whose claim (transcriber `transcribing`) is 20 minutes old or more.
+
+    A claim without a time is fresh; a real transcript isn't made again, even an empty one.
+    """
+    marker = F.lower(F.coalesce("transcriber", F.lit("")))
+    stub = (marker == "metadata") | (F.col("model") == "metadata")
+    t = transcripts.select("video_id", (marker == "transcribing").alias("_claim"), F.coalesce(stub, F.lit(False)).alias("_stub"), F.col("created_at").alias("_at"))
+    t = t.groupBy("video_id").agg(F.max("_claim").alias("_claim"), F.min("_stub").alias("_stub"), F.max("_at").alias("_at"))
+    stale = F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("_at") >= CLAIM_S, F.lit(False))
+    need = F.when(F.col("_claim").isNull(), True).when(F.col("_claim"), stale).otherwise(F.col("_stub"))
+    return videos.join(t, "video_id", "left").where(need).select(*videos.columns)
 
 
 def bulletin_status(discovery: Column, transcription: Column) -> Column:

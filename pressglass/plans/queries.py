@@ -10,28 +10,14 @@ from pyspark.sql import functions as F
 from pressglass.functions import text as T
 from pressglass.functions import times, urls
 from pressglass.operators import feeds, hits, match, merge, pages, policy, quality, slots, ticker
+from pressglass.plans import registry, table_queries  # noqa: F401 (table_queries registers its own)
+from pressglass.plans.registry import query, table
 from pressglass.plans.search import press_search
 from pressglass.storage import drained
 from pressglass.streaming.operators import stream_matches
 
 TERMS = ["the", "of the", "and", "nicht", "und", "que", "de la", "worthless", "idiot", "all rights reserved", "General Public License", "token"]
 NOW = "timestamp'2024-01-31 00:00:00'"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def watchlist(spark: SparkSession, terms: list[str] = TERMS) -> DataFrame:
@@ -161,8 +147,8 @@ def stream_documents(spark, sf_dir):
 
 
 def mentions_of(spark, sf_dir, keyword, least):
-    """documents as mentions of one keyword, with the first 240 characters as the hit's excerpt."""
-    hit = F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"), F.left("text", F.lit(240)).alias("excerpt"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("screenshot"))
+    """documents as mentions of one keyword, with the text as the hit's excerpt."""
+    hit = F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"), F.col("text").alias("excerpt"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("screenshot"))
     docs = table(spark, sf_dir, "documents").where(least)
     return docs.select(
         F.col("doc_id").alias("id"), F.lit("newspaper").alias("module"), F.col("doc_id").cast("string").alias("external_id"), "source", F.lit("s").alias("section"), F.lit("t").alias("title"), F.lit("u").alias("url"), F.lit("").alias("deeplink"), F.lit("").alias("snippet"),
@@ -171,7 +157,7 @@ def mentions_of(spark, sf_dir, keyword, least):
 
 
 def _excerpt_hit(k):
-    return rf"regexp_matches(trim(lower(regexp_replace(left(text, 240), '\s+', ' ', 'g'))), '(^|{EDGE}){k}($|{EDGE})')"
+    return rf"regexp_matches(trim(lower(regexp_replace(text, '\s+', ' ', 'g'))), '(^|{EDGE}){k}($|{EDGE})')"
 
 
 @query(f"""
@@ -539,12 +525,13 @@ def latest_slot_status(spark, sf_dir):
 
 @query("""
 SELECT o_orderkey AS bulletin_id FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate::DATE) AS made, count(*) AS n FROM lineitem GROUP BY 1) t ON l_orderkey = o_orderkey
-WHERE l_orderkey IS NULL OR n = 1 OR (n = 2 AND epoch(timestamp'1996-01-01 00:00:00') - epoch(made::TIMESTAMP) > 1200)
+WHERE l_orderkey IS NULL OR n = 1 OR (n = 2 AND epoch(timestamp'1996-01-01 00:00:00') - epoch(made::TIMESTAMP) >= 1200)
 """)
 def needs_transcription(spark, sf_dir):
     videos = bulletins(spark, sf_dir).select("bulletin_id", F.col("bulletin_id").alias("video_id"))
     made = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("video_id")).agg(F.min(F.to_date("l_shipdate")).cast("timestamp").alias("created_at"), F.count("*").alias("n"))
-    made = made.select("video_id", "created_at", F.when(F.col("n") == 1, "metadata").otherwise("large").alias("model"), F.when(F.col("n") == 2, "").otherwise("text").alias("text"))
+    marker = F.when(F.col("n") == 1, "metadata").when(F.col("n") == 2, "transcribing").otherwise("large")
+    made = made.select("video_id", "created_at", marker.alias("transcriber"), F.lit("large").alias("model"))
     return slots.needs_transcription(videos, made, F.expr("timestamp'1996-01-01 00:00:00'")).select("bulletin_id")
 
 
@@ -570,8 +557,8 @@ def union_results(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pressglass.functions import text as T
 from pressglass.operators.match import keyword_fingerprint
 from pressglass.operators.merge import merge_mentions
+from pressglass.operators.ticker import merge_read
 from pressglass.sizes import small
 
 CATCH_UP = "4 days"
@@ -63,30 +64,15 @@ def stream_merge_ticker(stream: DataFrame) -> DataFrame:
     Rows of one batch are taken in order of t; a stream's last line stays in its state until another one begins.
     """
 
-    def norm(s: str | None) -> str:
-        return " ".join((s or "").split())
-
-    def alike(a: str, b: str) -> bool:
-        x, y = set(a.split()), set(b.split())
-        return a in b or b in a or bool(x and y) and len(x & y) / len(x | y) >= 0.6
-
     def step(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
+        last = list(state.get) if state.exists else None
         out = []
         rows = pd.concat(list(batches)).sort_values("t", kind="stable")
         for t, text in zip(rows["t"], rows["text"], strict=True):
-            n = norm(text)
-            if not n:
-                continue
-            if last is not None and alike(norm(last[1]), n):
-                if len(n) > len(norm(last[1])):
-                    last = (last[0], text)
-            else:
-                if last is not None:
-                    out.append((key[0], *last))
-                last = (int(t), text)
+            last, over = merge_read(last, [int(t), text])
+            out += [(key[0], *line) for line in over]
         if last is not None:
-            state.update(last)
+            state.update(tuple(last))
         yield pd.DataFrame(out, columns=["stream_id", "t", "text"])
 
     return stream.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, t int, text string", "t int, text string", "append", GroupStateTimeout.NoTimeout)
