@@ -42,6 +42,9 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        self.remove()
+
+    def remove(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 

@@ -37,7 +37,7 @@ from pressglass.llm.words import gram_hashes, mixed, word_hashes
 #: Members of a region up to which they are compared with each other; larger regions are split again.
 SMALL = 512
 #: Splits of a region at most; what is left then is compared as in small regions.
-LEVELS = 4
+LEVELS = 2
 #: A row number's bits (4 million tasks of 8 billion rows); above them stands the place in an order, up to 127.
 RID_BITS = 55
 RID_MASK = (1 << RID_BITS) - 1
@@ -336,7 +336,7 @@ def _components_of_links(texts: DataFrame, tables: Scratch, k: int, percent: int
         regions = tables.stored(_regions(entries), "regions")
         if bodies is None:
             inside = regions.select("rid").union(regions.select("pivot")).distinct()
-            known_sets = tables.stored(_known(texts.join(inside, "rid", "left_semi"), k), "known")
+            known_sets = tables.stored(_known(texts.join(inside.hint("merge"), "rid", "left_semi"), k), "known")
             bodies = known_sets.select("rid", "body")
         sized = tables.stored(_sized(regions, known_sets, percent), "sized")
         measured, new = tables.counted(_measured(sized.where("maybe_near"), bodies, k, percent), "measured", links=F.col("near"))
@@ -389,7 +389,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         points = sets.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("point"), F.min("n_shingles").alias("n_shingles"))
         member = tables.stored(sets.join(points, ["digest", "n_shingles"]).select("rid", "id", "point"), "members")
         first = member.where("rid = point").select("rid")
-        texts = tables.stored(read.select("rid", "text").mapInArrow(pack, "rid long, body binary").join(first, "rid", "left_semi"), "points")
+        packed = read.select("rid", "text").mapInArrow(pack, "rid long, body binary")
+        texts = tables.stored(packed.join(first.hint("merge"), "rid", "left_semi"), "points")
         parts = _components_of_links(texts, tables, k, percent)
         whole = member.join(parts.withColumnRenamed("rid", "point"), "point", "left")
         whole = tables.stored(whole.select("rid", "id", F.coalesce("component", "point").alias("component")), "whole")
@@ -406,4 +407,4 @@ def drop_near_copies(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     found = near_duplicates(docs, percent, k, id_col, text_col).select("rid", "component", F.col(id_col).alias("id"))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
     gone = found.select("rid").join(first, "rid", "left_anti").withColumnRenamed("rid", "_rid")
-    return rows.join(gone, "_rid", "left_anti").select(*docs.columns)
+    return rows.join(gone.hint("merge"), "_rid", "left_anti").select(*docs.columns)

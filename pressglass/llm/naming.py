@@ -6,14 +6,14 @@ No identity rests on a hash: a name stands for the block's bytes themselves, ran
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressglass.llm.common import bounded_batches, numbered, stored
+from pressglass.llm.common import Scratch, bounded_batches, numbered, stored
 
 WHITE = b" \t\n\v\f\r"
 #: Bytes of normalised text in a block.
@@ -50,19 +50,20 @@ def _named(df: DataFrame, keys: list[str]) -> DataFrame:
     return hashed.join(named, same).drop("hash", "hash_", *keys, *[f"{k}_" for k in keys])
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", put: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """One row per row of docs: rid (the row's number), id, n_chars, text_sha256 (of the normalised text),
     keep_id, group_size, kept.
 
     Texts are equal when they are so without white space; null counts as empty.  Of equal texts the one with
-    the most code points stays, then the smallest id (null ids last), then the first of repeated rows.
+    the most code points stays, then the smallest id (null ids last), then the first of repeated rows.  put() stores
+    tables that the result reads.
     """
     bounded_batches(docs.sparkSession)
     read = numbered(docs, "_rid").select(F.col("_rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = read.mapInArrow(_blocks, f"rid long, doc_id {kind}, n_chars long, digest binary, n_blocks long, block_no long, block binary")
     own = ["rid", "doc_id", "n_chars", "digest", "n_blocks"]
-    names = stored(_named(blocks, ["block"]), "names")
+    names = put(_named(blocks, ["block"]), "names")
     most = names.agg(F.max("n_blocks")).first()[0] or 1
     done = names.where("n_blocks = 1").select(*own, "name")
     rest = names.where("n_blocks > 1")
@@ -70,7 +71,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         most = -(-most // 2)
         left, right = F.max(F.when(F.col("block_no") % 2 == 0, F.col("name"))), F.max(F.when(F.col("block_no") % 2 == 1, F.col("name")))
         pairs = rest.groupBy(*own, F.floor(F.col("block_no") / 2).alias("block_no")).agg(left.alias("left"), F.coalesce(right, F.lit(-1)).alias("right"))
-        rest = stored(_named(pairs, ["left", "right"]), "names")
+        rest = put(_named(pairs, ["left", "right"]), "names")
     # Texts of as many blocks were named in the same rounds; over different numbers names aren't compared.
     rows = done.unionByName(rest.select(*own, "name"))
     best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")
@@ -83,5 +84,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs (read from files) that exact_groups() keeps, all their columns."""
     rows = numbered(docs, "_rid")
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("rid").alias("_rid"))
-    return rows.join(gone, "_rid", "left_anti").select(*docs.columns)
+    with Scratch(docs.sparkSession, "naming") as tables:
+        groups = exact_groups(docs, id_col, text_col, tables.stored)
+        gone = stored(groups.where("not kept").select(F.col("rid").alias("_rid")), "copies")
+    return rows.join(gone.hint("merge"), "_rid", "left_anti").select(*docs.columns)  # the same plan at every size
