@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressglass.llm import bpe, crf, jaccard, naming, winnow
-from pressglass.llm.common import documents, stored
+from pressglass.llm.common import Scratch, documents
 from pressglass.llm.queries import held_out
 
 
@@ -51,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages; a stage's table goes when the next one's is stored, the last stays."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        tables = Scratch(spark, name.replace(" ", "-"))
+        docs = tables.stored(stage(spark, docs, sf_dir), "kept")
+        if before:
+            before.remove()
+        before = tables
     return docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
