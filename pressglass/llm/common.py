@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +78,18 @@ def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def by_part_of_the_key(spark: SparkSession) -> Iterator[None]:
+    """Joins of sides that are dealt out by some of their keys go without dealing them out by all keys again."""
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
     """docs with a number for each row that is the same in every later job of the session.
 
