@@ -169,8 +169,9 @@ def _regions(entries: DataFrame) -> DataFrame:
 
 def _with_bodies(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """pairs: pivot, rid and more -> the same with body (of rid) and pivot_body."""
-    own = pairs.join(bodies, "rid")
-    return own.join(bodies.select(F.col("rid").alias("pivot"), F.col("body").alias("pivot_body")), "pivot")
+    # Never by a broadcast of few pairs: the plan, and what it shuffles, is the same at every size.
+    own = pairs.join(bodies.hint("merge"), "rid")
+    return own.join(bodies.select(F.col("rid").alias("pivot"), F.col("body").alias("pivot_body")).hint("merge"), "pivot")
 
 
 def _both_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
