@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -102,6 +102,22 @@ def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def placed(df: DataFrame, order: list[Column], put: Callable[[DataFrame, str], DataFrame], name: str = "place") -> DataFrame:
+    """df with each row's place (from 0) in a total order over all rows.
+
+    Rows are sorted by range and put() once; the ranges' sizes, one number each, are added up on the driver.  No range
+    holds a group together, so a key with many rows lies in many of them.
+    """
+    own = {"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    rows = put(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(own), "sorted")
+    ahead, before = 0, []
+    for r in rows.groupBy("_range").count().orderBy("_range").collect():
+        before.append((r["_range"], ahead))
+        ahead += r["count"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "_range int, _ahead long"))
+    return rows.join(starts, "_range").withColumn(name, F.col("_row") + F.col("_ahead")).drop("_range", "_row", "_ahead")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressglass.llm import bpe, chaining, crf, jaccard, naming, pii, planes, sharding, warc, winnow
+from pressglass.llm import bpe, chaining, collocations, crf, jaccard, naming, pii, planes, sharding, warc, winnow
 from pressglass.llm.common import documents
 
 
@@ -92,9 +92,31 @@ def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) AS t(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k AS m, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k >= 2),
+x AS (SELECT c.lang, c.phrase, c.a, x.k, x.l, x.r FROM (SELECT c.lang, c.phrase, c.a, cut.k, f1.f AS l, f2.f AS r FROM c, range(1, 5) AS cut(k)
+  JOIN f AS f1 ON f1.lang = c.lang AND f1.phrase = array_to_string(c.ws[1:cut.k], ' ') JOIN f AS f2 ON f2.lang = c.lang AND f2.phrase = array_to_string(c.ws[cut.k + 1:], ' ') WHERE cut.k < c.m) AS x JOIN c USING (lang, phrase)),
+s AS (SELECT lang, phrase, a, l, r, n, (1000::HUGEINT * a * n) // (l::HUGEINT * r) AS score, k FROM x JOIN n USING (lang)),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, max(a) AS within FROM (SELECT lang, ws, a, k, unnest(range(1, m - k + 2)) AS i FROM c, range(2, 5) AS t(k) WHERE k < m) GROUP BY ALL),
+o AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE 100 * coalesce(within, 0) < 100 * a),
+q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM q WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_crf, op2_collinear_chains, op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii, op10_jaccard_regions)}
+    return {f.__name__: f for f in (op1_line_crf, op2_collinear_chains, op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii, op10_jaccard_regions, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnowing": OP4_SQL, "op6_block_naming": OP6_SQL}
+    return {"op4_winnowing": OP4_SQL, "op6_block_naming": OP6_SQL, "op13_collocations": OP13_SQL}
