@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressglass.llm import bpe, chaining, collocations, crf, jaccard, naming, pii, planes, sharding, warc, winnow
+from pressglass.llm import bpe, chaining, collocations, crf, jaccard, merkle, naming, pii, planes, sharding, warc, winnow
 from pressglass.llm.common import documents
 
 
@@ -92,6 +92,34 @@ def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.proofs(documents(spark, sf_dir), {"text": found})
+
+
+OP11_SQL = r"""
+WITH RECURSIVE v AS (SELECT *, list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c // 2, 3988292384 * (c % 2)) END) AS crc FROM documents),
+o AS (SELECT doc_id, source, lang, n_chars, text, CASE WHEN crc % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS found FROM v),
+e AS (SELECT doc_id, source, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS text, coalesce(octet_length(encode(found)) || ':' || found, '-') AS found FROM o),
+d AS (SELECT doc_id, source, sha256(head || text) AS leaf, sha256(head || found) AS found FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM d),
+s AS (SELECT source, 0 AS lev, list(leaf ORDER BY pos) AS l FROM r GROUP BY source
+  UNION ALL SELECT source, lev + 1, list_transform(range(0, len(l), 3), lambda i: sha256(array_to_string(l[i + 1:i + 3], ''))) FROM s WHERE len(l) > 1),
+u AS (SELECT source, l[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM s WHERE len(l) = 1),
+t AS (SELECT 0 AS lev, list(subroot ORDER BY pos) AS l FROM u
+  UNION ALL SELECT lev + 1, list_transform(range(0, len(l), 3), lambda i: sha256(array_to_string(l[i + 1:i + 3], ''))) FROM t WHERE len(l) > 1),
+a AS (SELECT r.doc_id, r.leaf, r.found, u.subroot, s.lev, s.l, (r.pos // (3 ** s.lev)::BIGINT) AS p FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source JOIN s ON r.source IS NOT DISTINCT FROM s.source WHERE len(s.l) > 1
+  UNION ALL SELECT r.doc_id, r.leaf, r.found, u.subroot, 1000 + t.lev, t.l, (u.pos // (3 ** t.lev)::BIGINT) FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source JOIN t ON len(t.l) > 1),
+b AS (SELECT doc_id, leaf, found, subroot, lev, array_to_string(l[p - p % 3 + 1:p], '') AS lft, array_to_string(l[p + 2:p - p % 3 + 3], '') AS rgt FROM a),
+f AS (SELECT doc_id, leaf, subroot, sha256(string_agg(lft || rgt, '' ORDER BY lev)) AS proof_sha256,
+    list_reduce([found] || list(lft || '|' || rgt ORDER BY lev), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2))) AS folded_root FROM b GROUP BY doc_id, leaf, found, subroot)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f, (SELECT l[1] AS root FROM t WHERE len(l) = 1)
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
@@ -115,8 +143,8 @@ SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_crf, op2_collinear_chains, op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii, op10_jaccard_regions, op13_collocations)}
+    return {f.__name__: f for f in (op1_line_crf, op2_collinear_chains, op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii, op10_jaccard_regions, op11_merkle_climb, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnowing": OP4_SQL, "op6_block_naming": OP6_SQL, "op13_collocations": OP13_SQL}
+    return {"op4_winnowing": OP4_SQL, "op6_block_naming": OP6_SQL, "op11_merkle_climb": OP11_SQL, "op13_collocations": OP13_SQL}
