@@ -1,16 +1,17 @@
 """Phrase collocations by top-order marginalisation: only the longest windows are counted, shorter phrases are sums.
 
 Every word opens one window: itself and the words that lead on from it, padded where its piece ends.  Equal windows are
-counted, and ROLLUP over the window's columns sums the counts of each shorter prefix; a phrase occurs as often as windows
-begin with it.  That is done twice: over windows of two words, and over the longest ones, which are padded from the first
-pair on that is too rare to be in any candidate.  Which pairs are frequent is told by a bit array of bounded size: it may
-take a rare pair for a frequent one (ROLLUP then finds its true count), never the reverse.
+counted, and one ROLLUP over the window's columns sums the counts of each shorter prefix; a phrase occurs as often as windows
+begin with it.  Windows are padded early, from the first pair on that is too rare to be in any candidate, which leaves few
+different ones.  Which pairs are frequent is found before, from counts of their hashes, and told to tasks by a bit array of
+bounded size: it may take a rare pair for a frequent one (ROLLUP then finds its true count), never the reverse.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from pressglass.llm.common import Scratch, bounded_batches, placed, stored
 
-#: Bytes of text of one language that are counted at a time.
-CHUNK = 8_000_000
+#: Characters of one language's texts that are counted at a time.
+CHUNK = 6_000_000
 #: Bits for each frequent pair, and the most bits (32 MB) that tasks are sent.
 PAIR_BITS, MOST_BITS = 16, 1 << 28
 #: Of a byte: 0 in a word, 1 between words, 2 between pieces.
@@ -32,89 +33,100 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def _counted(lang: str, data: bytes, order: int, frequent: bytes | None) -> pa.RecordBatch | None:
-    """The windows of `order` words in data with their counts; frequent: bits of pairs, all others end a window."""
+def _words(data: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words in data as numbers, the words that these stand for, and whether the next word is in the same piece."""
     raw = np.frombuffer(data, np.uint8)
     kind = KIND[raw]
     inside = kind == 0
-    edges = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    none = np.zeros(1, np.int8)
+    edges = np.diff(np.concatenate([none, inside.view(np.int8), none]))
     begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    n = len(begin)
-    if not n:
-        return None
     piece = np.cumsum(kind == 2, dtype=np.int32)[begin]
-    offsets = np.zeros(n + 1, np.int64)
+    offsets = np.zeros(len(begin) + 1, np.int64)
     np.cumsum(end - begin, out=offsets[1:])
-    words = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(LOWER[raw][inside]))
+    words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(LOWER[raw][inside]))
     coded = words.dictionary_encode()
-    ids, known = coded.indices.to_numpy(), coded.dictionary
-    goes_on = np.append(piece[1:] == piece[:-1], False)  # whether a window may go on from this word to the next one
-    if frequent is not None:
-        at = np.flatnonzero(goes_on)
-        pairs, which = np.unique(ids[at].astype(np.int64) * len(known) + ids[at + 1], return_inverse=True)
-        bits, names, head = np.frombuffer(frequent, np.uint8), known.to_pylist(), f"{lang} "
-        place = np.fromiter((xxhash.xxh64_intdigest(f"{head}{names[p // len(known)]} {names[p % len(known)]}", 42) for p in pairs.tolist()), np.uint64, len(pairs)) & np.uint64(8 * len(bits) - 1)
-        is_set = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-        goes_on[at] = is_set[which] == 1
+    return coded.indices.to_numpy(), coded.dictionary, np.append(piece[1:] == piece[:-1], np.zeros(min(1, len(piece)), bool))
+
+
+def _pair_hashes(lang: str, ids: np.ndarray, known: pa.Array, at: np.ndarray) -> np.ndarray:
+    """A number for the pair of each word in `at` with the next one: equal pairs of a language have equal ones."""
+    of = np.fromiter(map(xxhash.xxh64_intdigest, known.cast(pa.large_binary()).to_pylist()), np.uint64, len(known))
+    mixed = of[ids[at]] * np.uint64(0x9E3779B97F4A7C15) + of[ids[at + 1]] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(xxhash.xxh64_intdigest(lang))
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+
+
+def _pairs(lang: str, data: bytes) -> pa.RecordBatch:
+    """The hashes of the pairs in data with their counts."""
+    ids, known, goes_on = _words(data)
+    hashes, n = np.unique(_pair_hashes(lang, ids, known, np.flatnonzero(goes_on)), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], names=["pair", "n"])
+
+
+def _windows(order: int, frequent: bytes, lang: str, data: bytes) -> pa.RecordBatch:
+    """The windows of `order` words in data with their counts; pairs whose bit isn't set in frequent end a window."""
+    ids, known, goes_on = _words(data)
+    bits, at, n = np.frombuffer(frequent, np.uint8), np.flatnonzero(goes_on), len(ids)
+    place = _pair_hashes(lang, ids, known, at) & (8 * len(bits) - 1)
+    goes_on[at] = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
     columns, alive = [ids], np.ones(n, bool)
     for k in range(1, order):
         column = np.full(n, -1, np.int32)
         alive = alive[: n - k] & goes_on[k - 1 : n - 1] if n > k else np.zeros(0, bool)
         column[: len(alive)] = np.where(alive, ids[k:], -1)
         columns.append(column)
-    if frequent is not None:
-        columns = [c[goes_on] for c in columns]
     names = [f"w{k + 1}" for k in range(order)]
     found = pa.table(columns, names=names).group_by(names).aggregate([([], "count_all")])
     taken = [known.take(pa.array(c := found[x].to_numpy(), mask=c < 0)).cast(pa.string()) for x in names]
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), *taken, found["count_all"].combine_chunks()], names=["lang", *names, "n"])
 
 
-def _windows(order: int, frequent: bytes | None):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_language(count: Callable[[str, bytes], pa.RecordBatch]):
+    """Runs count over the texts of one language, CHUNK characters or a little more at a time; rows: lang, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[str]] = defaultdict(list)
         sizes: dict[str, int] = defaultdict(int)
-        whole = 0
 
-        def done(lang: str) -> pa.RecordBatch | None:
-            return _counted(lang, "\n".join(held.pop(lang)).encode("utf-8", "surrogatepass"), order, frequent)
+        def counted(lang: str) -> pa.RecordBatch:
+            sizes.pop(lang)
+            return count(lang, "\n".join(held.pop(lang)).encode("utf-8", "surrogatepass"))
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held[lang].append(text)
                 sizes[lang] += len(text) + 1
-                whole += len(text) + 1
-            full = list(held) if whole >= 2 * CHUNK else [x for x in held if sizes[x] >= CHUNK]
-            for lang in full:
-                whole -= sizes.pop(lang)
-                if (out := done(lang)) is not None:
-                    yield out
-        for lang in list(held):
-            if (out := done(lang)) is not None:
-                yield out
+                if sizes[lang] >= CHUNK:
+                    yield counted(lang)
+            if sum(sizes.values()) >= 2 * CHUNK:
+                yield from map(counted, list(held))
+        yield from map(counted, list(held))
 
-    return count
+    return run
 
 
-def prefix_counts(texts: DataFrame, order: int, least: int, frequent: bytes | None = None) -> DataFrame:
+def prefix_counts(texts: DataFrame, order: int, least: int, frequent: bytes) -> DataFrame:
     """lang, n_words, phrase, f of phrases of up to `order` words that occur `least` times or more; n_words 0: all words."""
     words = [f"w{k + 1}" for k in range(order)]
-    windows = texts.select("lang", "text").mapInArrow(_windows(order, frequent), "lang string, " + ", ".join(f"{w} string" for w in words) + ", n long")
+    windows = texts.select("lang", "text").mapInArrow(_by_language(partial(_windows, order, frequent)), "lang string, " + ", ".join(f"{w} string" for w in words) + ", n long")
     rolled = windows.rollup("lang", *words).agg(F.sum("n").alias("f"), F.grouping_id().alias("summed")).where((F.col("f") >= least) | (F.col("summed") == 2**order - 1))
     # A prefix of k words is a phrase if none of the k is padding; the row over all languages goes.
     rows = rolled.where(f"summed < {2 ** order}").select("lang", (order - F.bit_count("summed")).alias("n_words"), F.array_compact(F.array(*words)).alias("words"), "f")
     return rows.where(F.size("words") == F.col("n_words")).select("lang", "n_words", F.array_join("words", " ").alias("phrase"), "f")
 
 
-def _pair_bits(pairs: DataFrame) -> bytes:
-    """A bit array in which the bits of all pairs (lang, phrase) are set: gathered in bitmaps of 4 KiB, MOST_BITS in all."""
-    size = 1 << 15
-    while size < min(MOST_BITS, PAIR_BITS * pairs.count()):
+def frequent_pairs(texts: DataFrame, least: int, tables: Scratch) -> bytes:
+    """A bit array in which each pair that occurs `least` times has its bit set; gathered in bitmaps of 4 KiB."""
+    hashes = texts.select("lang", "text").mapInArrow(_by_language(_pairs), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = tables.stored(hashes.where(F.col("n") >= least).select("pair"), "pairs")
+    size, n = 1 << 15, found.count()
+    while size < min(MOST_BITS, PAIR_BITS * n):
         size *= 2
-    bit = F.xxhash64(F.concat_ws(" ", "lang", "phrase")).bitwiseAND(size - 1)
-    maps = pairs.groupBy(F.floor(bit / 32768).alias("nr")).agg(F.bitmap_construct_agg(bit % 32768).alias("bits")).collect()
+    bit = F.col("pair").bitwiseAND(size - 1)
     out = bytearray(size // 8)
-    for m in maps:
+    for m in found.groupBy(F.floor(bit / 32768).alias("nr")).agg(F.bitmap_construct_agg(bit % 32768).alias("bits")).collect():
         out[m.nr * 4096 : m.nr * 4096 + len(m.bits)] = m.bits
     return bytes(out)
 
@@ -132,10 +144,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     bounded_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     with Scratch(spark, "collocations") as tables:
-        pairs = tables.stored(prefix_counts(texts, 2, least), "pairs")
-        bits = _pair_bits(pairs.where("n_words = 2"))
-        longer = prefix_counts(texts, longest, least, bits).where("n_words >= 2")
-        counts = tables.stored(pairs.where("n_words < 2").unionByName(longer), "counts")
+        counts = tables.stored(prefix_counts(texts, longest, least, frequent_pairs(texts, least, tables)), "counts")
         whole = counts.where("n_words = 0").select("lang", F.col("f").alias("n"))
         phrases = counts.where("n_words >= 2").select("lang", "n_words", "phrase", F.col("f").alias("a")).withColumn("words", F.split("phrase", " "))
 
