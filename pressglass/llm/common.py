@@ -50,6 +50,12 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
+    def inner(self, what: str) -> Scratch:
+        """A scope in this one, for tables that may go before the others."""
+        one = Scratch(self.spark, what)
+        one.folder = f"{self.folder}/{what}-{uuid.uuid4().hex}"
+        return one
+
     def stored(self, df: DataFrame, what: str) -> DataFrame:
         return stored(df, what, f"{self.folder}/{what}-{uuid.uuid4().hex}")
 

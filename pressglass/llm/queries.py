@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressglass.llm import bpe, chaining, collocations, crf, jaccard, merkle, naming, pii, planes, sharding, warc, winnow
+from pressglass.llm import bpe, chaining, collocations, crf, jaccard, merkle, naming, pii, planes, sharding, suffixes, warc, winnow
 from pressglass.llm.common import documents
 
 
@@ -120,6 +120,23 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 """
 
 
+def op12_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM h WHERE len(h) >= 800)),
+m AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+s AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER w + 400 THEN 0 ELSE 1 END AS opens FROM g SEMI JOIN m USING (g) WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT doc_id, min(p) AS b, max(p) + 400 AS e FROM (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s) GROUP BY doc_id, run),
+c AS (SELECT doc_id, list(b ORDER BY b) AS bs, list(e ORDER BY b) AS es, sum(e - b) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, coalesce(n_spans, 0) + 2), lambda i: substr(h, 2 * coalesce(es[i - 1], 0) + 1, 2 * (coalesce(bs[i], len(h) // 2) - coalesce(es[i - 1], 0)))), ''))) AS kept_sha256
+FROM h LEFT JOIN c USING (doc_id)
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
@@ -143,8 +160,8 @@ SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_crf, op2_collinear_chains, op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii, op10_jaccard_regions, op11_merkle_climb, op13_collocations)}
+    return {f.__name__: f for f in (op1_line_crf, op2_collinear_chains, op3_bpe_transducer, op4_winnowing, op5_id_planes, op6_block_naming, op7_minimax_shards, op8_warc_index, op9_pii, op10_jaccard_regions, op11_merkle_climb, op12_suffix_family, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnowing": OP4_SQL, "op6_block_naming": OP6_SQL, "op11_merkle_climb": OP11_SQL, "op13_collocations": OP13_SQL}
+    return {"op4_winnowing": OP4_SQL, "op6_block_naming": OP6_SQL, "op11_merkle_climb": OP11_SQL, "op12_suffix_family": OP12_SQL, "op13_collocations": OP13_SQL}
