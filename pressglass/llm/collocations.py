@@ -25,6 +25,8 @@ from pressglass.llm.common import Scratch, bounded_batches, placed, stored
 CHUNK = 6_000_000
 #: Bits for each frequent pair, and the most bits (32 MB) that tasks are sent.
 PAIR_BITS, MOST_BITS = 16, 1 << 28
+#: Of columns a, n, l, r; exact, for decimals of 38 digits hold its products.
+SCORE = "cast(1000 as decimal(4, 0)) * cast(a as decimal(15, 0)) * cast(n as decimal(17, 0)) div (cast(l as decimal(18, 0)) * cast(r as decimal(18, 0)))"
 #: Of a byte: 0 in a word, 1 between words, 2 between pieces.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -154,8 +156,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
         cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)))
         cuts = cuts.withColumns({"first": F.array_join(F.slice("words", 1, F.col("k")), " "), "rest": F.array_join(F.slice("words", F.col("k") + 1, F.col("n_words") - F.col("k")), " ")})
         cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"]).join(whole, "lang")
-        score = F.expr("cast(1000 as decimal(4, 0)) * cast(a as decimal(15, 0)) * cast(n as decimal(17, 0)) div (cast(l as decimal(18, 0)) * cast(r as decimal(18, 0)))")
-        best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("best"))
+        best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r")).alias("best"))
         inner = phrases.where("n_words > 2").select("lang", "words", "n_words", "a", F.explode(F.sequence(F.lit(2), F.col("n_words") - 1)).alias("m"))
         inner = inner.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_words") - F.col("m") + 1)))
         inner = inner.groupBy("lang", F.array_join(F.slice("words", F.col("i"), F.col("m")), " ").alias("phrase")).agg(F.max("a").alias("within"))
