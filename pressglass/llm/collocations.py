@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressglass.llm.common import Scratch, bounded_batches, placed, stored
+from pressglass.sizes import small
 
 #: Characters of one language's texts that are counted at a time.
 CHUNK = 6_000_000
@@ -155,7 +156,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
 
         cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)))
         cuts = cuts.withColumns({"first": F.array_join(F.slice("words", 1, F.col("k")), " "), "rest": F.array_join(F.slice("words", F.col("k") + 1, F.col("n_words") - F.col("k")), " ")})
-        cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"]).join(whole, "lang")
+        cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"]).join(small(whole), "lang")
         best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r")).alias("best"))
         inner = phrases.where("n_words > 2").select("lang", "words", "n_words", "a", F.explode(F.sequence(F.lit(2), F.col("n_words") - 1)).alias("m"))
         inner = inner.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_words") - F.col("m") + 1)))
@@ -164,5 +165,5 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
         left = left.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
         ranked = placed(left, [F.col("lang"), F.desc("score"), F.desc("a"), F.col("phrase")], tables.stored)
         first = ranked.groupBy("lang").agg(F.min("place").alias("ahead"))
-        ranked = ranked.join(first, "lang").withColumn("rank", F.col("place") - F.col("ahead") + 1).where(F.col("rank") <= top)
+        ranked = ranked.join(small(first), "lang").withColumn("rank", F.col("place") - F.col("ahead") + 1).where(F.col("rank") <= top)
         return stored(ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
