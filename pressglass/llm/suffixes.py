@@ -97,17 +97,17 @@ def _entries(length: int, window: int, batches: Iterator[pa.RecordBatch]) -> Ite
 
 
 def _narrower(length: int, window: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, text, unsure (at, low, high, open) -> an entry for each part of the ranges that is `width` wide at most."""
+    """rid, text, lists of at, low, high, open -> an entry for each part of the ranges that is `width` wide at most."""
     for batch in batches:
         cores, blocks, rows = [], [], []
-        for rid, text, unsure in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for rid, text, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = memoryview(_bytes(text))
-            for x in unsure:
-                for first in range(x["low"] // width * width, x["high"] + 1, width):
-                    core, block = _prints(data, x["at"], first, first + width - 1, length, window)
+            for at, low, high, is_open in zip(*lists, strict=True):
+                for first in range(low // width * width, high + 1, width):
+                    core, block = _prints(data, at, first, first + width - 1, length, window)
                     cores.append(core ^ first)  # ranges meet their like only
                     blocks.append(block)
-                    rows.append((rid, x["at"], max(first, x["low"]), min(first + width - 1, x["high"]), x["open"]))
+                    rows.append((rid, at, max(first, low), min(first + width - 1, high), is_open))
         kinds = [pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.bool_()]
         own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([_signed(cores), _signed(blocks), *own], names=["core", "block", "rid", "at", "low", "high", "open"])
@@ -123,7 +123,9 @@ class SuffixFamily:
 
     def _array(self, entries: DataFrame, n: int) -> None:
         order, own = ["core", "block", "rid", "at"], self.tables.inner("level")
-        self.levels.append((n, own.stored(entries.repartitionByRange(*order).sortWithinPartitions(*order), "array"), own))
+        with self.tables.inner("entries") as unsorted:  # ranges are found by reading the entries twice
+            entries = unsorted.stored(entries, "entries")
+            self.levels.append((n, own.stored(entries.repartitionByRange(*order).sortWithinPartitions(*order), "array"), own))
 
     def add(self, rows: DataFrame) -> DataFrame:
         """rows: rid, text. Takes a batch in; returns the cores of it that occur again, in it or in a level."""
@@ -149,31 +151,40 @@ class SuffixFamily:
 
 def _told(entries: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of entries (with open: not known yet): which are known to be repeated, and which have to be told apart further."""
-    kinds = entries.groupBy("core", "block").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one"))
-    many = kinds.groupBy("core").agg(F.count("*").alias("n_kinds"))
-    kinds = kinds.join(many.hint("merge"), "core").where("n > 1 or n_kinds > 1")
+    entries = tables.stored(entries, "entries")
+    mark = F.xxhash64("rid", "at")  # of equal ones the entry with the least mark goes on; if two have it, both may
+    kinds = entries.groupBy("core", "block").agg(F.count("*").alias("n"), F.min(mark).alias("one"))
+    many = kinds.groupBy("core").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo != hi")
+    many = many.select("core", F.col("core").alias("twin"), F.lit(True).alias("mixed"))
+    # Joined on more than the grouping key: both sides are dealt out anew, so that AQE can split a core with many blocks.
+    kinds = kinds.withColumn("twin", F.col("core")).join(many.hint("merge"), ["core", "twin"], "left").drop("twin").where("n > 1 or mixed")
     told = tables.stored(entries.join(kinds.hint("merge"), ["core", "block"]), "told")
-    going_on = (F.col("n") == 1) | (F.struct("rid", "at") == F.col("one"))
-    unsure = told.where((F.col("n_kinds") > 1) & going_on).select("rid", "at", "low", "high", (F.col("open") & (F.col("n") == 1)).alias("open"))
+    going_on = (F.col("n") == 1) | (mark == F.col("one"))
+    unsure = told.where(F.col("mixed") & going_on).select("rid", "at", "low", "high", (F.col("open") & (F.col("n") == 1)).alias("open"))
     return told.where("open and n > 1").select("rid", "at", "low", "high"), unsure
 
 
 def _kept(id_type: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text, begins and ends of repeated strings -> id, n_bytes, n_removed, n_spans, kept_sha256."""
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data, left, at, removed, runs = _bytes(text), hashlib.sha256(), 0, 0, 0
-            for s in sorted(spans or [], key=lambda s: s["begin"]):
-                if s["end"] <= at:
-                    continue
-                runs += s["begin"] > at or not runs
-                left.update(data[at : max(at, s["begin"])])
-                removed += s["end"] - max(at, s["begin"])
-                at = s["end"]
-            left.update(data[at:])
-            rows.append((doc_id, len(data), removed, runs, left.hexdigest()))
-        kinds = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        lists = [batch.column(i) for i in (2, 3)]
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            data = _bytes(text)
+            if not lists[0][i].is_valid:
+                rows.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+                continue
+            begin, end = (x[i].values.to_numpy() for x in lists)
+            order = np.argsort(begin, kind="stable")
+            begin, end = begin[order], np.maximum.accumulate(end[order])
+            new = np.append(True, begin[1:] > end[:-1])  # spans that touch are one run
+            begin, end = begin[new], end[np.append(new[1:], True)]
+            edges = [0, *np.stack([begin, end], 1).ravel().tolist(), len(data)]
+            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            rows.append((len(data), len(data) - len(kept), len(begin), hashlib.sha256(kept).hexdigest()))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), *found], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def without_repeats(docs: DataFrame, length: int = 400, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,11 +211,12 @@ def without_repeats(docs: DataFrame, length: int = 400, batches: int = 4, id_col
             known.append(sure)
             lists = unsure.groupBy("rid").agg(F.collect_list(F.struct("at", "low", "high", "open")).alias("unsure"))
             texts = read.select("rid", "text").join(lists.hint("merge"), "rid")
-            entries = texts.select("rid", "text", "unsure").mapInArrow(partial(_narrower, length, WINDOW, width), f"{ENTRY}, open boolean")
+            entries = texts.select("rid", "text", *[f"unsure.{c}" for c in ("at", "low", "high", "open")]).mapInArrow(partial(_narrower, length, WINDOW, width), f"{ENTRY}, open boolean")
         known.append(_told(entries, tables)[0])
         begin, end = F.col("at") - WINDOW - F.col("high"), F.col("at") - WINDOW - F.col("low") + length
-        spans = reduce(DataFrame.unionByName, known).groupBy("rid").agg(F.collect_list(F.struct(begin.alias("begin"), end.alias("end"))).alias("spans"))
-        rows = read.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "spans")
+        spans = reduce(DataFrame.unionByName, known).select("rid", F.struct(begin.alias("begin"), end.alias("end")).alias("s")).groupBy("rid").agg(F.collect_list("s").alias("s"))
+        spans = spans.select("rid", F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
+        rows = read.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "begins", "ends")
         kind = docs.schema[id_col].dataType
         from pyspark.sql.pandas.types import to_arrow_type
 
