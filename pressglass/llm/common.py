@@ -22,10 +22,12 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A fresh folder name below spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where that setting is absent (local tests) a temporary folder is set and used.
+    Only where that setting is absent and the master is local (tests) a temporary folder is set and used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -96,6 +98,14 @@ def by_part_of_the_key(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
 
 
+def private(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
     """docs with a number for each row that is the same in every later job of the session.
 

@@ -189,8 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return field.fit(np.concatenate(parts), np.cumsum([0, *map(len, parts)]), np.array([label for label, _ in got]))
 
 
-def score(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: id (and the columns in keep), score, n_lines. Null and empty texts are one empty line."""
+def score(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names_out: tuple[str, str] = ("score", "n_lines")) -> DataFrame:
+    """One row per row of docs: id (and the columns in keep), score, n_lines. Null and empty texts are one empty line.
+
+    names_out: other names for the last two, where keep has columns of these names.
+    """
     bounded_batches(docs.sparkSession)
     kept = keep or [id_col]
     names = [f"c{i}" for i in range(len(kept))]
@@ -202,4 +205,4 @@ def score(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(value), pa.array(n, pa.int64())], names=[*names, "score", "n_lines"])
 
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(kept, names, strict=True))
-    return read.mapInArrow(each, f"{kinds}, score double, n_lines long").toDF(*kept, "score", "n_lines")
+    return read.mapInArrow(each, f"{kinds}, score double, n_lines long").toDF(*kept, *names_out)

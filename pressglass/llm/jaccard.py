@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressglass.llm.common import Scratch, bounded_batches, numbered, stored
+from pressglass.llm.common import Scratch, bounded_batches, numbered, private, stored
 from pressglass.llm.words import gram_hashes, mixed, word_hashes
 
 #: Members of a region up to which they are compared with each other; larger regions are split again.
@@ -404,8 +404,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs (read from files), all their columns: of each component the one with the smallest id (null last) stays."""
-    rows = numbered(docs, "_rid")
+    row = private(docs, "_rid")
+    rows = numbered(docs, row)
     found = near_duplicates(docs, percent, k, id_col, text_col).select("rid", "component", F.col(id_col).alias("id"))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
-    gone = found.select("rid").join(first, "rid", "left_anti").withColumnRenamed("rid", "_rid")
-    return rows.join(gone.hint("merge"), "_rid", "left_anti").select(*docs.columns)
+    gone = found.select("rid").join(first, "rid", "left_anti").withColumnRenamed("rid", row)
+    return rows.join(gone.hint("merge"), row, "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressglass.llm.common import Scratch, bounded_batches, numbered, stored
+from pressglass.llm.common import Scratch, bounded_batches, numbered, private, stored
 
 WHITE = b" \t\n\v\f\r"
 #: Bytes of normalised text in a block.
@@ -83,8 +83,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs (read from files) that exact_groups() keeps, all their columns."""
-    rows = numbered(docs, "_rid")
+    row = private(docs, "_rid")
+    rows = numbered(docs, row)
     with Scratch(docs.sparkSession, "naming") as tables:
         groups = exact_groups(docs, id_col, text_col, tables.stored)
-        gone = stored(groups.where("not kept").select(F.col("rid").alias("_rid")), "copies")
-    return rows.join(gone.hint("merge"), "_rid", "left_anti").select(*docs.columns)  # the same plan at every size
+        gone = stored(groups.where("not kept").select(F.col("rid").alias(row)), "copies")
+    return rows.join(gone.hint("merge"), row, "left_anti").select(*docs.columns)  # the same plan at every size
