@@ -1,4 +1,8 @@
-"""A training-data pipeline over `documents`: each stage works on all that the one before it kept."""
+"""A training-data pipeline over `documents`: each stage works on all that the one before it kept.
+
+Rows may lack an id or a text, ids may repeat, and there may be more columns, whatever their names: all stages but the last keep
+them as they are.  Null texts count as empty; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressglass.llm import bpe, crf, jaccard, naming, winnow
-from pressglass.llm.common import Scratch, documents
+from pressglass.llm.common import Scratch, documents, private
 from pressglass.llm.queries import held_out
 
 
@@ -14,7 +18,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF rejects (score below 0.5) go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = crf.train(docs, labels.where(~held_out(F.col("doc_id"))))
-    return crf.score(docs.select(*docs.columns), field, keep=docs.columns).where("score >= 0.5").select(*docs.columns)
+    names = private(docs, "score"), private(docs, "n_lines")
+    scored = crf.score(docs.select(*docs.columns), field, keep=docs.columns, names_out=names)
+    return scored.where(F.col(names[0]) >= 0.5).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
