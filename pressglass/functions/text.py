@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,9 +26,31 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+@lru_cache
+def nfc_class() -> str:
+    """A character class of all that NFC may change: what has another composed form by itself, marks, and what joins what
+    stands before it.  Taken from the Unicode tables that nfc() uses."""
+    second = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # vowels and finals of Hangul
+    may = set()
+    for c in range(sys.maxunicode + 1):
+        char = chr(c)
+        parts = unicodedata.decomposition(char).split()
+        if unicodedata.combining(char) or parts and parts[0][0] != "<" and unicodedata.normalize("NFC", char) != char:
+            may.add(c)
+        if len(parts) == 2 and parts[0][0] != "<":
+            second.add(int(parts[1], 16))
+    ranges: list[list[int]] = []
+    for c in sorted(may | second):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 def composed(text: Column) -> Column:
     """NFC. Only texts with characters that NFC may change are handed to Python."""
-    return F.coalesce(nfc(F.when(text.rlike("[̀-ͯ֐-ࣿऀ-῿℀-￿]"), text)), text)
+    return F.coalesce(nfc(F.when(text.rlike(nfc_class()), text)), text)
 
 
 def strip(text: Column) -> Column:
@@ -81,6 +105,11 @@ def word_tokens(normal_text: Column) -> Column:
     return F.regexp_extract_all(normal_text, F.lit(f"({WORD}+)"), F.lit(1))
 
 
+def signs_and_words(normal_text: Column) -> Column:
+    """The words of a normal form, and each other sign but spaces, in order."""
+    return F.regexp_extract_all(normal_text, F.lit(rf"({WORD}+|[^\p{{L}}\p{{N}}_ ])"), F.lit(1))
+
+
 def longest_token(text: Column) -> Column:
     """The longest of the words between spaces, the first of equally long ones."""
     words = F.split(squash_ws(text), " ")
@@ -98,10 +127,15 @@ def _around(normal: Column, needle: Column, width: int) -> Column:
 
 def snippet(text: Column, keywords: list[str], width: int = 200) -> Column:
     """Around the first keyword that occurs (as a substring of either normal form), else the beginning."""
-    english, urdu = normalize_text(text, "en"), normalize_text(text, "ur")
-    found = [_around(form, normalize_text(F.lit(k), lang, compose=False), width) for k in keywords for form, lang in ((english, "en"), (urdu, "ur"))]
+    needles = [(normalize_text(F.lit(k), lang, compose=False), lang) for k in keywords for lang in ("en", "ur")]
+
+    def of(x: Column) -> Column:  # both forms are made once
+        return F.coalesce(*[_around(x[lang], needle, width) for needle, lang in needles], F.lit(None).cast("string"))
+
+    same = composed(F.coalesce(text, F.lit("")))
+    forms = F.transform(F.array(same), lambda t: F.struct(normalize_text(t, "en", compose=False).alias("en"), normalize_text(t, "ur", compose=False).alias("ur")))
     plain = strip(F.left(F.regexp_replace(F.coalesce(text, F.lit("")), f"{WS}+", " "), F.lit(width)))
-    return F.coalesce(*found, plain)
+    return F.coalesce(F.get(F.transform(forms, of), F.lit(0)), plain)
 
 
 def escape_html(text: Column) -> Column:

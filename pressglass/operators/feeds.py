@@ -9,6 +9,7 @@ from pressglass.functions import text as T
 from pressglass.functions import times
 from pressglass.operators.hits import verify_hits
 from pressglass.operators.policy import quota_ranks
+from pressglass.storage import written
 
 MODULE_LABELS = {"newspaper": "Web", "epaper": "E-Paper", "youtube": "YouTube"}
 
@@ -63,13 +64,22 @@ def format_alert() -> Column:
 
 
 def build_label_batches(df: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", width: int = 400) -> DataFrame:
-    """batch, request: n numbered snippets each. Batches are hashed groups, cut into runs of n in order of id."""
+    """batch, request, ids: n numbered snippets each in order of id, only the last batch has fewer.
+
+    Rows are numbered over all of df: sorted by range, and the ranges' sizes (one number each) added up on the driver.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.left(T.squash_ws(F.coalesce(text_col, F.lit(""))), F.lit(width)).alias("snippet"))
-    lot = F.pmod(F.xxhash64("id"), F.lit(64))
-    rank = F.row_number().over(Window.partitionBy("lot").orderBy("id")) - 1
-    rows = rows.withColumn("lot", lot).withColumn("r", rank).withColumn("no", F.floor(F.col("r") / n)).withColumn("pos", F.col("r") % n)
+    own = {"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    rows = written(rows.repartitionByRange("id", "snippet").sortWithinPartitions("id", "snippet").withColumns(own), "label-batches")
+    ahead, starts = 0, []
+    for r in rows.groupBy("_range").count().orderBy("_range").collect():
+        starts.append((r["_range"], ahead))
+        ahead += r["count"]
+    known = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _ahead long"))  # a row for each range
+    no = F.col("_row") + F.col("_ahead")
+    rows = rows.join(known, "_range").select(F.floor(no / n).alias("batch"), (no % n).alias("pos"), "id", "snippet")
     line = F.transform(F.array_sort(F.collect_list(F.struct("pos", "snippet"))), lambda x: F.concat((x["pos"] + 1).cast("string"), F.lit(". "), x["snippet"]))
-    return rows.groupBy("lot", "no").agg(F.array_join(line, "\n").alias("request"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+    return rows.groupBy("batch").agg(F.array_join(line, "\n").alias("request"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
 
 
 def align_batch_labels(items: DataFrame, replies: DataFrame, vocabulary: tuple[str, ...] = ("Positive", "Negative", "Neutral")) -> DataFrame:

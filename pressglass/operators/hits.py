@@ -12,6 +12,8 @@ from pressglass.functions import text as T
 from pressglass.sizes import small
 
 MIN_GAP, NO_SPEECH, LOGPROB = 3, 0.6, -1.0
+#: Place of no time.
+NO_LATER = 1 << 30
 HIT = "array<struct<start:int,end:int,excerpt:string>>"
 
 
@@ -61,10 +63,43 @@ def _round(x: Column) -> Column:
     return F.greatest(F.bround(x).cast("int"), F.lit(0))
 
 
+def collapsed(starts: Column, gap: float) -> Column:
+    """Of sorted times, those that are kept: the first, then each first one `gap` or more after the last one kept.
+
+    Each time's next kept one is found by binary search; then pointers double: the first 2^k kept ones and the pointers that
+    lead 2^k on give the first 2^(k + 1).  So a row of n times takes n log n steps.  Returns their places, from 0.
+    """
+    none = F.lit(NO_LATER)
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(n + 1.0)).cast("int") + 1))
+
+        def following(x: Column, i: Column) -> Column:
+            span = F.struct((i + 1).alias("lo"), n.alias("hi"))
+
+            def halve(a: Column, _: Column) -> Column:
+                mid = ((a["lo"] + a["hi"]) / 2).cast("int")
+                late = F.get(s, mid) - x >= gap
+                return F.when(a["lo"] >= a["hi"], a).when(late, F.struct(a["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), a["hi"].alias("hi")))
+
+            return F.aggregate(rounds, span, halve, lambda a: F.when(a["lo"] < n, a["lo"]).otherwise(none))
+
+        first = F.struct(F.transform(s, following).alias("to"), F.array(F.lit(0)).alias("kept"))
+
+        def double(a: Column, _: Column) -> Column:
+            jump = lambda i: F.coalesce(F.get(a["to"], i), none)
+            more = F.filter(F.transform(a["kept"], jump), lambda i: i != none)
+            return F.struct(F.transform(a["to"], jump).alias("to"), F.concat(a["kept"], more).alias("kept"))
+
+        return F.when(n > 0, F.aggregate(rounds, first, double, lambda a: a["kept"])).otherwise(F.array().cast("array<int>"))
+
+    return F.get(F.transform(F.array(starts), of), F.lit(0))
+
+
 def collapse_utterances(hits: Column, gap: int = MIN_GAP) -> Column:
     """Sorted hits without those closer than gap seconds to the last one kept (not to the last one seen)."""
-    last = lambda kept: F.element_at(kept, -1)["start"]
-    return F.aggregate(hits, F.slice(hits, 1, 0), lambda kept, h: F.when((F.size(kept) > 0) & (h["start"] - F.coalesce(F.when(F.size(kept) > 0, last(kept)), F.lit(-1 << 30)) < gap), kept).otherwise(F.concat(kept, F.array(h))))
+    return F.transform(collapsed(F.transform(hits, lambda h: h["start"]), gap), lambda i: F.get(hits, i))
 
 
 def token_stream(segments: Column, language: Column) -> Column:
@@ -229,8 +264,13 @@ def shift_window_times(segments: Column, offset: Column) -> Column:
     return F.transform(segments, lambda s: s.withField("start", s["start"] + offset).withField("end", s["end"] + offset))
 
 
-def transcript_confidence(segments: DataFrame, by: list[str]) -> DataFrame:
-    """Mean log probability and count per key; no measured segment gives null."""
+def transcript_confidence(segments: DataFrame, by: list[str], chunk: str | None = None) -> DataFrame:
+    """Mean log probability per key, and how many measures it is of; no measured segment gives null.
+
+    With the column `chunk`, transcripts made in chunks: the plain mean of the chunks' own means, of which there are n.
+    """
+    if chunk:
+        segments = segments.groupBy(*by, chunk).agg(F.avg("avg_logprob").alias("avg_logprob"))
     return segments.groupBy(*by).agg(F.avg("avg_logprob").alias("avg_logprob"), F.count("avg_logprob").alias("n"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressglass.functions import text as T
@@ -23,78 +23,159 @@ def active_keywords(keywords: DataFrame, module: str | None = None, ids: list[in
 
 
 def _prepared(keywords: DataFrame) -> DataFrame:
+    """keyword, language, form, normal, pattern, tokens (words and signs), plain (words between single spaces only)."""
     normal = T.normalize_text(F.col("text"), F.col("language"))
-    kw = keywords.select(F.col("text").alias("keyword"), "language", normal.alias("normal")).where("normal != ''")
-    return kw.select("*", T.keyword_pattern(F.col("normal")).alias("pattern"), T.word_tokens(F.col("normal")).alias("tokens")).dropDuplicates(["keyword", "language"])
+    kw = keywords.select(F.col("text").alias("keyword"), "language", F.when(F.col("language") == "ur", "ur").otherwise("en").alias("form"), normal.alias("normal")).where("normal != ''")
+    kw = kw.dropDuplicates(["keyword", "language"]).withColumn("tokens", T.signs_and_words(F.col("normal")))
+    return kw.withColumns({"pattern": T.keyword_pattern(F.col("normal")), "plain": F.array_join("tokens", " ") == F.col("normal")})
 
 
 def match_documents_theta(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc id, keyword, language: the plain form, every document against every pattern. For small inputs and as a reference."""
     forms = docs.select(F.col(id_col).alias("id"), T.normalize_text(F.col(text_col), "en").alias("en"), T.normalize_text(F.col(text_col), "ur").alias("ur"))
     form = F.when(F.col("language") == "ur", F.col("ur")).otherwise(F.col("en"))
-    out = forms.join(small(_prepared(keywords)), F.rlike(form, F.col("pattern")))
+    out = forms.join(small(_prepared(keywords).drop("form")), F.rlike(form, F.col("pattern")))
     return out.select(F.col("id").alias(id_col), "keyword", "language").distinct()
 
 
+def _listed(keywords: DataFrame) -> list | None:
+    """The prepared rows of a watchlist that may stand in a plan, None for a longer one."""
+    rows = _prepared(keywords).limit(PLAN_KEYWORDS + 1).collect()
+    return rows if len(rows) <= PLAN_KEYWORDS else None
+
+
+def _entry(row) -> Column:
+    # A keyword of a single sign isn't sure: its pattern asks for what stands beside it.
+    sure = len(row.tokens) == 1 and (len(row.normal) > 1 or row.normal.isalnum() or row.normal == "_")
+    return F.struct(F.lit(row.keyword).alias("keyword"), F.lit(row.language).alias("language"), F.lit(f" {row.normal} ").alias("padded"), F.lit(row.pattern).alias("pattern"), F.lit(sure).alias("sure"), F.lit(row.plain and len(row.tokens) > 1).alias("plain"))
+
+
+def _within(normal: Column, rows: list) -> Column:
+    """array<struct<keyword, language>> of the listed keywords (of one form) in a normal form."""
+    by: dict[str, list] = {}
+    for r in rows:
+        by.setdefault(max(r.tokens, key=len), []).append(r)
+    lookup = F.create_map(*[c for w, x in sorted(by.items()) for c in (F.lit(w), F.array(*map(_entry, x)))])
+
+    def verified(x: Column) -> Column:
+        words = F.filter(F.array_distinct(x["tokens"]), lambda w: w.isin(*by))
+        wanted = F.flatten(F.transform(words, lambda w: F.element_at(lookup, w)))
+        joined = F.concat(F.lit(" "), F.array_join(x["tokens"], " "), F.lit(" "))
+        holds = lambda c, j: F.when(c["sure"], True).when(c["plain"], F.contains(j, c["padded"])).otherwise(F.rlike(x["n"], c["pattern"]))
+        return F.get(F.transform(F.array(joined), lambda j: F.filter(wanted, lambda c: holds(c, j))), F.lit(0))
+
+    # Each step is an array of one, so that it is evaluated once.
+    tokens = F.transform(F.array(normal), lambda n: F.struct(n.alias("n"), T.signs_and_words(n).alias("tokens")))
+    good = F.get(F.transform(tokens, verified), F.lit(0))
+    return F.transform(good, lambda c: F.struct(c["keyword"].alias("keyword"), c["language"].alias("language")))
+
+
+def _found(text: Column, rows: list) -> Column:
+    """array<struct<keyword, language>> of the listed keywords that a text contains, found within its own row.
+
+    A text's distinct words and signs are looked up; those that lead a keyword (its longest word or sign) give the keywords to verify: a
+    plain phrase stands between spaces among the words and signs, one glued to signs is tried by its pattern.
+    """
+    none = F.array().cast("array<struct<keyword:string,language:string>>")
+    kinds = {k: [r for r in rows if r.form == k] for k in ("en", "ur")}
+    return F.concat(none, *[_within(T.normalize_text(text, k, compose=False), own) for k, own in kinds.items() if own])
+
+
+def positions(docs: DataFrame, forms: list[str]) -> DataFrame:
+    """The positional index of docs (_row, id, text): _row, id, form, word, place, spaced, after_word, before_word.
+
+    A word or sign of a normal form at each place; whether a space stands before it, and whether a word does, or follows, with no
+    space between.
+    """
+    text = docs.select("_row", "id", T.composed(F.coalesce("text", F.lit(""))).alias("text"))
+    normal = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), T.normalize_text(F.col("text"), k, compose=False).alias("normal")) for k in forms])).alias("f")
+    # Spaces are tokens here, so that places tell what stands together.
+    tokens = F.regexp_extract_all("f.normal", F.lit(rf"({T.WORD}+|[^\p{{L}}\p{{N}}_])"), F.lit(1))
+    rows = text.select("_row", "id", normal).select("_row", "id", "f.form", F.explode(F.array(tokens)).alias("t"))
+    is_word = lambda w: F.coalesce(w.rlike(T.WORD), F.lit(False))
+    around = lambda w, i: F.struct(w.alias("word"), F.coalesce((i > 0) & (F.get("t", i - 1) == " "), F.lit(False)).alias("spaced"), is_word(F.get("t", F.when(i > 0, i - 1))).alias("after_word"), is_word(F.get("t", i + 1)).alias("before_word"))
+    kept = F.filter(F.transform("t", around), lambda x: x["word"] != " ")
+    return rows.select("_row", "id", "form", F.posexplode(kept).alias("place", "x")).select("_row", "id", "form", "place", "x.*")
+
+
+def _by_positions(docs: DataFrame, kw: DataFrame) -> DataFrame:
+    """_row, id, keyword, language by the positional index: each word of a keyword is joined, and all have to stand together.
+
+    Texts aren't joined again, and a row is told by its own number, whatever its id.
+    """
+    spaced = F.transform(F.split("normal", " "), lambda p: F.transform(T.signs_and_words(p), lambda w, i: F.struct(w.alias("word"), (i == 0).alias("spaced"))))
+    entries = kw.select("keyword", "language", "form", F.size("tokens").alias("n"), F.posexplode(F.flatten(spaced)).alias("at", "x"))
+    entries = entries.select("keyword", "language", "form", "n", "at", "x.word", F.col("x.spaced").alias("want"))
+    found = positions(docs, ["en", "ur"]).join(small(entries), ["form", "word"])
+    sign = ~F.col("word").rlike(T.WORD)
+    inside = (F.col("at") == 0) | (F.col("spaced") == F.col("want"))
+    edges = ~(sign & (F.col("at") == 0) & F.col("after_word")) & ~(sign & (F.col("at") == F.col("n") - 1) & F.col("before_word"))
+    whole = found.where(inside & edges).groupBy("_row", "id", "keyword", "language", "n", (F.col("place") - F.col("at")).alias("begin")).agg(F.count("*").alias("met"))
+    return whole.where("met = n").select("_row", "id", "keyword", "language").distinct()
+
+
 def match_documents(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc id, keyword, language, by an equi-join on words.
+    """doc id, keyword, language, each once.
 
-    A document's words are joined with each keyword's longest word; phrases (and words glued to signs) are then verified
-    on the text.  With a watchlist of up to PLAN_KEYWORDS keywords its words stand in the plan: documents are read once, and only
-    those that hold such a word give rows, which carry their text to the verification.  With a longer one all distinct words
-    of a document are dealt out without the text, which phrases join again.  Keywords without any word character are tried
-    by pattern; that branch is there only if there are such keywords.
+    A watchlist of up to PLAN_KEYWORDS keywords stands in the plan, and each text is matched within its row (_found()).  A longer one is
+    joined with a positional index of the texts (_by_positions()).  Rows without an id match too; rows of one id match together.
     """
-    kw, spark = _prepared(keywords), docs.sparkSession
-    rows = kw.limit(PLAN_KEYWORDS + 1).collect()
-    listed = spark.createDataFrame(rows, kw.schema) if len(rows) <= PLAN_KEYWORDS else None
-    longest = F.aggregate("tokens", F.lit(""), lambda b, w: F.when(F.length(w) > F.length(b), w).otherwise(b))
-    sure = (F.size("tokens") == 1) & (F.get("tokens", F.lit(0)) == F.col("normal"))
-    form = F.when(F.col("language") == "ur", "ur").otherwise("en")
-    entries = (kw if listed is None else listed).where(F.size("tokens") > 0).select("keyword", "language", form.alias("form"), "pattern", longest.alias("word"), sure.alias("sure"))
-    text = docs.select(F.col(id_col).alias("id"), T.composed(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    kinds = ["en", "ur"] if listed is None else sorted({"ur" if r.language == "ur" else "en" for r in rows if r.tokens})
-    normal = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), T.normalize_text(F.col("text"), k, compose=False).alias("normal")) for k in kinds])).alias("f") if kinds else None
-    names = ["id", "keyword", "language"]
-    out = docs.select(F.col(id_col).alias("id"), F.lit("").alias("keyword"), F.lit("").alias("language")).where("false") if normal is None else None
-    if normal is not None and listed is not None:
-        forms = text.select("id", normal).select("id", "f.form", "f.normal")
-        words = F.array(*[F.lit(w) for w in sorted({max(r.tokens, key=len) for r in rows if r.tokens})])
-        met = forms.select("id", "form", "normal", F.explode(F.array_intersect(T.word_tokens(F.col("normal")), words)).alias("word"))
-        found = met.join(F.broadcast(entries), ["form", "word"])
-        out = found.where(F.col("sure") | F.rlike("normal", F.col("pattern"))).select(*names)
-    elif normal is not None:
-        forms = text.select("id", normal).select("id", "f.form", "f.normal")
-        words = forms.select("id", "form", F.explode(F.array_distinct(T.word_tokens(F.col("normal")))).alias("word"))
-        found = words.join(small(entries), ["form", "word"])
-        phrases = found.where("not sure").select("id", "form", "keyword", "language", "pattern").join(forms, ["id", "form"])
-        out = found.where("sure").select(*names).unionByName(phrases.where(F.rlike("normal", F.col("pattern"))).select(*names))
-    odd = kw.where(F.size("tokens") == 0).select(F.col("keyword").alias("text"), "language")
-    if any(not r.tokens for r in rows) or listed is None and not odd.isEmpty():
-        out = out.unionByName(match_documents_theta(docs, odd, id_col, text_col).withColumnRenamed(id_col, "id"))
+    rows = _listed(keywords)
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if rows is None:
+        out = _by_positions(text.withColumn("_row", F.monotonically_increasing_id()), _prepared(keywords))
+    else:
+        out = text.select("id", F.explode(_found(T.composed(F.coalesce("text", F.lit(""))), rows)).alias("m")).select("id", "m.*")
     return out.select(F.col("id").alias(id_col), "keyword", "language").distinct()
 
 
+def labelled(docs: DataFrame, keywords: DataFrame, text_col: str = "text", labels: str = "labels") -> DataFrame:
+    """Rows of docs with a match, all their columns, and the sorted array of keywords that each row itself contains."""
+    rows = _listed(keywords)
+    if rows is not None:
+        found = _found(T.composed(F.coalesce(text_col, F.lit(""))), rows)
+        out = docs.withColumn("_found", found).where(F.size("_found") > 0)
+        return out.withColumn(labels, F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["keyword"])))).drop("_found")
+    own = F.struct(*[F.col(c) for c in docs.columns])
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), own.alias("id"), F.col(text_col).alias("text"))
+    kw = _prepared(keywords)
+    # Rows travel once, with their labels: grouped by number, not joined again.
+    met = _by_positions(numbered.withColumn("id", F.lit(None).cast("long")), kw).groupBy("_row").agg(F.array_sort(F.collect_set("keyword")).alias(labels))
+    return numbered.join(met, "_row").select("id.*", labels)
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of n characters: each place is a match of what lies ahead."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
 def prefilter_candidates(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs that contain the longest word of some keyword as a substring: a sound first cut, no match is lost.
 
-    A keyword whose longest word has under two characters switches the cut off.  The words stand in the plan in lots of
-    PLAN_KEYWORDS, whatever the watchlist's length: a document is kept by the first lot that it meets.
+    By an index of trigrams: each such word is filed under its rarest trigram (that of the fewest words of the watchlist; words of
+    two characters under themselves), the documents' different tokens meet the index by their trigrams in an equi-join, and what meets
+    is checked with contains; documents are then those with such a token.  A keyword whose longest word has under two characters
+    switches the cut off.  The watchlist stays in tables.
     """
-    rows = keywords.select("language", T.longest_token(T.normalize_text(F.col("text"), F.col("language"))).alias("w")).where("w != ''").distinct()
-    if not rows.where(F.length("w") < 2).isEmpty():
-        return docs
     form = F.when(F.col("language") == "ur", "ur").otherwise("en")
-    lots: dict[str, list[list[str]]] = {"en": [], "ur": []}
-    for r in rows.select(form.alias("form"), "w").distinct().toLocalIterator():  # a watchlist, not a corpus
-        if not lots[r.form] or len(lots[r.form][-1]) >= PLAN_KEYWORDS:
-            lots[r.form].append([])
-        lots[r.form][-1].append("\\Q" + r.w.replace("\\E", "\\E\\\\E\\Q") + "\\E")
-    keep = F.lit(False)
-    for kind, parts in lots.items():
-        for words in parts:
-            keep |= T.normalize_text(F.col(text_col), kind).rlike("|".join(sorted(words)))
-    return docs.where(keep)
+    words = keywords.select(form.alias("form"), T.longest_token(T.normalize_text(F.col("text"), F.col("language"))).alias("w")).where("w != ''").distinct()
+    shortest = words.agg(F.min(F.length("w"))).first()[0]
+    if shortest is None or shortest < 2:
+        return docs.where("false") if shortest is None else docs
+    sizes = [3] if shortest > 2 else [2, 3]
+    own = F.when(F.length("w") == 2, F.array("w")).otherwise(_grams(F.col("w"), 3))
+    filed = words.select("form", "w", F.explode(own).alias("gram"))
+    many = filed.groupBy("form", "gram").agg(F.count("*").alias("n"))
+    index = filed.join(small(many), ["form", "gram"]).groupBy("form", "w").agg(F.min(F.struct("n", "gram")).alias("rarest")).select("form", F.col("rarest.gram").alias("gram"), "w")
+    index = small(index)
+    kinds = [r[0] for r in words.select("form").distinct().collect()]
+    normal = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), T.normalize_text(F.col("_text"), k, compose=False).alias("normal")) for k in kinds])).alias("f")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(c) for c in docs.columns]).alias("_own"), T.composed(F.coalesce(text_col, F.lit(""))).alias("_text"))
+    tokens = rows.select("_row", "_own", normal).select("_row", "_own", "f.form", F.explode(F.array_distinct(F.split("f.normal", " "))).alias("token"))
+    # Such a word lies within what stands between two spaces, so each different token of the corpus is looked at once.
+    known = tokens.select("form", "token").distinct().select("*", F.explode(F.concat(*[_grams(F.col("token"), n) for n in sizes])).alias("gram"))
+    met = known.join(index, ["form", "gram"]).where(F.contains("token", F.col("w"))).select("form", "token").distinct()
+    return tokens.join(small(met), ["form", "token"]).dropDuplicates(["_row"]).select("_own.*")
 
 
 def labels_per_document(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -20,6 +20,8 @@ CHROME = {"script", "style", "nav", "header", "footer", "aside", "form", "noscri
 BLOCKS = {"article", "div", "section", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 DATE_META = ("article:published_time", "article:modified_time", "datePublished", "publish-date", "pubdate", "date", "og:updated_time")
+LINKED_DATES = ("datePublished", "dateCreated", "dateModified")
+LINKED_DEPTH = 4
 
 
 class _Reader(HTMLParser):
@@ -141,7 +143,11 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def extract_published(html: Column, url: Column) -> Column:
-    """Date of a page: meta tags in order of trust, JSON-LD, a time tag, the URL; null if none has one."""
+    """Date of a page: meta tags in order of trust, JSON-LD, a time tag, the URL; null if none has one.
+
+    JSON-LD is parsed as VARIANT and walked through lists, @graph and nested objects, LINKED_DEPTH deep: a node's own dates first, in
+    the order of LINKED_DATES, then what it holds, the last first (of an object by name).
+    """
     metas = _attributes(html, "meta")
     blobs = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
 
@@ -152,13 +158,20 @@ def extract_published(html: Column, url: Column) -> Column:
         own = F.filter(metas, lambda m: F.coalesce(_attribute(m, "(?:property|itemprop|name)"), F.lit("")) == name)
         return first(F.transform(own, lambda m: times.edge_date(_attribute(m, "content"))))
 
-    def linked(key: str) -> Column:
-        found = F.transform(blobs, lambda b: F.regexp_extract_all(b, F.lit(rf'"{key}"\s*:\s*"([^"]*)"'), F.lit(1)))
-        return first(F.transform(F.flatten(found), times.edge_date))
-
+    def dates(node: Column, depth: int) -> Column:
+        """Dates of a JSON-LD node in order: its own, then those of what it holds, the last first."""
+        own = F.array(*[times.edge_date(F.try_variant_get(node, f"$.{k}", "string")) for k in LINKED_DATES])
+        if not depth:
+            return own
+        listed = F.try_variant_get(node, "$", "array<variant>")
+        held = F.map_values(F.try_variant_get(node, "$", "map<string,variant>"))
+        inner = F.transform(F.reverse(F.coalesce(listed, held, F.array().cast("array<variant>"))), lambda x: dates(x, depth - 1))
+        return F.concat(own, F.flatten(inner))
+
+    linked = first(F.flatten(F.transform(blobs, lambda b: F.coalesce(dates(F.try_parse_json(b), LINKED_DEPTH), F.array().cast("array<date>")))))
     tag = F.get(_attributes(html, "time"), F.lit(0))
     inner = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<time\b[^>]*>(.*?)</time>", 1)
-    return F.coalesce(*map(named, DATE_META), *map(linked, ("datePublished", "dateCreated", "dateModified")), times.edge_date(F.coalesce(_attribute(tag, "datetime"), inner)), urls.published_in_url(url))
+    return F.coalesce(*map(named, DATE_META), linked, times.edge_date(F.coalesce(_attribute(tag, "datetime"), inner)), urls.published_in_url(url))
 
 
 def image_map_regions(pages: DataFrame, id_col: str = "page_id", scan: tuple[str, str] | None = None, least_px: int = 25, most_area: float = 9200.0) -> DataFrame:
@@ -168,12 +181,14 @@ def image_map_regions(pages: DataFrame, id_col: str = "page_id", scan: tuple[str
     and height) if they fit it within 2 %, else of their own extents.  Slivers and whole pages go, and repeated links.
     """
     size = F.get(F.filter(F.transform(F.filter(_attributes(F.col("html"), "img"), lambda i: F.lower(i).contains("usemap")), lambda i: F.named_struct(F.lit("w"), _attribute(i, "width").try_cast("double"), F.lit("h"), _attribute(i, "height").try_cast("double"))), lambda s: (s["w"] > 100) & (s["h"] > 100)), F.lit(0))
-    base = pages.select(id_col, size.alias("img"), *([F.col(scan[0]).cast("double").alias("sw"), F.col(scan[1]).cast("double").alias("sh")] if scan else [F.lit(None).cast("double").alias("sw"), F.lit(None).cast("double").alias("sh")]), F.posexplode(_attributes(F.col("html"), "area")).alias("pos", "area"))
+    # Numbered before the explode, so that all regions of a page have its number.
+    base = pages.withColumn("_row", F.monotonically_increasing_id()).select(id_col, "_row", size.alias("img"), *([F.col(scan[0]).cast("double").alias("sw"), F.col(scan[1]).cast("double").alias("sh")] if scan else [F.lit(None).cast("double").alias("sw"), F.lit(None).cast("double").alias("sh")]), F.posexplode(_attributes(F.col("html"), "area")).alias("pos", "area"))
     numbers = F.transform(F.regexp_extract_all(F.coalesce(_attribute(F.col("area"), "coords"), F.lit("")), F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
     rows = base.select("*", _attribute(F.col("area"), "href").alias("link"), F.explode(F.array(numbers)).alias("xy")).where("size(xy) >= 4 and link is not null")
     xs, ys = F.filter("xy", lambda x, i: i % 2 == 0), F.filter("xy", lambda x, i: i % 2 == 1)
-    rows = rows.select(id_col, "pos", "link", "img", "sw", "sh", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    rows = rows.join(map_extents(rows, id_col), id_col)
+    rows = rows.select("_row", id_col, "pos", "link", "img", "sw", "sh", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    page = Window.partitionBy("_row")  # a page's own regions: its row, whatever its id
+    rows = rows.withColumns({"mx": F.max("x1").over(page), "my": F.max("y1").over(page)})
     fits = (F.col("sw") > 0) & (F.col("mx") <= 1.02 * F.col("sw")) & (F.col("my") <= 1.02 * F.col("sh"))
     rows = rows.withColumn("w", F.coalesce("img.w", F.when(fits, F.col("sw")), F.col("mx"))).withColumn("h", F.coalesce("img.h", F.when(fits, F.col("sh")), F.col("my")))
     return _boxes(rows, id_col, least_px, most_area)
@@ -187,9 +202,9 @@ def map_extents(rows: DataFrame, id_col: str) -> DataFrame:
 def _boxes(rows: DataFrame, id_col: str, least_px: int, most_area: float) -> DataFrame:
     clamp = lambda c, top: F.greatest(F.lit(0.0), F.least(F.col(c), F.col(top)))
     x0, x1, y0, y1 = clamp("x0", "w"), clamp("x1", "w"), clamp("y0", "h"), clamp("y1", "h")
-    rows = rows.where((F.col("w") > 0) & (F.col("h") > 0)).select(id_col, "pos", "link", (x1 - x0).alias("dx"), (y1 - y0).alias("dy"), *[(100 * v / F.col(s)).alias(n) for n, v, s in (("l", x0, "w"), ("t", y0, "h"), ("r", x1, "w"), ("b", y1, "h"))])
+    rows = rows.where((F.col("w") > 0) & (F.col("h") > 0)).select("_row", id_col, "pos", "link", (x1 - x0).alias("dx"), (y1 - y0).alias("dy"), *[(100 * v / F.col(s)).alias(n) for n, v, s in (("l", x0, "w"), ("t", y0, "h"), ("r", x1, "w"), ("b", y1, "h"))])
     rows = rows.where(valid_box(least_px, most_area))
-    first = F.row_number().over(Window.partitionBy(id_col, "link").orderBy("pos"))
+    first = F.row_number().over(Window.partitionBy("_row", "link").orderBy("pos"))
     return rows.withColumn("_n", first).where("_n = 1").select(id_col, "pos", "link", "l", "t", "r", "b")
 
 
@@ -205,22 +220,28 @@ def rescale_region(box: Column, coords: Column, width: Column, height: Column) -
     return F.when((F.size(coords) >= 4) & (width > 0) & (height > 0), new).otherwise(box)
 
 
+def _onsite(html: Column, page: Column) -> Column:
+    """How many different links a page has to its own host with two slashes or more in the path, no assets, fragments cut."""
+    hrefs = F.filter(F.transform(_attributes(html, "a"), lambda a: _attribute(a, "href")), lambda h: h.isNotNull())
+    full = F.transform(hrefs, lambda h: F.regexp_replace(urls.absolute_url(h, page), "#.*$", ""))
+
+    def good(u: Column) -> Column:
+        path = urls.url_path(u)
+        return (urls.bare_host(u) == urls.bare_host(page)) & (F.length(F.regexp_replace(path, "[^/]", "")) >= 2) & ~path.rlike(rf"(?i)\.(?:{urls.ASSETS})$")
+
+    return F.size(F.array_distinct(F.filter(full, good)))
+
+
 def onsite_article_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """id, n: different links of a page to its own host with two slashes or more in the path, no assets, fragments cut."""
-    hrefs = pages.select(id_col, F.col(url_col).alias("_page"), F.explode(F.transform(_attributes(F.col("html"), "a"), lambda a: _attribute(a, "href"))).alias("href")).where("href is not null")
-    full = hrefs.select(id_col, "_page", F.regexp_replace(urls.absolute_url(F.col("href"), F.col("_page")), "#.*$", "").alias("u"))
-    path = urls.url_path(F.col("u"))
-    good = (urls.bare_host(F.col("u")) == urls.bare_host(F.col("_page"))) & (F.length(F.regexp_replace(path, "[^/]", "")) >= 2) & ~path.rlike(rf"(?i)\.(?:{urls.ASSETS})$")
-    counts = full.where(good).groupBy(id_col).agg(F.count_distinct("u").alias("n"))
-    return pages.select(id_col).join(counts, id_col, "left").select(id_col, F.coalesce("n", F.lit(0)).alias("n"))
+    """id, n of each page, within its own row."""
+    return pages.select(id_col, _onsite(F.col("html"), F.coalesce(F.col(url_col), F.lit(""))).cast("long").alias("n"))
 
 
 def source_probe_summary(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """id, regions, images, links, mode: imagemap from three linked regions, partial from one, image_only, unknown."""
+    """id, regions, images, links, mode of each page: imagemap from three linked regions, partial from one, image_only, unknown."""
     linked = F.size(F.filter(_attributes(F.col("html"), "area"), lambda a: _attribute(a, "href").isNotNull() & _attribute(a, "coords").isNotNull()))
     images = F.size(F.filter(_attributes(F.col("html"), "img"), lambda i: F.coalesce(_attribute(i, "src"), F.lit("")).rlike(r"(?i)page|epaper|\.jpe?g")))
-    base = pages.select(id_col, linked.alias("regions"), images.alias("images"))
-    out = base.join(onsite_article_links(pages, id_col, url_col).withColumnRenamed("n", "links"), id_col)
+    out = pages.select(id_col, linked.alias("regions"), images.alias("images"), _onsite(F.col("html"), F.coalesce(F.col(url_col), F.lit(""))).cast("long").alias("links"))
     return out.withColumn("mode", F.when(F.col("regions") >= 3, "imagemap").when(F.col("regions") >= 1, "partial").when(F.col("images") > 0, "image_only").otherwise("unknown"))
 
 
@@ -249,13 +270,18 @@ def keep_real_scans(probes: DataFrame, least: int = 30_000) -> DataFrame:
 
 
 def edition_page_urls(editions: DataFrame, most: int = 24) -> DataFrame:
-    """editions (paper, base, cities, date, pattern) -> paper, city, page_no, url; cities in order of preference.
-    pattern: md (M-D-YYYY/p), dmy (DD_MM_YYYY_NNN), short (DDMMYY-p)."""
+    """editions (paper, base, cities, date, pattern) -> paper, city, rank, page_no, url; cities in order of preference.
+
+    pattern: family ({base}/{M-D-YYYY}/{city}/mainpage/page{N}.jpg), dated ({base}/{YYYY}/{MM}/{DD}/pages/{DD_MM_YYYY}_{NNN}.jpg,
+    for papers without cities) or short ({base}/{city}/{DDMMYY}-{N}).
+    """
     d = F.to_date("date")
     rows = editions.select("paper", "base", "pattern", d.alias("d"), F.posexplode("cities").alias("rank", "city")).select("*", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("page_no"))
     n = F.col("page_no").cast("string")
-    tail = F.when(F.col("pattern") == "md", F.concat(F.date_format("d", "M-d-yyyy"), F.lit("/"), n)).when(F.col("pattern") == "dmy", F.concat(F.date_format("d", "dd_MM_yyyy"), F.lit("_"), F.lpad(n, 3, "0"))).otherwise(F.concat(F.date_format("d", "ddMMyy"), F.lit("-"), n))
-    return rows.select("paper", "city", "rank", "page_no", F.concat_ws("/", "base", "city", tail).alias("url"))
+    family = F.concat_ws("/", "base", F.date_format("d", "M-d-yyyy"), F.lower("city"), F.lit("mainpage"), F.concat(F.lit("page"), n, F.lit(".jpg")))
+    dated = F.concat_ws("/", "base", F.date_format("d", "yyyy/MM/dd"), F.lit("pages"), F.concat(F.date_format("d", "dd_MM_yyyy"), F.lit("_"), F.lpad(n, 3, "0"), F.lit(".jpg")))
+    short = F.concat_ws("/", "base", F.lower("city"), F.concat(F.date_format("d", "ddMMyy"), F.lit("-"), n))
+    return rows.select("paper", "city", "rank", "page_no", F.when(F.col("pattern") == "family", family).when(F.col("pattern") == "dated", dated).otherwise(short).alias("url"))
 
 
 def edition_pages_from_listing(pages: DataFrame, pattern: str, full: tuple[str, str] = ("thumb", "large"), most: int = 24, id_col: str = "page_id") -> DataFrame:
@@ -270,8 +296,9 @@ def number_pages(listing: DataFrame, id_col: str = "page_id") -> DataFrame:
     return listing.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("pos")).alias("page_no"), "url")
 
 
-def edition_stats(pages: DataFrame) -> DataFrame:
-    """Per source: pages, read, map_fail, ocr_fail, chars, hits, note."""
-    out = pages.groupBy("source").agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "read").alias("read"), F.count_if(F.col("status") == "map_fail").alias("map_fail"), F.count_if(F.col("status") == "ocr_fail").alias("ocr_fail"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+def edition_stats(pages: DataFrame, most_hits: int = 24, page_hits: int = 4) -> DataFrame:
+    """Per source: pages, read, map_fail, ocr_fail, chars, hits, capped (a page or the source had more hits than are shown), note."""
+    n = F.coalesce("hits", F.lit(0))
+    out = pages.groupBy("source").agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "read").alias("read"), F.count_if(F.col("status") == "map_fail").alias("map_fail"), F.count_if(F.col("status") == "ocr_fail").alias("ocr_fail"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.sum(n).alias("hits"), (F.coalesce(F.max(n) > page_hits, F.lit(False)) | (F.sum(F.least(n, F.lit(page_hits))) > most_hits)).alias("capped"))
     note = F.when(F.col("hits") > 0, "").when(F.col("pages") == 0, "No pages").when(F.col("read") == 0, "No page could be read").when(F.col("chars") < 400, "Hardly any text").otherwise("No keyword on these pages")
     return out.withColumn("note", note)

@@ -104,11 +104,13 @@ def enforce_limits(mentions: DataFrame, now: Column, limit: int = LIMIT, delete_
 
 
 def limit_counts(before: DataFrame, after: DataFrame, now: Column) -> DataFrame:
-    """One row: expired, trimmed, deleted."""
-    old = F.count_if(effective_time(now) < _since(RETENTION_DAYS, now))
-    b = before.agg(F.count("*").alias("n"), old.alias("expired"))
-    a = after.agg(F.count("*").alias("n_after"))
-    return b.crossJoin(a).select("expired", (F.col("n") - F.col("expired") - F.col("n_after")).alias("deleted"))
+    """One row: expired, trimmed (labels that went beyond the quota), deleted (mentions that lost all of theirs)."""
+    labels = F.size(F.filter("matched_keywords", lambda k: k != ""))
+    live = effective_time(now) >= _since(RETENTION_DAYS, now)
+    b = before.agg(F.count_if(~live).alias("expired"), F.count_if(live).alias("n"), F.sum(F.when(live, labels)).alias("labels"))
+    a = after.agg(F.count("*").alias("n_after"), F.sum(labels).alias("labels_after"))
+    none = F.lit(0)
+    return b.crossJoin(a).select("expired", (F.coalesce("labels", none) - F.coalesce("labels_after", none)).cast("long").alias("trimmed"), (F.col("n") - F.col("n_after")).alias("deleted"))
 
 
 def media_paths(mentions: DataFrame) -> DataFrame:
@@ -132,15 +134,16 @@ def pages_missing_media(mentions: DataFrame) -> DataFrame:
 
 def backfill_candidates(mentions: DataFrame, newest: int = 400, most: int = 40) -> DataFrame:
     """The first entries (id, keyword, start) without media among the newest mentions; entries without a start are skipped."""
-    recent = mentions.orderBy(F.desc("id")).limit(newest)
-    flat = pages_missing_media(recent).select("id", F.explode("missing").alias("keyword"))
-    start = F.get(F.try_element_at(recent["keyword_hits"], F.col("keyword")), F.lit(0))["start"]
-    return flat.join(recent, "id").select("id", "keyword", start.alias("start")).where("start is not null").orderBy(F.desc("id"), "keyword").limit(most)
+    recent = mentions.orderBy(F.desc("id")).limit(newest).select("id", F.coalesce("keyword_media", F.create_map().cast("map<string,string>")).alias("_media"), F.explode("keyword_hits").alias("keyword", "_hits"))
+    flat = recent.where(~F.map_contains_key("_media", F.col("keyword"))).select("id", "keyword", F.get("_hits", F.lit(0))["start"].alias("start"))
+    return flat.where("start is not null").orderBy(F.desc("id"), "keyword").limit(most)
 
 
 def attach_media(mentions: DataFrame, media: DataFrame) -> DataFrame:
-    """media: id, keyword, path. Paths for keywords that lack one; the keyword's first hit with a start gets it as its screenshot."""
-    per = media.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("keyword", "path"))).alias("_new"))
+    """media: id, keyword, path. Paths for keywords that lack one, the first of several; the keyword's first hit with a start
+    gets it as its screenshot."""
+    one = media.where("keyword is not null and path is not null").groupBy("id", "keyword").agg(F.min("path").alias("path"))
+    per = one.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("keyword", "path")))).alias("_new"))
     rows = mentions.join(per, "id", "left").withColumn("_new", F.coalesce("_new", F.create_map().cast("map<string,string>")))
     have = F.coalesce("keyword_media", F.create_map().cast("map<string,string>"))
     usable = F.map_filter("_new", lambda k, v: ~F.map_contains_key(have, k) & F.coalesce(F.get(F.try_element_at("keyword_hits", k), F.lit(0))["start"].isNotNull(), F.lit(False)))

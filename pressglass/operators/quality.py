@@ -32,8 +32,14 @@ def repetition_gate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def line_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_lines, n_unique, top_line, top_n over lines that aren't blank; the first in order of equally frequent ones.
-    Lines are counted by document before they meet, so a line that all share is no hot key."""
-    lines = docs.select(id_col, F.posexplode(clean_lines(F.col(text_col))).alias("pos", "line"))
-    per = lines.groupBy(id_col, "line").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    out = per.groupBy(id_col).agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_unique"), F.max_by(F.struct("line", "n"), F.struct("n", -F.col("pos"))).alias("top"))
-    return out.select(id_col, "n_lines", "n_unique", F.col("top.line").alias("top_line"), F.col("top.n").alias("top_n"))
+
+    Counted within the row, nothing is shuffled: places of lines, sorted by line, are cut where the line changes.  Texts without
+    lines give no row.
+    """
+    rows = docs.select(id_col, F.explode(F.array(clean_lines(F.col(text_col)))).alias("l")).where(F.size("l") > 0)
+    rows = rows.select(id_col, F.explode(F.array(F.array_sort(F.transform("l", lambda x, i: F.struct(x.alias("line"), i.alias("pos")))))).alias("s"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", F.greatest(i - 1, F.lit(0)))["line"] != F.get("s", i)["line"]))
+    rows = rows.select(id_col, "s", F.explode(F.array(starts)).alias("at"))
+    runs = F.transform("at", lambda a, k: F.struct((F.coalesce(F.get("at", k + 1), F.size("s")) - a).cast("long").alias("n"), (-F.get("s", a)["pos"]).alias("order"), F.get("s", a)["line"].alias("line")))
+    rows = rows.select(id_col, F.size("s").cast("long").alias("n_lines"), F.size("at").cast("long").alias("n_unique"), F.array_max(runs).alias("top"))
+    return rows.select(id_col, "n_lines", "n_unique", F.col("top.line").alias("top_line"), F.col("top.n").alias("top_n"))

@@ -197,12 +197,28 @@ def attach_channel(transcripts: DataFrame, channels: DataFrame, bulletins: DataF
     return out.join(bulletins.select("bulletin_id", F.col("label").alias("slot_label")), "bulletin_id", "left").withColumn("slot_label", F.coalesce("slot_label", F.lit("Cached")))
 
 
-def scan_summary(bulletins: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counters of a run."""
-    s = F.col("discovery_status")
-    return bulletins.groupBy(*(by or [])).agg(
-        F.count("*").alias("checked"), F.count_if(F.col("video_id").isNotNull()).alias("discovered"), F.count_if(F.col("transcription_status") == "done").alias("transcribed"),
-        F.count_if(s == "missing").alias("missing"), F.count_if(s == "failed").alias("failed"), F.count_if(s == "needs_review").alias("needs_review"),
+def scan_summary(bulletins: DataFrame, by: list[str] | None = None, mentions: DataFrame | None = None, alerts: DataFrame | None = None) -> DataFrame:
+    """Counters of a run: channels, checked, discovered, transcribed, mentions, alerts, missing, failed, needs_review, cost_usd_est.
+
+    mentions and alerts (external_id) are counted by the bulletin whose video they are of; the cost is that of
+    transcribed bulletins with a duration (columns duration_seconds, model; without them it is 0).
+    """
+    from pressglass.operators.hits import transcription_cost
+
+    rows = bulletins
+    for name, found in (("_mentions", mentions), ("_alerts", alerts)):
+        if found is None:
+            rows = rows.withColumn(name, F.lit(0))
+        else:
+            per = found.groupBy(F.col("external_id").alias("video_id")).agg(F.count("*").alias(name))
+            rows = rows.join(per, "video_id", "left")
+    s, done = F.col("discovery_status"), F.col("transcription_status") == "done"
+    priced = {"duration_seconds", "model"} <= set(bulletins.columns)
+    cost = F.when(done & F.col("duration_seconds").isNotNull(), transcription_cost(F.col("duration_seconds"), F.coalesce("model", F.lit("")))) if priced else F.lit(0.0)
+    return rows.groupBy(*(by or [])).agg(
+        F.count_distinct("channel_id").alias("channels"), F.count("*").alias("checked"), F.count_if(F.col("video_id").isNotNull()).alias("discovered"), F.count_if(done).alias("transcribed"),
+        F.coalesce(F.sum("_mentions"), F.lit(0)).alias("mentions"), F.coalesce(F.sum("_alerts"), F.lit(0)).alias("alerts"), F.count_if(s == "missing").alias("missing"), F.count_if(s == "failed").alias("failed"),
+        F.count_if(s == "needs_review").alias("needs_review"), F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 6).alias("cost_usd_est"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pressglass.functions import text as T
 from pressglass.functions import times, urls
 from pressglass.operators import feeds, hits, match, merge, pages, policy, quality, slots, ticker
-from pressglass.plans import registry, table_queries  # noqa: F401 (table_queries registers its own)
+from pressglass.plans import registry, table_queries, timeline_queries  # noqa: F401 (they register their own)
 from pressglass.plans.registry import query, table
 from pressglass.plans.search import press_search
 from pressglass.storage import drained
@@ -397,11 +397,6 @@ def source_probe_summary(spark, sf_dir):
     return pages.source_probe_summary(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT page_id, CAST(NULL AS DATE) AS published FROM pages")
-def extract_published(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", pages.extract_published(F.col("html"), F.col("url")).alias("published"))
-
-
 @query("SELECT vec_id, len(list_filter(embedding, lambda x: x::DOUBLE > list_sum(list_transform(embedding, lambda y: y::DOUBLE)) / len(embedding))) AS ones FROM embeddings")
 def bit_signature(spark, sf_dir):
     sig = ticker.bit_signature(F.transform("embedding", lambda x: x.cast("double")))
@@ -479,7 +474,7 @@ def bulletin_status(spark, sf_dir):
     return bulletins(spark, sf_dir).groupBy(slots.bulletin_status(F.col("discovery_status"), F.col("transcription_status")).alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT left(o_orderpriority, 1)::BIGINT AS slot_id, count(*) AS checked, count(*) FILTER (o_orderstatus <> 'P') AS discovered, count(*) FILTER (o_orderstatus = 'F') AS transcribed, count(*) FILTER (o_orderstatus = 'P') AS missing, 0 AS failed, 0 AS needs_review FROM orders GROUP BY 1")
+@query("SELECT left(o_orderpriority, 1)::BIGINT AS slot_id, count(DISTINCT o_custkey) AS channels, count(*) AS checked, count(*) FILTER (o_orderstatus <> 'P') AS discovered, count(*) FILTER (o_orderstatus = 'F') AS transcribed, count(*) FILTER (o_orderstatus = 'P') AS missing, 0 AS mentions, 0 AS alerts, 0 AS failed, 0 AS needs_review, 0.0::DOUBLE AS cost_usd_est FROM orders GROUP BY 1")
 def scan_summary(spark, sf_dir):
     return slots.scan_summary(bulletins(spark, sf_dir), ["slot_id"])
 

@@ -12,16 +12,21 @@ from pressglass.operators.slots import attach_channel
 
 
 def press_search(docs: DataFrame, keywords: DataFrame, snippet_for: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, labels, snippet for every document with a match."""
-    labels = match.labels_per_document(match.match_documents(docs, keywords, id_col, text_col), id_col)
-    return docs.join(labels, id_col).select(id_col, "labels", T.snippet(F.col(text_col), snippet_for).alias("snippet"))
+    """id, labels, snippet for every document with a match, row by row: rows of one id, or without one, have their own."""
+    found = match.labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), keywords)
+    return found.select(F.col("id").alias(id_col), "labels", T.snippet(F.col("text"), snippet_for).alias("snippet"))
+
+
+def _by_keyword(located: DataFrame) -> DataFrame:
+    """video_id, keyword_hits of located hits in the stored form; a keyword in two languages has the hits of both."""
+    full = F.transform_values("keyword_hits", lambda k, v: F.transform(v, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["excerpt"].alias("excerpt"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("screenshot"))))
+    return hits.hits_map(located).select("video_id", full.alias("keyword_hits"))
 
 
 def _mentions(located: DataFrame, info: DataFrame, schema: str, module: str = "youtube") -> DataFrame:
     """One mention per video from located hits; info: video_id, source, section, title, url, published_at."""
     names = [c.split()[0] for c in ["id long", "module", "external_id"]]
-    full = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["excerpt"].alias("excerpt"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("screenshot")))
-    per = located.select("video_id", "keyword", full.alias("hits")).groupBy("video_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("keyword", "hits")))).alias("keyword_hits"), F.array_sort(F.collect_set("keyword")).alias("matched_keywords"))
+    per = _by_keyword(located).withColumn("matched_keywords", F.array_sort(F.map_keys("keyword_hits")))
     rows = per.join(info, "video_id")
     lead = F.get(F.element_at("keyword_hits", F.get("matched_keywords", F.lit(0))), F.lit(0))
     out = rows.select(F.lit(None).cast("long").alias(names[0]), F.lit(module).alias("module"), F.col("video_id").alias("external_id"), "source", "section", "title", "url", times.deep_link(F.col("url"), lead["start"]).alias("deeplink"), lead["excerpt"].alias("snippet"), "published_at", "matched_keywords", "keyword_hits")
@@ -43,8 +48,7 @@ def repair_mentions(mentions: DataFrame, transcripts: DataFrame, keywords: DataF
     """Stored labels that are still active located again in their transcript; other mentions only pruned."""
     wanted = mentions.select(F.col("external_id").alias("video_id"), F.explode("matched_keywords").alias("keyword"))
     located = hits.locate_hits(transcripts.join(wanted.select("video_id").distinct(), "video_id", "left_semi").select("video_id", "segments"), keywords).join(wanted, ["video_id", "keyword"])
-    full = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["excerpt"].alias("excerpt"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("screenshot")))
-    per = located.select("video_id", "keyword", full.alias("hits")).groupBy("video_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("keyword", "hits")))).alias("_new"))
+    per = _by_keyword(located).withColumnRenamed("keyword_hits", "_new")
     rows = mentions.join(per.withColumnRenamed("video_id", "external_id"), "external_id", "left")
     rows = rows.withColumn("keyword_hits", F.coalesce("_new", "keyword_hits")).select(*mentions.columns)
     return hits.prune_hits(rows).where(F.size("matched_keywords") > 0)

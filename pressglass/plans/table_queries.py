@@ -136,10 +136,10 @@ def not_before_monitor_since(spark, sf_dir):
     return policy.not_before(rows, "1996-01-01").select("o_orderkey")
 
 
-@query("SELECT user_id % 10 AS module, bool_and(n >= 25) AS all_full FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1 HAVING module = 3")
+@query("SELECT bool_and(n >= 25) AS all_full FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)")
 def all_full(spark, sf_dir):
-    counts = table(spark, sf_dir, "events").where("user_id % 10 = 3").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return policy.all_full(counts).select(F.lit(3).cast("long").alias("module"), "all_full")
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return policy.all_full(counts)
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 20 DAY")
@@ -256,13 +256,13 @@ def finalize_transcripts(spark, sf_dir):
     return merge.finalize_transcripts(old, made).select(F.col("video_id").alias("o_orderkey"), "text", "transcriber", "language")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS name, c_custkey % 3 = 0 AS active FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS name, c_custkey % 3 = 0 OR c_custkey % 2 = 1 AS active FROM customer")
 def upsert_channels(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")
     old = rows.select(F.col("c_custkey").alias("channel_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("").alias("name"), F.lit(False).alias("active"))
     seed = rows.where("c_custkey % 3 = 0 or c_custkey % 2 = 1").select(F.col("c_custkey").alias("channel_id"), F.col("c_mktsegment").alias("name"))
     merged = merge.upsert_channels(old, seed)
-    return merged.select(F.col("channel_id").alias("c_custkey"), "name", (F.col("active") & (F.col("channel_id") % 3 == 0)).alias("active"))
+    return merged.select(F.col("channel_id").alias("c_custkey"), "name", "active")
 
 
 @query("SELECT doc_id, lang AS label FROM documents WHERE lang <> 'en'")

@@ -9,6 +9,7 @@ from pressglass import schemas
 from pressglass.functions import times
 from pressglass.operators.feeds import format_alert
 from pressglass.operators.slots import CANONICAL, GENERIC_RULES
+from pressglass.sources.versions import VersionedTable
 
 
 def _read(spark: SparkSession, path: str, schema: str | None, fmt: str = "parquet") -> DataFrame:
@@ -76,9 +77,18 @@ def slot_dim(channels: DataFrame) -> DataFrame:
     return out.withColumn("title_rules", rules).withColumn("min_duration_sec", F.lit(120)).withColumn("max_duration_sec", F.lit(3600)).withColumn("enabled", F.lit(True))
 
 
-def write_mentions(mentions: DataFrame, path: str) -> None:
-    """A new version, in a folder that isn't being read, by module."""
-    mentions.write.mode("errorifexists").partitionBy("module").parquet(path)
+MENTION_KEY = ["module", "external_id"]
+
+
+def write_mentions(mentions: DataFrame, path: str) -> int:
+    """A new version of the table at path, committed when all of it is there; returns its number."""
+    return VersionedTable(mentions.sparkSession, path, MENTION_KEY).write(mentions)["version"]
+
+
+def read_mentions(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version; empty before the first one."""
+    found = VersionedTable(spark, path, MENTION_KEY).read()
+    return spark.createDataFrame([], schemas.MENTIONS) if found is None else found
 
 
 def write_alert_log(mentions: DataFrame, path: str, now: Column) -> None:
