@@ -164,8 +164,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, ki
     encode_special_tokens = True); without, they get their own ids, as by the library's default.
     Returns one row per file, itself stored in the shared folder: file_no, path, n_docs, n_ids.  Files left by lost
     or repeated task attempts are in no row.  Null texts count as empty and give end_id alone; rows without an id
-    come first; repeated rows are each written; an empty table gives no file.
+    come first; repeated rows are each written; an empty table gives no file; ids that
+    aren't integers raise.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"the files hold integer ids, and {id_col} isn't one")
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).repartitionByRange("id").sortWithinPartitions("id")
@@ -237,5 +240,6 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "bytes", special_as_text: bool = True) -> DataFrame:
+    """One row per row of docs, from the files that write_ids() has written: doc_id, start, n_tokens, ids_crc32 (see there)."""
     folder = shared_folder(docs.sparkSession, "id-planes")
     return read_ids(write_ids(docs, tokenizer_path, end_id, folder, kind, special_as_text=special_as_text), folder)

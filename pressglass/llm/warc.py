@@ -11,17 +11,17 @@ import base64
 import gzip
 import hashlib
 import uuid
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressglass.llm.common import bounded_batches, numbered, shared_folder, stored
+from pressglass.llm.common import Scratch, bounded_batches, numbered, shared_folder, stored
 
 BLOCK_LINES = 300
 #: Bytes of a WARC file before the next one begins.
@@ -84,14 +84,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """
     bounded_batches(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
-    read = numbered(pages, "_rid").select(F.col("_rid").alias("rid"), "page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), digest_of(html).alias("digest"), F.octet_length(html).alias("size"))
-    # No payload travels: digests are grouped, and what became of each row is joined to the rows by its number.
+    read = numbered(pages, "_rid").select(F.col("_rid").alias("rid"), "page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), digest_of(html).alias("digest"), F.unhex(F.sha2(html.cast("binary"), 256)).alias("same"), F.octet_length(html).alias("size"))
+    # No payload travels: SHA-256 tells equal ones, and what became of each row is joined to the rows by its number.
     best = F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "rid")).alias("best")
-    firsts = read.where(F.col("size") >= least).groupBy("digest", "size").agg(best, F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("g_digest"), F.col("size").alias("g_size"), F.col("best.page_id").alias("refers_to"), F.col("best.rid").alias("g_rid"))
-    slim = read.select("rid", "digest", "size").withColumn("hash", F.xxhash64("digest"))
-    firsts = firsts.withColumn("g_hash", F.xxhash64("g_digest"))
-    links = slim.join(firsts, (F.col("hash") == F.col("g_hash")) & (F.col("digest") == F.col("g_digest")) & (F.col("size") == F.col("g_size"))).where("rid != g_rid").select("rid", "refers_to", F.lit(True).alias("again"))
-    ready = read.drop("size").join(stored(links, "revisits"), "rid", "left").select("page_id", "url", "html", "digest", "refers_to", F.coalesce("again", F.lit(False)).alias("again"))
+    firsts = read.where(F.col("size") >= least).groupBy("same", "size").agg(best, F.count("*").alias("n")).where("n > 1").select(F.col("same").alias("g_same"), F.col("size").alias("g_size"), F.col("best.page_id").alias("refers_to"), F.col("best.rid").alias("g_rid"))
+    slim = read.select("rid", "same", "size").withColumn("hash", F.xxhash64("same"))
+    firsts = firsts.withColumn("g_hash", F.xxhash64("g_same"))
+    links = slim.join(firsts, (F.col("hash") == F.col("g_hash")) & (F.col("same") == F.col("g_same")) & (F.col("size") == F.col("g_size"))).where("rid != g_rid").select("rid", "refers_to", F.lit(True).alias("again"))
+    ready = read.drop("size", "same").join(stored(links, "revisits"), "rid", "left").select("page_id", "url", "html", "digest", "refers_to", F.coalesce("again", F.lit(False)).alias("again"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -192,21 +192,66 @@ class Index:
         return out
 
 
-def read_archives(directory: DataFrame, folder: str) -> DataFrame:
-    """Every capture by way of the index: page_id, payload_bytes, payload_digest, record_type, refers_to.
+def url_keys(pages: DataFrame) -> DataFrame:
+    """key: the distinct keys of pages' URLs."""
 
-    Index blocks are dealt out; their lines are dealt out again by file, so each archive is read in ascending ranges.
-    A response's length and digest come from its payload, a revisit's from its record.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
+
+    return pages.select(F.coalesce("url", F.lit("")).alias("url")).mapInArrow(each, "key string").distinct()
+
+
+def look_up(keys: DataFrame, directory: DataFrame, folder: str, tables: Scratch) -> DataFrame:
+    """file, at, length of every capture of the keys, by the index.
+
+    Keys and the directory's rows are sorted by range together, and each range hears of the last directory row before it.  So a
+    task has the rows of its own range of keys: it finds a key's blocks by binary search among them and reads these only.
     """
+    asked = keys.select("key", F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("length"))
+    both = asked.unionByName(directory.select(F.col("first_key").alias("key"), "file", "at", "length"))
+    both = tables.stored(both.repartitionByRange("key").withColumn("range", F.spark_partition_id()), "ranges")
+    row = F.struct("key", "file", "at", "length")
+    last = both.groupBy("range").agg(F.max(F.when(F.col("file").isNotNull(), row)).alias("last"))
+    order = Window.orderBy("range")  # a row for each range
+    ahead = last.select("range", F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("last")).where("last is not null")
+    rows = both.select("range", "key", "file", "at", "length").unionByName(ahead.select("range", "last.*"))
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, _ = pyarrow.fs.FileSystem.from_uri(folder)
+        now, firsts, blocks, known, lines = None, [], [], None, []
         for batch in batches:
-            for path, at, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with where.open_input_file(path) as f:
-                    f.seek(at)
-                    rows = [(file, a, n) for _, _, file, a, n in _lines(f.read(length))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["file", "at", "length"])
+            out = []
+            for part, key, path, at, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    now, firsts, blocks = part, [], []
+                if path is not None:
+                    firsts.append(key)
+                    blocks.append((path, at, length))
+                    continue
+                # Blocks that begin with the key itself, and the one before them.
+                for i in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key)):
+                    if blocks[i] != known:
+                        known = blocks[i]
+                        with where.open_input_file(known[0]) as f:
+                            f.seek(known[1])
+                            lines = _lines(f.read(known[2]))
+                    first = bisect_left(lines, key, key=lambda x: x[0])
+                    out += [x[2:] for x in lines[first : bisect_right(lines, key, key=lambda x: x[0])]]
+            kinds = [pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 3, kinds, strict=True)], names=["file", "at", "length"])
+
+    # A range's directory rows come before its keys, so that a key's own blocks are known when it is looked up.
+    dealt = rows.repartition("range").sortWithinPartitions("range", F.col("file").isNull(), "key", "file", "at")
+    return dealt.mapInArrow(each, "file string, at long, length long")
+
+
+def read_captures(captures: DataFrame, folder: str) -> DataFrame:
+    """captures: file, at, length -> page_id, payload_bytes, payload_digest, record_type, refers_to, read in ascending ranges.
+
+    A response's length and digest come from its payload.  A revisit's are those of the response that it refers to (null
+    if there is none whose payload has the digest that the revisit names).
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, _ = pyarrow.fs.FileSystem.from_uri(folder)
@@ -218,21 +263,36 @@ def read_archives(directory: DataFrame, folder: str) -> DataFrame:
                     file, name = where.open_input_file(path), path
                 file.seek(at)
                 r = parse(gzip.decompress(file.read(length)))
-                kind = r["warc-type"]
-                if kind == "response":
-                    rows.append((_page(r["warc-record-id"]), len(r["payload"]), base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode(), kind, None))
+                own = (_page(r["warc-record-id"]), r["warc-type"])
+                if own[1] == "response":
+                    rows.append((*own, len(r["payload"]), base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode(), None))
                 else:
-                    rows.append((_page(r["warc-record-id"]), r["http_length"], r["warc-payload-digest"].removeprefix("sha1:"), kind, _page(r["warc-refers-to"])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    rows.append((*own, None, r["warc-payload-digest"].removeprefix("sha1:"), _page(r["warc-refers-to"])))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"])
+
+    ordered = captures.repartitionByRange("file", "at").sortWithinPartitions("file", "at")
+    return ordered.mapInArrow(each, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long")
 
-    n = max(1, directory.count() // 8)  # few small blocks to a task
-    blocks = directory.select("file", "at", "length").repartition(min(n, 2000))
-    lines = blocks.mapInArrow(opened, "file string, at long, length long")
-    sorted_ = lines.repartitionByRange("file", "at").sortWithinPartitions("file", "at")
-    return sorted_.mapInArrow(each, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+def read_archives(pages: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """Every capture of the pages' URLs, looked up in the index: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    with Scratch(pages.sparkSession, "lookups") as tables:
+        captures = tables.stored(look_up(url_keys(pages), directory, folder, tables), "captures")
+        records = tables.stored(read_captures(captures, folder), "records")
+        first = records.where("record_type = 'response'").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("bytes"))
+        first = first.select(F.col("page_id").alias("r_page"), F.col("payload_digest").alias("r_digest"), F.col("payload_digest").alias("seen"), "bytes")
+        again = records.where("record_type = 'revisit'").join(first, F.col("refers_to").eqNullSafe(F.col("r_page")) & (F.col("payload_digest") == F.col("r_digest")), "left")
+        again = again.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("seen").alias("payload_digest"), "record_type", "refers_to")
+        return stored(records.where("record_type = 'response'").select(*again.columns).unionByName(again), "pages")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
+    """One row per row of pages (page_id, url, html), from archives and an index of them that are written first: see read_archives().
+
+    Null html counts as empty, null URLs share the key of an empty one, page_ids may be null or repeated, each row is a capture, other
+    columns aren't read, and an empty table gives no rows.
+    """
     spark = pages.sparkSession
     folder, index = shared_folder(spark, "warc"), shared_folder(spark, "warc-index")
-    return read_archives(write_index(write_archives(pages, folder, least), index), index)
+    return read_archives(pages, write_index(write_archives(pages, folder, least), index), index)

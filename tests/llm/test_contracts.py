@@ -218,6 +218,10 @@ def test_warc_lookup(spark, tmp_path, monkeypatch):
         url = f"http://h{i % 7}.org/p{i % 3}"
         assert sorted(r["payload"].decode() for r in found.records(url)) == sorted(h for _, u, h in rows if u == url)
     assert found.records("http://nowhere.org/") == []
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    assert sorted(r.page_id for r in warc.read_archives(pages, directory, index).collect()) == list(range(40))
+    some = pages.where("page_id % 21 = 5").unionByName(pages.limit(1).selectExpr("-1L as page_id", "'http://zz.org/none' as url", "html"))
+    assert sorted(r.page_id for r in warc.read_archives(some, directory, index).collect()) == [5, 26]
 
 
 def test_field_by_brute_force():
