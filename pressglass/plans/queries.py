@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pressglass.functions import text as T
 from pressglass.functions import times, urls
 from pressglass.operators import feeds, hits, match, merge, pages, policy, quality, slots, ticker
-from pressglass.plans import registry, table_queries, timeline_queries  # noqa: F401 (they register their own)
+from pressglass.plans import registry, search_queries, table_queries, timeline_queries  # noqa: F401 (they register their own)
 from pressglass.plans.registry import query, table
 from pressglass.plans.search import press_search
 from pressglass.storage import drained

@@ -166,11 +166,15 @@ def stream_catch_up(spark, sf_dir):
     return in_time if behind is None else in_time.unionByName(behind.select("event_id", F.lit(True).alias("late")))
 
 
+#: Streams begin a day after the epoch, at which watermarks begin.
+DAY = 86_400
+
+
 def reads(spark, sf_dir):
     """conversations as ticker reads: a turn each ten seconds, its first words as the line."""
     line = F.array_join(F.slice(F.split(T.squash_ws(F.coalesce("text", F.lit(""))), " "), 1, 4), " ")
     rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("stream_id"), (F.col("turn") * 10).cast("int").alias("t")).agg(F.min(line).alias("text"))
-    return rows.withColumn("ts", F.timestamp_seconds("t"))
+    return rows.withColumn("ts", F.timestamp_seconds(F.col("t") + DAY))
 
 
 @query()
@@ -199,7 +203,7 @@ def stream_merge_ticker(spark, sf_dir):
 @query()
 def stream_suppress_frames(spark, sf_dir):
     # The same rows as suppress_near_duplicates; a test compares the two.
-    frames = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("stream_id"), F.timestamp_seconds("vec_id").alias("ts"), F.col("vec_id").cast("int").alias("t"), ticker.bit_signature(F.transform("embedding", lambda x: x.cast("double"))).alias("signature"))
+    frames = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("stream_id"), F.timestamp_seconds(F.col("vec_id") + DAY).alias("ts"), F.col("vec_id").cast("int").alias("t"), ticker.bit_signature(F.transform("embedding", lambda x: x.cast("double"))).alias("signature"))
     return streamed(spark, frames, lambda s: ordered.stream_suppress_frames(s, idle=10**7))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pressglass import schemas
 from pressglass.operators.match import match_documents
 from pressglass.operators.ticker import merge_ticker
+from pressglass.plans import registry
 from pressglass.plans.queries import watchlist
 from pressglass.sources.tables import read_mentions, write_mentions
 from pressglass.sources.versions import VersionedTable, merged_versions
@@ -165,3 +166,10 @@ def test_sessions_split_at_the_gap(spark, tmp_path):
     batch = rows.groupBy("stream_id", "keyword", F.session_window("ts", "19 seconds")).agg(F.min("ts").alias("first"))
     assert sorted(r.first for r in batch.select(F.col("first")).collect()) == [at(0), at(58)] or batch.count() == 2
     assert S.stream_ticker_events(source(spark, tmp_path, "e", rows)).isStreaming
+
+
+@pytest.mark.parametrize(("stream", "batch"), [("stream_merge_ticker", "merge_ticker"), ("stream_suppress_frames", "suppress_near_duplicates")])
+def test_streamed_queries_give_what_batch_queries_give(spark, stream, batch):
+    both = [registry.QUERIES[q](spark, "/root/testdata/sf0.001") for q in (stream, batch)]
+    got, want = (sorted(map(str, df.select("stream_id", "t").collect())) for df in both)
+    assert got == want and want
