@@ -5,6 +5,7 @@ HTML is read by the standard parser inside Arrow tasks, one page at a time; all
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,15 +25,40 @@ LINKED_DATES = ("datePublished", "dateCreated", "dateModified")
 LINKED_DEPTH = 4
 
 
+def parse_selector(selector: str) -> list[tuple[str, dict[str, str | None]]]:
+    """A container's selector as (tag or '', attributes) of an element and those around it: `div.story p#lead`, `[itemprop=articleBody]`.
+
+    Classes are asked for one by one, under the name `.class`; other kinds of selectors raise.
+    """
+    out = []
+    for part in selector.split():
+        whole = re.fullmatch(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+|\[[\w-]+(?:=[\"']?[^\]\"']*[\"']?)?\])*)", part)
+        if not whole:
+            raise ValueError(f"selector {selector!r}: only tags, classes, ids and attributes, within each other")
+        wants: dict[str, str | None] = {}
+        for sign, name, key, value in re.findall(r"([.#])([\w-]+)|\[([\w-]+)(?:=[\"']?([^\]\"']*)[\"']?)?\]", whole[2]):
+            wants["id" if sign == "#" else f".{name}" if sign else key] = name if sign == "#" else None if sign or not value else value
+        out.append(((whole[1] or "").replace("*", "").lower(), wants))
+    return out
+
+
+def _is(element: tuple[str, dict], wanted: tuple[str, dict[str, str | None]]) -> bool:
+    tag, attrs = element
+    classes = (attrs.get("class") or "").split()
+    return wanted[0] in ("", tag) and all(k[1:] in classes if k[0] == "." else k in attrs and v in (None, attrs[k]) for k, v in wanted[1].items())
+
+
 class _Reader(HTMLParser):
-    """Collects text pieces of paragraphs and blocks, and anchors, outside of chrome."""
+    """Collects text pieces of paragraphs and blocks, and anchors, outside of chrome; of the first element that the selector
+    finds its text and paragraphs."""
 
-    def __init__(self):
+    def __init__(self, selector: list | None = None):
         super().__init__(convert_charrefs=True)
+        self.selector, self.box, self.box_paragraphs = selector, None, []
         self.paragraphs: list[list[str]] = []
         self.blocks: list[list[str]] = []
         self.anchors: list[tuple[str, list[str], str]] = []
-        self.open: list[tuple[str, list[str] | None]] = []
+        self.open: list[tuple[str, list[str] | None, dict]] = []
         self.skipped = 0
 
     def handle_starttag(self, tag, attrs):
@@ -48,8 +74,23 @@ class _Reader(HTMLParser):
             (self.paragraphs if tag == "p" else self.blocks).append(pieces)
         elif tag == "a":
             pieces = []
-            self.anchors.append((dict(attrs).get("href") or "", pieces, next((t for t, _ in reversed(self.open) if t in CHROME), "")))
-        self.open.append((tag, pieces))
+            self.anchors.append((dict(attrs).get("href") or "", pieces, next((t for t, *_ in reversed(self.open) if t in CHROME), "")))
+        own = dict(attrs)
+        if self.selector and self.box is None and not self.skipped and self._found(tag, own):
+            self.box = pieces = [] if pieces is None else pieces
+        elif tag == "p" and pieces is not None and any(x is self.box for _, x, _ in self.open if x is not None):
+            self.box_paragraphs.append(pieces)
+        self.open.append((tag, pieces, own))
+
+    def _found(self, tag, attrs):
+        """Whether an element is what the selector asks for, and those around it are, in order."""
+        *around, last = self.selector
+        if not _is((tag, attrs), last):
+            return False
+        for t, _, a in self.open:
+            if around and _is((t, a), around[0]):
+                around = around[1:]
+        return not around
 
     def _close(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
@@ -71,36 +112,39 @@ class _Reader(HTMLParser):
         piece = " ".join(data.split())
         if not piece:
             return
-        for tag, pieces in self.open:
+        for tag, pieces, _ in self.open:
             if pieces is not None and (tag == "a" or not self.skipped):
                 pieces.append(piece)
 
 
-def read_html(pages: DataFrame, id_col: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id and the columns in keep, paragraphs, blocks (arrays of text), anchors (array of href, title, inside) of each page;
-    null html has none."""
+def read_html(pages: DataFrame, id_col: str = "page_id", keep: tuple[str, ...] = (), selector: str | None = None) -> DataFrame:
+    """id and the columns in keep, paragraphs, blocks (arrays of text), anchors (array of href, title, inside) of each page, box (text of
+    the selector's container, null if there is none) and box_paragraphs; null html has none."""
+    wanted = parse_selector(selector) if selector else None
     columns = list(dict.fromkeys([id_col, *keep]))
     kinds = {f"c{i}": pages.schema[c].dataType.simpleString() for i, c in enumerate(columns)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paragraphs, blocks, anchors = [], [], []
+            paragraphs, blocks, anchors, boxes, inner = [], [], [], [], []
             for html in batch.column("html").to_pylist():
-                r = _Reader()
+                r = _Reader(wanted)
                 r.feed(html or "")
                 r.close()
                 paragraphs.append([" ".join(x) for x in r.paragraphs])
                 blocks.append([" ".join(x) for x in r.blocks])
+                boxes.append(None if r.box is None else " ".join(r.box))
+                inner.append([" ".join(x) for x in r.box_paragraphs])
                 anchors.append([{"href": h, "title": " ".join(x), "inside": i} for h, x, i in r.anchors])
             link = pa.list_(pa.struct([("href", pa.string()), ("title", pa.string()), ("inside", pa.string())]))
             texts = pa.list_(pa.string())
-            found = [pa.array(paragraphs, texts), pa.array(blocks, texts), pa.array(anchors, link)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kinds), *found], names=[*kinds, "paragraphs", "blocks", "anchors"])
+            found = [pa.array(paragraphs, texts), pa.array(blocks, texts), pa.array(anchors, link), pa.array(boxes, pa.string()), pa.array(inner, texts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kinds), *found], names=[*kinds, "paragraphs", "blocks", "anchors", "box", "box_paragraphs"])
 
     fields = ", ".join(f"{k} {v}" for k, v in kinds.items())
     read = pages.select(*[F.col(c).alias(k) for c, k in zip(columns, kinds, strict=True)], "html")
-    read = read.mapInArrow(each, f"{fields}, paragraphs array<string>, blocks array<string>, anchors array<struct<href:string,title:string,inside:string>>")
-    return read.toDF(*columns, "paragraphs", "blocks", "anchors")
+    read = read.mapInArrow(each, f"{fields}, paragraphs array<string>, blocks array<string>, anchors array<struct<href:string,title:string,inside:string>>, box string, box_paragraphs array<string>")
+    return read.toDF(*columns, "paragraphs", "blocks", "anchors", "box", "box_paragraphs")
 
 
 def largest_block(blocks: Column) -> Column:
@@ -108,12 +152,18 @@ def largest_block(blocks: Column) -> Column:
     return F.aggregate(blocks, F.lit(""), lambda best, b: F.when(F.length(b) > F.length(best), b).otherwise(best))
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", least: int = 200) -> DataFrame:
-    """id, text: paragraphs by line if they make 200 characters, else the largest block."""
-    read = read_html(pages, id_col)
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", least: int = 200, selector: str | None = None, least_inside: int = 80) -> DataFrame:
+    """id, text: paragraphs by line if they make 200 characters, else the largest block.
+
+    With a selector (see parse_selector()), of pages that have such a container its paragraphs if they make 80 characters,
+    else all its text.
+    """
+    read = read_html(pages, id_col, selector=selector)
     joined = F.array_join(F.filter("paragraphs", lambda p: p != ""), "\n")
     best = largest_block(F.col("blocks"))
-    return read.select(id_col, F.when(F.length(joined) >= least, joined).when(best != "", best).otherwise(joined).alias("text"))
+    inside = F.array_join(F.filter("box_paragraphs", lambda p: p != ""), "\n")
+    boxed = F.when(F.col("box").isNotNull(), F.when(F.length(inside) >= least_inside, inside).otherwise(F.col("box")))
+    return read.select(id_col, F.coalesce(boxed, F.when(F.length(joined) >= least, joined).when(best != "", best).otherwise(joined)).alias("text"))
 
 
 def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", least_title: int = 18, pattern: str | None = None) -> DataFrame:
@@ -122,15 +172,22 @@ def extract_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     A page's links come from its own row: nothing is joined or shuffled, and rows with one id each give theirs.
     """
     read = read_html(pages, id_col, (url_col,)).withColumnRenamed(url_col, "_page") if url_col != id_col else read_html(pages, id_col).withColumn("_page", F.col(id_col))
-    read = read.withColumn("_row", F.monotonically_increasing_id())
-    anchors = read.select("_row", id_col, "_page", F.posexplode("anchors").alias("pos", "a"))
-    href = F.trim("a.href")
-    full = F.regexp_replace(urls.absolute_url(href, F.col("_page")), "#.*$", "")
-    rows = anchors.where(~href.rlike("^(?:#|(?i:javascript|mailto|tel):)|^$")).select("_row", id_col, "pos", F.col("a.title").alias("title"), full.alias("url"), "_page")
-    good = F.col("url").rlike(pattern) if pattern else urls.is_article_url(F.col("url"), F.col("_page"))
-    rows = rows.where((F.length("title") >= least_title) & good)
-    first = rows.groupBy("_row", "url").agg(F.first(id_col).alias(id_col), F.min(F.struct("pos", "title")).alias("link"))
-    return first.select(id_col, "link.pos", "link.title", "url")
+    own = F.struct(F.col(id_col).alias("id"), F.col("_page").alias("page"))
+    page = F.col("_own")["page"]
+
+    def link(a: Column, pos: Column) -> Column:
+        url = F.regexp_replace(urls.absolute_url(F.trim(a["href"]), page), "#.*$", "")
+        return F.struct(pos.alias("pos"), a["title"].alias("title"), url.alias("url"), F.trim(a["href"]).alias("href"))
+
+    def good(x: Column) -> Column:
+        story = x["url"].rlike(pattern) if pattern else urls.is_article_url(x["url"], page)
+        return ~x["href"].rlike("^(?:#|(?i:javascript|mailto|tel):)|^$") & (F.length(x["title"]) >= least_title) & story
+
+    rows = read.select(own.alias("_own"), F.transform("anchors", link).alias("links"))
+    rows = rows.select("_own", F.explode(F.array(F.filter("links", good))).alias("links"))
+    rows = rows.select("_own", "links", F.explode(F.array(F.transform("links", lambda x: x["url"]))).alias("all"))
+    first = F.filter("links", lambda x, i: F.array_position("all", x["url"]) == i + 1)
+    return rows.select(F.col("_own.id").alias(id_col), F.explode(first).alias("x")).select(id_col, "x.pos", "x.title", "x.url")
 
 
 def _attributes(html: Column, tag: str) -> Column:

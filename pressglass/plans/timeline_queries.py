@@ -272,3 +272,19 @@ def scan_summary_counters(spark, sf_dir):
     found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("external_id"), "l_quantity")
     out = slots.scan_summary(bulletins(spark, sf_dir).join(paid, "bulletin_id"), ["slot_id"], found, found.where("l_quantity > 40"))
     return out.select("slot_id", "channels", "mentions", "alerts", F.round("cost_usd_est", 4).alias("cost"))
+
+
+@query(r"""
+SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'short ' || page_id || ' loose text' WHEN page_id % 4 = 1 THEN 'one ' || repeat('long ', 20) || page_id || chr(10) || 'two' WHEN page_id % 4 = 2 THEN 'within ' || page_id ELSE 'body ' || page_id END AS text FROM pages
+""")
+def main_text_of_containers(spark, sf_dir):
+    """Containers are planted before the given pages: with short paragraphs, long ones, within another, and without paragraphs."""
+    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    planted = (
+        F.when(k == 0, F.concat(F.lit('<div class="x story y"><p>short '), n, F.lit("</p>loose text</div>")))
+        .when(k == 1, F.concat(F.lit('<div class="stories"><p>no</p></div><section class="story"><p>one '), F.repeat(F.lit("long "), F.lit(20)), n, F.lit("</p><p> </p><p>two</p> loose</section>")))
+        .when(k == 2, F.concat(F.lit('<nav><div class="story">chrome</div></nav><main><div class="story">within '), n, F.lit("</div></main>")))
+        .otherwise(F.concat(F.lit("<article class='story' >body <script>x()</script>"), n, F.lit('</article><div class="story">later</div>')))
+    )
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(planted, F.coalesce("html", F.lit(""))).alias("html"))
+    return pages.extract_main_text(rows, selector=".story")
