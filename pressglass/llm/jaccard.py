@@ -157,21 +157,26 @@ def _set_cells(texts: DataFrame, order: np.ndarray, k: int, percent: int) -> Dat
     return texts.mapInArrow(each, "cell long, lead long")
 
 
-def _regions(entries: DataFrame) -> DataFrame:
+def _regions(entries: DataFrame, tables: Scratch) -> DataFrame:
     """entries: cell, lead, and component where known -> pivot, rid of the cells that more than one set (or component) lies in."""
     parts = "component" if "component" in entries.columns else "lead"
     heads = entries.groupBy("cell").agg(F.min("lead").alias("head"), F.min(parts).alias("low"), F.max(parts).alias("high"))
     heads = heads.where("low != high").select("cell", F.col("cell").alias("twin"), F.col("head").bitwiseAND(RID_MASK).alias("pivot"))
+    heads = tables.stored(heads, "heads")  # so that entries are on disk once at a time
     # Joined on more than the grouping key: both sides are dealt out anew, so that AQE can split a cell with many sets.
-    met = entries.withColumn("twin", F.col("cell")).join(heads, ["cell", "twin"])
+    met = entries.withColumn("twin", F.col("cell")).join(heads.hint("merge"), ["cell", "twin"])
     return met.select("pivot", F.col("lead").bitwiseAND(RID_MASK).alias("rid")).where("pivot != rid").distinct()
 
 
 def _with_bodies(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """pairs: pivot, rid and more -> the same with body (of rid) and pivot_body."""
-    # Never by a broadcast of few pairs: the plan, and what it shuffles, is the same at every size.
+    """pairs: pivot, rid and more -> the same with body (of rid) and pivot_body.
+
+    Bodies are dealt out by rid once, for both joins: of those only what a pair needs goes on, and of the pivots, of which there are
+    few, each one once.  Never by a broadcast of few pairs: the plan, and what it shuffles, is the same at every size.
+    """
     own = pairs.join(bodies.hint("merge"), "rid")
-    return own.join(bodies.select(F.col("rid").alias("pivot"), F.col("body").alias("pivot_body")).hint("merge"), "pivot")
+    pivots = pairs.select(F.col("pivot").alias("rid")).distinct().join(bodies.hint("merge"), "rid")
+    return own.join(pivots.select(F.col("rid").alias("pivot"), F.col("body").alias("pivot_body")).hint("merge"), "pivot")
 
 
 def _both_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -330,15 +335,16 @@ def components(links: DataFrame, tables: Scratch) -> DataFrame:
             return tables.stored(found, "found")
 
 
-def _components_of_links(texts: DataFrame, tables: Scratch, k: int, percent: int) -> DataFrame:
-    """texts: rid, body of each point -> rid, component of the linked ones."""
+def _components_of_links(texts: DataFrame, points: Scratch, tables: Scratch, k: int, percent: int) -> DataFrame:
+    """texts: rid, body of each point, in the scope points, which ends here -> rid, component of the linked ones."""
     entries, bodies, known, parts = _set_cells(texts, _frequent(texts, k), k, percent), None, None, None
     for level in range(1, LEVELS + 1):
-        regions = tables.stored(_regions(entries), "regions")
+        regions = tables.stored(_regions(entries, tables), "regions")
         if bodies is None:
             inside = regions.select("rid").union(regions.select("pivot")).distinct()
             known_sets = tables.stored(_known(texts.join(inside.hint("merge"), "rid", "left_semi"), k), "known")
             bodies = known_sets.select("rid", "body")
+            points.remove()  # nothing reads the texts any more
         sized = tables.stored(_sized(regions, known_sets, percent), "sized")
         measured, new = tables.counted(_measured(sized.where("maybe_near"), bodies, k, percent), "measured", links=F.col("near"))
         found = measured.where("near").select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
@@ -387,12 +393,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         sets = tables.stored(_sets(read, k), "sets")
         # Equal sets are one point, named by its smallest row; its members are joined back on more than the grouping key,
         # so that AQE can split a point with many rows.
-        points = sets.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("point"), F.min("n_shingles").alias("n_shingles"))
-        member = tables.stored(sets.join(points, ["digest", "n_shingles"]).select("rid", "id", "point"), "members")
+        equal = sets.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("point"), F.min("n_shingles").alias("n_shingles"))
+        member = tables.stored(sets.join(equal, ["digest", "n_shingles"]).select("rid", "id", "point"), "members")
         first = member.where("rid = point").select("rid")
         packed = read.select("rid", "text").mapInArrow(pack, "rid long, body binary")
-        texts = tables.stored(packed.join(first.hint("merge"), "rid", "left_semi"), "points")
-        parts = _components_of_links(texts, tables, k, percent)
+        points = tables.inner("points")
+        texts = points.stored(packed.join(first.hint("merge"), "rid", "left_semi"), "points")
+        parts = _components_of_links(texts, points, tables, k, percent)
         whole = member.join(parts.withColumnRenamed("rid", "point"), "point", "left")
         whole = tables.stored(whole.select("rid", "id", F.coalesce("component", "point").alias("component")), "whole")
         names = whole.groupBy("component").agg(F.min("id").alias("component_id")).withColumn("twin", F.col("component"))
