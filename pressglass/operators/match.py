@@ -22,7 +22,7 @@ def active_keywords(keywords: DataFrame, module: str | None = None, ids: list[in
     return out.orderBy("text")
 
 
-def _prepared(keywords: DataFrame) -> DataFrame:
+def prepared(keywords: DataFrame) -> DataFrame:
     """keyword, language, form, normal, pattern, tokens (words and signs), plain (words between single spaces only)."""
     normal = T.normalize_text(F.col("text"), F.col("language"))
     kw = keywords.select(F.col("text").alias("keyword"), "language", F.when(F.col("language") == "ur", "ur").otherwise("en").alias("form"), normal.alias("normal")).where("normal != ''")
@@ -34,13 +34,13 @@ def match_documents_theta(docs: DataFrame, keywords: DataFrame, id_col: str = "d
     """doc id, keyword, language: the plain form, every document against every pattern. For small inputs and as a reference."""
     forms = docs.select(F.col(id_col).alias("id"), T.normalize_text(F.col(text_col), "en").alias("en"), T.normalize_text(F.col(text_col), "ur").alias("ur"))
     form = F.when(F.col("language") == "ur", F.col("ur")).otherwise(F.col("en"))
-    out = forms.join(small(_prepared(keywords).drop("form")), F.rlike(form, F.col("pattern")))
+    out = forms.join(small(prepared(keywords).drop("form")), F.rlike(form, F.col("pattern")))
     return out.select(F.col("id").alias(id_col), "keyword", "language").distinct()
 
 
 def _listed(keywords: DataFrame) -> list | None:
     """The prepared rows of a watchlist that may stand in a plan, None for a longer one."""
-    rows = _prepared(keywords).limit(PLAN_KEYWORDS + 1).collect()
+    rows = prepared(keywords).limit(PLAN_KEYWORDS + 1).collect()
     return rows if len(rows) <= PLAN_KEYWORDS else None
 
 
@@ -123,7 +123,7 @@ def match_documents(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id"
     rows = _listed(keywords)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if rows is None:
-        out = _by_positions(text.withColumn("_row", F.monotonically_increasing_id()), _prepared(keywords))
+        out = _by_positions(text.withColumn("_row", F.monotonically_increasing_id()), prepared(keywords))
     else:
         out = text.select("id", F.explode(_found(T.composed(F.coalesce("text", F.lit(""))), rows)).alias("m")).select("id", "m.*")
     return out.select(F.col("id").alias(id_col), "keyword", "language").distinct()
@@ -138,7 +138,7 @@ def labelled(docs: DataFrame, keywords: DataFrame, text_col: str = "text", label
         return out.withColumn(labels, F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["keyword"])))).drop("_found")
     own = F.struct(*[F.col(c) for c in docs.columns])
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), own.alias("id"), F.col(text_col).alias("text"))
-    kw = _prepared(keywords)
+    kw = prepared(keywords)
     # Rows travel once, with their labels: grouped by number, not joined again.
     met = _by_positions(numbered.withColumn("id", F.lit(None).cast("long")), kw).groupBy("_row").agg(F.array_sort(F.collect_set("keyword")).alias(labels))
     return numbered.join(met, "_row").select("id.*", labels)

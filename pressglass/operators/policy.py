@@ -58,7 +58,10 @@ def admit_new(candidates: DataFrame, existing: DataFrame, counts: DataFrame, lim
     key = ["module", "external_id", "fold"]
     fresh = candidates.withColumn("fold", F.lower("keyword")).join(existing.select("module", "external_id", F.lower("keyword").alias("fold")).distinct(), key, "left_anti")
     fresh = fresh.withColumn("first", F.row_number().over(Window.partitionBy(*key).orderBy("pos"))).where("first = 1")
-    ranked = fresh.withColumn("n_new", F.row_number().over(Window.partitionBy("fold").orderBy("pos", "module", "external_id")))
+    # Of a keyword's backlog only the first `limit` rows can be admitted, so they alone are ranked together.
+    order = ["pos", "module", "external_id"]
+    near = quota_ranks(fresh.drop("first"), ["fold"], order, limit).where("kept").drop("kept")
+    ranked = near.withColumn("n_new", F.row_number().over(Window.partitionBy("fold").orderBy(*order)))
     have = small(counts.select(F.col("keyword").alias("fold"), F.col("n").alias("n_old")))
     return ranked.join(have, "fold", "left").where(F.col("n_new") + F.coalesce("n_old", F.lit(0)) <= limit).select("module", "external_id", "keyword", "pos")
 

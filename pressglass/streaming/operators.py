@@ -8,39 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressglass.functions import text as T
-from pressglass.operators.match import keyword_fingerprint
+from pressglass.operators.match import keyword_fingerprint, prepared
 from pressglass.sizes import small
 
 CATCH_UP = "4 days"
 
 
-def stream_matches(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000) -> DataFrame:
-    """id, keyword, language as documents come: static watchlist, every match once (append).
+def stream_matches(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, keyword, language as documents come: static watchlist of any length, every match once (append).
 
-    Single words meet the stream's distinct words in a join with the static watchlist, without the texts.  Phrases, of
-    which there may be `most`, are part of the plan: a text is looked at for them where one pattern of all says so.
+    A text's distinct words and signs meet the keywords that they lead (by their longest one) in a join with the static watchlist;
+    single words are sure then, a phrase is sought between spaces among the text's words and signs, one glued to signs by its
+    pattern.  Nothing is aggregated, so no state is kept.
     """
-    normal = T.normalize_text(F.col("text"), F.col("language"))
-    kw = keywords.select(F.col("text").alias("keyword"), "language", normal.alias("normal"), T.keyword_pattern(normal).alias("pattern"), T.word_tokens(normal).alias("tokens")).where("pattern is not null").dropDuplicates(["keyword", "language"])
-    single = (F.size("tokens") == 1) & (F.get("tokens", F.lit(0)) == F.col("normal"))
-    phrases = kw.where(~single).select("keyword", "language", "pattern").limit(most + 1).collect()
-    if len(phrases) > most:
-        raise ValueError(f"more than {most} phrases")
-    words = kw.where(single).select("keyword", "language", F.col("normal").alias("word"))
-    languages = [r[0] for r in kw.select("language").distinct().collect()]
-    out = None
-    for language in languages:
-        form = docs.select(F.col(id_col), T.normalize_text(F.col(text_col), language).alias("form"))
-        parts = [form.select(id_col, F.explode(F.array_distinct(T.word_tokens(F.col("form")))).alias("word")).join(small(words.where(F.col("language") == language)), "word").select(id_col, "keyword", "language")]
-        own = [p for p in phrases if p.language == language]
-        if own:
-            any_of = "|".join(p.pattern for p in own)
-            each = F.array(*[F.when(F.col("form").rlike(p.pattern), p.keyword) for p in own])
-            found = form.where(F.col("form").rlike(any_of)).select(id_col, F.explode(F.filter(each, lambda k: k.isNotNull())).alias("keyword"))
-            parts.append(found.select(id_col, "keyword", F.lit(language).alias("language")))
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-    return out
+    lead = F.aggregate("tokens", F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    sure = (F.size("tokens") == 1) & F.get("tokens", F.lit(0)).rlike(T.WORD)
+    entries = prepared(keywords).select("keyword", "language", "form", "pattern", "plain", lead.alias("lead"), sure.alias("sure"), F.concat(F.lit(" "), "normal", F.lit(" ")).alias("padded"))
+    kinds = [r[0] for r in entries.select("form").distinct().collect()]
+    if not kinds:
+        return docs.select(id_col, F.lit("").alias("keyword"), F.lit("").alias("language")).where("false")
+    text = docs.select(id_col, T.composed(F.coalesce(text_col, F.lit(""))).alias("_text"))
+    forms = text.select(id_col, F.explode(F.array(*[F.struct(F.lit(k).alias("form"), T.normalize_text(F.col("_text"), k, compose=False).alias("n")) for k in kinds])).alias("f"))
+    forms = forms.select(id_col, "f.form", "f.n", F.explode(F.array(T.signs_and_words(F.col("f.n")))).alias("t"))
+    rows = forms.select(id_col, "form", "n", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("joined"), F.explode(F.array_distinct("t")).alias("lead"))
+    met = rows.join(small(entries), ["form", "lead"])
+    holds = F.when(F.col("sure"), True).when(F.col("plain") & (F.length("padded") > 3), F.contains("joined", F.col("padded"))).otherwise(F.rlike("n", F.col("pattern")))
+    return met.where(holds).select(id_col, "keyword", "language")
 
 
 def stream_ticker_events(stream: DataFrame, gap_seconds: int = 20, by: tuple[str, ...] = ("stream_id", "keyword"), time: str = "ts", late: str = CATCH_UP) -> DataFrame:

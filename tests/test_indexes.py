@@ -11,6 +11,8 @@ from pressglass import schemas
 from pressglass.functions import text as T
 from pressglass.operators import feeds, hits, match, pages, policy, timelines
 from pressglass.plans import search
+from pressglass.storage import drained
+from pressglass.streaming.operators import stream_matches
 
 NOW = dt.datetime(2026, 7, 21, 12, 0)
 ODD = ["the rape. a.b", "x a.b y", "xa.b", "a.by", "#tag", "x#tag", "# tag", "tag #", "foreign, affairs", "foreign affairs", "Foreign  AFFAIRS today", "c++ code", "c+ + code", "حکومت پاكستان نے", "$%", "a$%b", "$ %", "qx here", "end of the end of", None, ""]
@@ -37,6 +39,14 @@ def test_all_forms_of_matching_agree(odd, monkeypatch):
     assert sum("nothing" in c for c in labels) == 0 and sum("the #tag of it" in c for c in labels) == 2  # rows, not ids
 
 
+def test_streams_match_the_same(spark, odd, tmp_path):
+    docs, keywords = odd
+    docs.write.parquet(f"{tmp_path}/docs")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/docs")
+    got = drained(stream_matches(stream, keywords), "matches").collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in match.match_documents(docs, keywords).collect()}
+
+
 def test_prefilter_equals_the_naive_form_at_50_000_keywords(spark):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcdefghiklmnop") for _ in range(rnd.randint(2, 9)))
