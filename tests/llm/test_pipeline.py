@@ -13,7 +13,7 @@ def written(spark, folder, docs):
     rows = [(i, t) for i, t in enumerate(good + junk)] + docs(good)
     spark.createDataFrame([(i, t, "en", "s", 1, *["mine"] * 6) for i, t in rows], SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    spark.createDataFrame([(1, " ".join(good[7].split()[3:25]))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, " ".join(good[7].split()[-25:]))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
 
 
