@@ -65,9 +65,11 @@ def islands(rows: DataFrame, by: list[str], at: str, gap: float, width: float, n
     """rows with the number of their run: a new one begins where a row is more than `gap` after the one before it.
 
     By lag and a running sum inside (key, bucket of `width`); the last row's place and the sum so far are carried over.
+    Rows without a key are a timeline, too; rows without a place lie in no run and are left out.
     """
-    rows = rows.withColumn("_bucket", F.floor(F.col(at) / width))
-    key = [*by, "_bucket"]
+    # One struct for the key: a null in it equals another one, also in the joins below.
+    rows = rows.where(F.col(at).isNotNull()).withColumn("_bucket", F.floor(F.col(at) / width)).withColumn("_by", F.struct(*by))
+    by, key = ["_by"], ["_by", "_bucket"]
     inside = Window.partitionBy(*key).orderBy(at)
     earlier = Window.partitionBy(*by).orderBy("_bucket")
     ends = rows.groupBy(*key).agg(F.max(at).alias("_end")).select(*key, F.lag("_end").over(earlier).alias("_before"))
@@ -77,7 +79,7 @@ def islands(rows: DataFrame, by: list[str], at: str, gap: float, width: float, n
     sums = rows.groupBy(*key).agg(F.sum("_new").alias("_n"))
     sums = sums.select(*key, F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     running = F.sum("_new").over(inside.rangeBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_run", running).join(sums, key).withColumn(name, F.col("_run") + F.col("_ahead")).drop("_bucket", "_lag", "_before", "_new", "_run", "_ahead")
+    return rows.withColumn("_run", running).join(sums, key).withColumn(name, F.col("_run") + F.col("_ahead")).drop("_by", "_bucket", "_lag", "_before", "_new", "_run", "_ahead")
 
 
 def loops(found: DataFrame, by: list[str], place: str, second: str, n_words: int, least: int = 3) -> DataFrame:
