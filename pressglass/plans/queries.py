@@ -444,18 +444,24 @@ def cap_hits(spark, sf_dir):
 PRICE = "round(l_extendedprice / 10000, 2)::DOUBLE"
 
 
+def priced(spark, sf_dir):
+    """lineitem with PRICE as score: the product is rounded, as in the SQL, not the decimal digits of the price."""
+    score = F.round(F.col("l_extendedprice") / 10000 * 100, 0) / 100
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", score.cast("double").alias("score"))
+
+
 @query(f"""
 WITH r AS (SELECT l_orderkey, l_linenumber, {PRICE} AS score, row_number() OVER w AS n, lead({PRICE}) OVER w AS nxt FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {PRICE} DESC, l_linenumber))
 SELECT l_orderkey, l_linenumber, coalesce(score - nxt < 0.75, false) AS needs_review FROM r WHERE n = 1
 """)
 def pick_best(spark, sf_dir):
-    scored = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 10000, 2).cast("double").alias("score"))
-    return slots.pick_best(scored, ["l_orderkey"], ["l_linenumber"]).select("l_orderkey", "l_linenumber", "needs_review")
+    scored = priced(spark, sf_dir)
+    return slots.pick_best(scored, ["l_orderkey"], [F.asc_nulls_last("l_linenumber")]).select("l_orderkey", "l_linenumber", "needs_review")
 
 
 @query(f"SELECT l_orderkey, string_agg(l_linenumber, ',' ORDER BY n) AS best FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY {PRICE} DESC, l_linenumber) AS n FROM lineitem) WHERE n <= 3 GROUP BY l_orderkey")
 def top_candidates(spark, sf_dir):
-    scored = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 10000, 2).cast("double").alias("score"))
+    scored = priced(spark, sf_dir)
     top = slots.top_candidates(scored, ["l_orderkey"], ["l_linenumber"], 3, ("l_linenumber",))
     return top.select("l_orderkey", F.array_join(F.transform("candidates", lambda c: c["l_linenumber"].cast("string")), ",").alias("best"))
 
