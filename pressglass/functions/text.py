@@ -14,6 +14,8 @@ from pyspark.sql.types import StringType
 #: White space as in Unicode-aware regular expressions.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
+#: White space that isn't a single space already: only this has to be replaced for single spaces between words.
+ODD_WS = rf"(?! ){WS}+| {WS}+"
 # Letters of one look that are folded for Urdu, and marks that are dropped.
 URDU_FROM, URDU_TO = "يكةأإآ", "یکہااا"
 URDU_MARKS = "[ً-ْٰ]"
@@ -45,7 +47,13 @@ def nfc_class() -> str:
             ranges[-1][1] = c
         else:
             ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    # A class is tried range by range, so ranges stand in blocks, each behind the one range that holds all of it.
+    def of(some: list[list[int]]) -> str:
+        return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in some)
+
+    blocks = [ranges[i : i + 20] for i in range(0, len(ranges), 20)]
+    inner = "".join(f"[{of([[x[0][0], x[-1][1]]])}&&[{of(x)}]]" for x in blocks)
+    return f"[{of([[ranges[0][0], ranges[-1][1]]])}&&[{inner}]]"
 
 
 def composed(text: Column) -> Column:
@@ -58,8 +66,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
 
 
+def single_spaced(text: Column) -> Column:
+    """Each run of white space as one space."""
+    return F.regexp_replace(text, ODD_WS, " ")
+
+
 def squash_ws(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
+    return F.trim(single_spaced(text))
 
 
 def fold_letters(text: Column) -> Column:
@@ -70,8 +83,10 @@ def normalize_text(text: Column, language: Column | str = "en", compose: bool =
     """The form in which texts and keywords meet: Urdu letters folded and marks dropped, else lower case; one space between words."""
     text = F.coalesce(text, F.lit(""))
     text = composed(text) if compose else text
-    urdu = squash_ws(F.regexp_replace(fold_letters(text), URDU_MARKS, ""))
-    other = F.trim(F.lower(F.regexp_replace(text, f"{WS}+", " ")))
+    # Letters are looked up one by one only in texts that have such.
+    folded = F.when(text.rlike(f"[{URDU_FROM}]"), fold_letters(text)).otherwise(text)
+    urdu = squash_ws(F.regexp_replace(folded, URDU_MARKS, ""))
+    other = F.trim(F.lower(single_spaced(text)))
     if isinstance(language, str):
         return urdu if language == "ur" else other
     return F.when(language == "ur", urdu).otherwise(other)
@@ -134,7 +149,7 @@ def snippet(text: Column, keywords: list[str], width: int = 200) -> Column:
 
     same = composed(F.coalesce(text, F.lit("")))
     forms = F.transform(F.array(same), lambda t: F.struct(normalize_text(t, "en", compose=False).alias("en"), normalize_text(t, "ur", compose=False).alias("ur")))
-    plain = strip(F.left(F.regexp_replace(F.coalesce(text, F.lit("")), f"{WS}+", " "), F.lit(width)))
+    plain = strip(F.left(single_spaced(F.coalesce(text, F.lit(""))), F.lit(width)))
     return F.coalesce(F.get(F.transform(forms, of), F.lit(0)), plain)
 
 
