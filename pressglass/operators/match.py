@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressglass.functions import text as T
-from pressglass.sizes import small
+from pressglass.sizes import BROADCAST_ROWS, small
+from pressglass.storage import written
 
 #: Keywords whose words may stand in a plan.
 PLAN_KEYWORDS = 2_000
+#: Words or keywords that a text is searched for one after the other.
+SOUGHT_WORDS = 256
 
 
 def active_keywords(keywords: DataFrame, module: str | None = None, ids: list[int] | None = None) -> DataFrame:
@@ -38,7 +41,7 @@ def match_documents_theta(docs: DataFrame, keywords: DataFrame, id_col: str = "d
     return out.select(F.col("id").alias(id_col), "keyword", "language").distinct()
 
 
-def _listed(keywords: DataFrame) -> list | None:
+def listed(keywords: DataFrame) -> list | None:
     """The prepared rows of a watchlist that may stand in a plan, None for a longer one."""
     rows = prepared(keywords).limit(PLAN_KEYWORDS + 1).collect()
     return rows if len(rows) <= PLAN_KEYWORDS else None
@@ -47,7 +50,7 @@ def _listed(keywords: DataFrame) -> list | None:
 def _entry(row) -> Column:
     # A keyword of a single sign isn't sure: its pattern asks for what stands beside it.
     sure = len(row.tokens) == 1 and (len(row.normal) > 1 or row.normal.isalnum() or row.normal == "_")
-    return F.struct(F.lit(row.keyword).alias("keyword"), F.lit(row.language).alias("language"), F.lit(f" {row.normal} ").alias("padded"), F.lit(row.pattern).alias("pattern"), F.lit(sure).alias("sure"), F.lit(row.plain and len(row.tokens) > 1).alias("plain"))
+    return F.struct(F.lit(row.keyword).alias("keyword"), F.lit(row.language).alias("language"), F.lit(row.normal).alias("normal"), F.lit(row.pattern).alias("pattern"), F.lit(sure).alias("sure"))
 
 
 def _within(normal: Column, rows: list) -> Column:
@@ -57,84 +60,108 @@ def _within(normal: Column, rows: list) -> Column:
         by.setdefault(max(r.tokens, key=len), []).append(r)
     lookup = F.create_map(*[c for w, x in sorted(by.items()) for c in (F.lit(w), F.array(*map(_entry, x)))])
 
-    def verified(x: Column) -> Column:
-        words = F.filter(F.array_distinct(x["tokens"]), lambda w: w.isin(*by))
+    def verified(n: Column) -> Column:
+        # What stands between two spaces is taken apart once, however often it occurs.
+        tokens = T.signs_and_words(F.array_join(F.array_distinct(F.split(n, " ")), " "))
+        words = F.filter(F.array_distinct(tokens), lambda w: w.isin(*by))
         wanted = F.flatten(F.transform(words, lambda w: F.element_at(lookup, w)))
-        joined = F.concat(F.lit(" "), F.array_join(x["tokens"], " "), F.lit(" "))
-        holds = lambda c, j: F.when(c["sure"], True).when(c["plain"], F.contains(j, c["padded"])).otherwise(F.rlike(x["n"], c["pattern"]))
-        return F.get(F.transform(F.array(joined), lambda j: F.filter(wanted, lambda c: holds(c, j))), F.lit(0))
+        return F.filter(wanted, lambda c: c["sure"] | F.when(F.contains(n, c["normal"]), F.rlike(n, c["pattern"])).otherwise(False))
 
-    # Each step is an array of one, so that it is evaluated once.
-    tokens = F.transform(F.array(normal), lambda n: F.struct(n.alias("n"), T.signs_and_words(n).alias("tokens")))
-    good = F.get(F.transform(tokens, verified), F.lit(0))
+    # The form is an array of one, so that it is made once.
+    good = F.get(F.transform(F.array(normal), verified), F.lit(0))
     return F.transform(good, lambda c: F.struct(c["keyword"].alias("keyword"), c["language"].alias("language")))
 
 
-def _found(text: Column, rows: list) -> Column:
+def _sought(normal: Column, rows: list) -> Column:
+    """As _within(), for a few keywords: each is sought in the normal form, and where it occurs, as a whole word."""
+
+    def entry(n: Column, row) -> Column:
+        # Spaces of a normal form are single, so the words can stand there as they are, before what is asked of the sign ahead of them.
+        words = "\\Q" + row.normal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+        whole = F.rlike(n, F.lit(f"{words}(?<!{T.WORD}{words})(?!{T.WORD})"))
+        return F.when(F.contains(n, F.lit(row.normal)) & whole, F.struct(F.lit(row.keyword).alias("keyword"), F.lit(row.language).alias("language")))
+
+    kept = F.transform(F.array(normal), lambda n: F.filter(F.array(*[entry(n, r) for r in rows]), lambda m: m.isNotNull()))
+    return F.get(kept, F.lit(0))
+
+
+def found(text: Column, rows: list) -> Column:
     """array<struct<keyword, language>> of the listed keywords that a text contains, found within its own row.
 
-    A text's distinct words and signs are looked up; those that lead a keyword (its longest word or sign) give the keywords to verify: a
-    plain phrase stands between spaces among the words and signs, one glued to signs is tried by its pattern.
+    A few keywords (SOUGHT_WORDS) are sought one by one.  Of more, a text's distinct words and signs are looked up; those that lead a keyword (its longest word or sign) give the keywords to verify: a
+    phrase is tried by its pattern in texts that contain it.
     """
     none = F.array().cast("array<struct<keyword:string,language:string>>")
     kinds = {k: [r for r in rows if r.form == k] for k in ("en", "ur")}
-    return F.concat(none, *[_within(T.normalize_text(text, k, compose=False), own) for k, own in kinds.items() if own])
+    way = _sought if len(rows) <= SOUGHT_WORDS else _within
+    return F.concat(none, *[way(T.normalize_text(text, k, compose=False), own) for k, own in kinds.items() if own])
 
 
 def positions(docs: DataFrame, forms: list[str]) -> DataFrame:
-    """The positional index of docs (_row, id, text): _row, id, form, word, place, spaced, after_word, before_word.
+    """The positional index of docs (_row, id, text): _row, id, form, place, word, tokens.
 
-    A word or sign of a normal form at each place; whether a space stands before it, and whether a word does, or follows, with no
-    space between.
+    A row for each word or sign of a normal form at each place; tokens are all of these, each with the space before it, if there is one.
     """
     text = docs.select("_row", "id", T.composed(F.coalesce("text", F.lit(""))).alias("text"))
     normal = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), T.normalize_text(F.col("text"), k, compose=False).alias("normal")) for k in forms])).alias("f")
-    # Spaces are tokens here, so that places tell what stands together.
-    tokens = F.regexp_extract_all("f.normal", F.lit(rf"({T.WORD}+|[^\p{{L}}\p{{N}}_])"), F.lit(1))
-    rows = text.select("_row", "id", normal).select("_row", "id", "f.form", F.explode(F.array(tokens)).alias("t"))
-    is_word = lambda w: F.coalesce(w.rlike(T.WORD), F.lit(False))
-    around = lambda w, i: F.struct(w.alias("word"), F.coalesce((i > 0) & (F.get("t", i - 1) == " "), F.lit(False)).alias("spaced"), is_word(F.get("t", F.when(i > 0, i - 1))).alias("after_word"), is_word(F.get("t", i + 1)).alias("before_word"))
-    kept = F.filter(F.transform("t", around), lambda x: x["word"] != " ")
-    return rows.select("_row", "id", "form", F.posexplode(kept).alias("place", "x")).select("_row", "id", "form", "place", "x.*")
+    tokens = F.regexp_extract_all("f.normal", F.lit(rf"( ?(?:{T.WORD}+|[^\p{{L}}\p{{N}}_ ]))"), F.lit(1))
+    rows = text.select("_row", "id", normal).select("_row", "id", "f.form", F.explode(F.array(tokens)).alias("tokens"))
+    return rows.select("_row", "id", "form", "tokens", F.posexplode("tokens").alias("place", "word")).withColumn("word", F.ltrim("word"))
 
 
 def _by_positions(docs: DataFrame, kw: DataFrame) -> DataFrame:
-    """_row, id, keyword, language by the positional index: each word of a keyword is joined, and all have to stand together.
+    """_row, id, keyword, language by the positional index: a keyword is filed under its rarest word (that of the fewest keywords, so
+    that no word that many keywords share meets all of these), and where that one stands the tokens around it have to be the keyword's.
 
     Texts aren't joined again, and a row is told by its own number, whatever its id.
     """
-    spaced = F.transform(F.split("normal", " "), lambda p: F.transform(T.signs_and_words(p), lambda w, i: F.struct(w.alias("word"), (i == 0).alias("spaced"))))
-    entries = kw.select("keyword", "language", "form", F.size("tokens").alias("n"), F.posexplode(F.flatten(spaced)).alias("at", "x"))
-    entries = entries.select("keyword", "language", "form", "n", "at", "x.word", F.col("x.spaced").alias("want"))
-    found = positions(docs, ["en", "ur"]).join(small(entries), ["form", "word"])
-    sign = ~F.col("word").rlike(T.WORD)
-    inside = (F.col("at") == 0) | (F.col("spaced") == F.col("want"))
-    edges = ~(sign & (F.col("at") == 0) & F.col("after_word")) & ~(sign & (F.col("at") == F.col("n") - 1) & F.col("before_word"))
-    whole = found.where(inside & edges).groupBy("_row", "id", "keyword", "language", "n", (F.col("place") - F.col("at")).alias("begin")).agg(F.count("*").alias("met"))
-    return whole.where("met = n").select("_row", "id", "keyword", "language").distinct()
+    words = kw.select("keyword", "language", "form", "normal", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "word"))
+    many = words.groupBy("form", "word").agg(F.count_distinct("keyword", "language").alias("many"))
+    rarest = words.join(small(many), ["form", "word"]).groupBy("keyword", "language", "form", "normal", "n").agg(F.min(F.struct("many", F.negate(F.length("word")).alias("_short"), "at", "word")).alias("r"))
+    entries = rarest.select("keyword", "language", "form", "normal", "n", F.col("r.at").alias("at"), F.col("r.word").alias("word"))
+    entries = written(entries, "keywords")  # sought among all texts, but made once
+    facts = entries.agg(F.count("*"), F.max("n"), F.collect_set("form")).first()
+    if not facts[0]:
+        return docs.select("_row", "id", F.lit("").alias("keyword"), F.lit("").alias("language")).where("false")
+    index = positions(docs, sorted(facts[2]))
+    if facts[0] > BROADCAST_ROWS:  # rows travel: each with the tokens in reach only
+        reach = facts[1]
+        index = index.withColumn("tokens", F.slice("tokens", F.greatest(F.lit(1), F.col("place") + 1 - reach), 2 * reach + 1)).withColumn("place", F.least("place", F.lit(reach)))
+    met = index.join(small(entries), ["form", "word"]).withColumn("begin", F.col("place") - F.col("at"))
+    here = F.ltrim(F.array_join(F.slice("tokens", F.greatest(F.lit(1), F.col("begin") + 1), F.col("n")), ""))
+    met = met.where((F.col("begin") >= 0) & (here == F.col("normal")))
+    # A keyword that begins or ends with a sign has no word glued to that one; words end by themselves.
+    is_word = lambda w: F.coalesce(w.rlike(f"^{T.WORD}"), F.lit(False))
+    spaced = lambda w: F.coalesce(F.startswith(w, F.lit(" ")), F.lit(False))
+    first, behind = F.get("tokens", F.col("begin")), F.get("tokens", F.col("begin") + F.col("n"))
+    prior = F.when(F.col("begin") > 0, F.get("tokens", F.col("begin") - 1))
+    glued_before = is_word(F.ltrim(prior)) & ~spaced(first) & ~is_word(F.col("normal"))
+    glued_behind = is_word(behind) & ~F.coalesce(F.col("normal").rlike(f"{T.WORD}$"), F.lit(False))
+    return met.where(~glued_before & ~glued_behind).select("_row", "id", "keyword", "language").distinct()
 
 
 def match_documents(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc id, keyword, language, each once.
 
-    A watchlist of up to PLAN_KEYWORDS keywords stands in the plan, and each text is matched within its row (_found()).  A longer one is
+    A watchlist of up to PLAN_KEYWORDS keywords stands in the plan, and each text is matched within its row (found()).  A longer one is
     joined with a positional index of the texts (_by_positions()).  Rows without an id match too; rows of one id match together.
     """
-    rows = _listed(keywords)
+    rows = listed(keywords)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if rows is None:
         out = _by_positions(text.withColumn("_row", F.monotonically_increasing_id()), prepared(keywords))
     else:
-        out = text.select("id", F.explode(_found(T.composed(F.coalesce("text", F.lit(""))), rows)).alias("m")).select("id", "m.*")
+        out = text.select("id", F.explode(found(T.composed(F.coalesce("text", F.lit(""))), rows)).alias("m")).select("id", "m.*")
     return out.select(F.col("id").alias(id_col), "keyword", "language").distinct()
 
 
 def labelled(docs: DataFrame, keywords: DataFrame, text_col: str = "text", labels: str = "labels") -> DataFrame:
     """Rows of docs with a match, all their columns, and the sorted array of keywords that each row itself contains."""
-    rows = _listed(keywords)
+    rows = listed(keywords)
     if rows is not None:
-        found = _found(T.composed(F.coalesce(text_col, F.lit(""))), rows)
-        out = docs.withColumn("_found", found).where(F.size("_found") > 0)
+        # An explode of one, so that the condition doesn't match the text once more.
+        own = F.explode(F.array(found(T.composed(F.coalesce(text_col, F.lit(""))), rows))).alias("_found")
+        out = docs.select("*", own).where(F.size("_found") > 0)
         return out.withColumn(labels, F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["keyword"])))).drop("_found")
     own = F.struct(*[F.col(c) for c in docs.columns])
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), own.alias("id"), F.col(text_col).alias("text"))
@@ -152,30 +179,56 @@ def _grams(text: Column, n: int) -> Column:
 def prefilter_candidates(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs that contain the longest word of some keyword as a substring: a sound first cut, no match is lost.
 
-    By an index of trigrams: each such word is filed under its rarest trigram (that of the fewest words of the watchlist; words of
-    two characters under themselves), the documents' different tokens meet the index by their trigrams in an equi-join, and what meets
-    is checked with contains; documents are then those with such a token.  A keyword whose longest word has under two characters
-    switches the cut off.  The watchlist stays in tables.
+    A few such words (SOUGHT_WORDS) are sought in each text.  More of them by an index of trigrams: each is filed under its rarest
+    trigram (that of the fewest words of the watchlist; words of two characters under themselves), the documents' different tokens
+    meet the index by their trigrams in an equi-join, and what meets is checked with contains; documents are then those with such a
+    token, told by the digests of their texts: no text travels with its tokens.  A keyword whose longest word has under two
+    characters switches the cut off.  The watchlist stays in tables.
     """
     form = F.when(F.col("language") == "ur", "ur").otherwise("en")
     words = keywords.select(form.alias("form"), T.longest_token(T.normalize_text(F.col("text"), F.col("language"))).alias("w")).where("w != ''").distinct()
+    words = written(words, "words")
     shortest = words.agg(F.min(F.length("w"))).first()[0]
     if shortest is None or shortest < 2:
         return docs.where("false") if shortest is None else docs
+    few = words.limit(SOUGHT_WORDS + 1).collect()
+    if len(few) <= SOUGHT_WORDS:
+        return _with_any(docs, few, text_col)
     sizes = [3] if shortest > 2 else [2, 3]
     own = F.when(F.length("w") == 2, F.array("w")).otherwise(_grams(F.col("w"), 3))
     filed = words.select("form", "w", F.explode(own).alias("gram"))
     many = filed.groupBy("form", "gram").agg(F.count("*").alias("n"))
     index = filed.join(small(many), ["form", "gram"]).groupBy("form", "w").agg(F.min(F.struct("n", "gram")).alias("rarest")).select("form", F.col("rarest.gram").alias("gram"), "w")
-    index = small(index)
+    index = small(written(index, "trigrams"))
     kinds = [r[0] for r in words.select("form").distinct().collect()]
-    normal = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), T.normalize_text(F.col("_text"), k, compose=False).alias("normal")) for k in kinds])).alias("f")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(c) for c in docs.columns]).alias("_own"), T.composed(F.coalesce(text_col, F.lit(""))).alias("_text"))
-    tokens = rows.select("_row", "_own", normal).select("_row", "_own", "f.form", F.explode(F.array_distinct(F.split("f.normal", " "))).alias("token"))
-    # Such a word lies within what stands between two spaces, so each different token of the corpus is looked at once.
-    known = tokens.select("form", "token").distinct().select("*", F.explode(F.concat(*[_grams(F.col("token"), n) for n in sizes])).alias("gram"))
-    met = known.join(index, ["form", "gram"]).where(F.contains("token", F.col("w"))).select("form", "token").distinct()
-    return tokens.join(small(met), ["form", "token"]).dropDuplicates(["_row"]).select("_own.*")
+    # Words of letters and digits lie within what stands between other signs, of which there are fewer different ones than between spaces.
+    signs = {r[0] for r in words.where(~F.col("w").rlike(f"^{T.WORD}+$")).select("form").distinct().collect()}
+
+    def tokens_of(normal: Column, k: str) -> Column:
+        chunks = F.array_distinct(F.split(normal, " "))
+        return chunks if k in signs else F.array_distinct(T.word_tokens(F.array_join(chunks, " ")))
+
+    digest = F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    texts = docs.select(digest.alias("_digest"), T.composed(F.coalesce(text_col, F.lit(""))).alias("_text"))
+    forms = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), tokens_of(T.normalize_text(F.col("_text"), k, compose=False), k).alias("tokens")) for k in kinds])).alias("f")
+    tokens = texts.select("_digest", forms).select("_digest", "f.form", F.explode("f.tokens").alias("token"))
+    known = tokens.select("form", "token").distinct().select("*", F.explode(F.array_distinct(F.concat(*[_grams(F.col("token"), n) for n in sizes]))).alias("gram"))
+    met = written(known.join(index, ["form", "gram"]).where(F.contains("token", F.col("w"))).select("form", "token").distinct(), "tokens")
+    good = written(tokens.join(small(met), ["form", "token"]).select("_digest").distinct(), "digests")
+    return docs.withColumn("_digest", digest).join(small(good, 1_000_000), "_digest", "left_semi").drop("_digest")
+
+
+def _with_any(docs: DataFrame, words: list, text_col: str) -> DataFrame:
+    """docs whose normal form (of the words' own form) contains one of the words (form, w)."""
+    text = docs.withColumn("_text", T.composed(F.coalesce(text_col, F.lit(""))))
+    holds = F.lit(False)
+    for kind in ("en", "ur"):
+        own = [r.w for r in words if r.form == kind]
+        if own:
+            wanted = F.array(*map(F.lit, own))
+            normal = F.array(T.normalize_text(F.col("_text"), kind, compose=False))  # an array of one, so that it is made once
+            holds = holds | F.exists(normal, lambda n: F.exists(wanted, lambda w: F.contains(n, w)))  # noqa: B023
+    return text.where(holds).drop("_text")
 
 
 def labels_per_document(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:
