@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressglass.functions import text as T
-from pressglass.operators.match import keyword_fingerprint, prepared
+from pressglass.operators.match import found, keyword_fingerprint, listed, prepared
 from pressglass.sizes import small
 
 CATCH_UP = "4 days"
@@ -17,10 +17,13 @@ CATCH_UP = "4 days"
 def stream_matches(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, keyword, language as documents come: static watchlist of any length, every match once (append).
 
-    A text's distinct words and signs meet the keywords that they lead (by their longest one) in a join with the static watchlist;
+    A watchlist of up to PLAN_KEYWORDS keywords stands in the plan, and each text is matched within its row.  Of a longer one: a text's distinct words and signs meet the keywords that they lead (by their longest one) in a join with the static watchlist;
     single words are sure then, a phrase is sought between spaces among the text's words and signs, one glued to signs by its
     pattern.  Nothing is aggregated, so no state is kept.
     """
+    rows = listed(keywords)
+    if rows is not None:
+        return docs.select(id_col, F.explode(found(T.composed(F.coalesce(text_col, F.lit(""))), rows)).alias("m")).select(id_col, "m.*")
     lead = F.aggregate("tokens", F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
     sure = (F.size("tokens") == 1) & F.get("tokens", F.lit(0)).rlike(T.WORD)
     entries = prepared(keywords).select("keyword", "language", "form", "pattern", "plain", lead.alias("lead"), sure.alias("sure"), F.concat(F.lit(" "), "normal", F.lit(" ")).alias("padded"))
