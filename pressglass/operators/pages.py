@@ -23,6 +23,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 DATE_META = ("article:published_time", "article:modified_time", "datePublished", "publish-date", "pubdate", "date", "og:updated_time")
 LINKED_DATES = ("datePublished", "dateCreated", "dateModified")
 LINKED_DEPTH = 4
+#: Pages that are parsed before what was found in them is handed on.
+PAGES = 16
+ARROW_PAGES = 128
 
 
 def parse_selector(selector: str) -> list[tuple[str, dict[str, str | None]]]:
@@ -117,15 +120,24 @@ class _Reader(HTMLParser):
                 pieces.append(piece)
 
 
+def few_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of PAGES rows: what is found in a page may be many times its size, as blocks within blocks have their text each."""
+    return (b.slice(i, PAGES) for b in batches for i in range(0, b.num_rows, PAGES))
+
+
 def read_html(pages: DataFrame, id_col: str = "page_id", keep: tuple[str, ...] = (), selector: str | None = None) -> DataFrame:
     """id and the columns in keep, paragraphs, blocks (arrays of text), anchors (array of href, title, inside) of each page, box (text of
     the selector's container, null if there is none) and box_paragraphs; null html has none."""
+    # Batches of pages that Spark hands over are small, too (a session's setting, as Arrow batches have no other).
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(pages.sparkSession.conf.get(conf, "10000")) <= ARROW_PAGES:
+        pages.sparkSession.conf.set(conf, str(ARROW_PAGES))
     wanted = parse_selector(selector) if selector else None
     columns = list(dict.fromkeys([id_col, *keep]))
     kinds = {f"c{i}": pages.schema[c].dataType.simpleString() for i, c in enumerate(columns)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             paragraphs, blocks, anchors, boxes, inner = [], [], [], [], []
             for html in batch.column("html").to_pylist():
                 r = _Reader(wanted)
