@@ -22,7 +22,8 @@ are all in one component are done; in small ones the members are compared where
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ SKETCHES = [f"s{i}" for i in range(SKETCH)]
 #: Cells of the table that says which shingles are frequent: its size is fixed (4 bytes each). It travels in slices.
 CELL_BITS = 22
 CELLS, SLICES = 1 << CELL_BITS, 64
+#: Parts of the cells, and of the points, that are dealt out in turn: the others' shuffle files aren't on disk meanwhile.
+CELL_PARTS, POINT_PARTS = 2, 4
 #: Entries of cells in an Arrow batch, and characters of texts that are cut up at once.
 STEP, AT_ONCE = 100_000, 1 << 20
 
@@ -138,29 +141,40 @@ def _lead(at: np.ndarray, rid: np.ndarray, near: np.ndarray | bool = False) -> n
     return (np.asarray(near, np.int64) << 62) | (np.minimum(at, 127) << RID_BITS) | rid
 
 
-def _set_cells(texts: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
-    """cell, lead for the first |x| - ceil(t |x|) + 1 shingles of each set x, rare ones first."""
+def _set_cells(texts: DataFrame, order: np.ndarray, k: int, percent: int, parts: int = 1) -> list[DataFrame]:
+    """cell, lead for the first |x| - ceil(t |x|) + 1 shingles of each set x, rare ones first: so many parts of the cells."""
     shared = texts.sparkSession.sparkContext.broadcast(order)  # CELLS numbers, whatever the input
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells, counts = [], []
             for s in shingle_sets([_unpacked(x) for x in batch.column("body").to_pylist()], k):
                 counts.append(len(s) - -(-percent * len(s) // 100) + 1)
-                cells.append(s[np.lexsort((s, shared.value[_cells(s)]))[: counts[-1]]])
-            at = np.concatenate([np.arange(c) for c in counts])
-            lead = _lead(at, np.repeat(batch.column("rid").to_numpy(), counts))
-            cell = np.concatenate(cells).view(np.int64)
+                cells.append(s[np.argsort(shared.value[_cells(s)], kind="stable")[: counts[-1]]])  # s ascends
+            if not cells:
+                continue
+            cell = np.concatenate(cells)
+            own = np.flatnonzero(cell % np.uint64(parts) == np.uint64(part))
+            at = np.concatenate([np.arange(c) for c in counts])[own]
+            lead = _lead(at, np.repeat(batch.column("rid").to_numpy(), counts)[own])
+            cell = cell[own].view(np.int64)
             for i in range(0, len(cell), STEP):
                 yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + STEP]), pa.array(lead[i : i + STEP])], names=["cell", "lead"])
 
-    return texts.mapInArrow(each, "cell long, lead long")
+    return [texts.mapInArrow(partial(each, part), "cell long, lead long") for part in range(parts)]
+
+
+def _regions(parts: list[DataFrame], tables: Scratch) -> DataFrame:
+    """parts: cell, lead, and component where known, no cell in two of them -> pivot, rid of the cells that more than one set (or
+    component) lies in.  Entries of one part are on disk at a time, and once."""
+    found = [tables.stored(_regions_of(entries, tables), "part") for entries in parts]
+    return tables.stored(reduce(DataFrame.union, found).distinct(), "regions")
 
 
-def _regions(entries: DataFrame, tables: Scratch) -> DataFrame:
-    """entries: cell, lead, and component where known -> pivot, rid of the cells that more than one set (or component) lies in."""
-    parts = "component" if "component" in entries.columns else "lead"
-    heads = entries.groupBy("cell").agg(F.min("lead").alias("head"), F.min(parts).alias("low"), F.max(parts).alias("high"))
+def _regions_of(entries: DataFrame, tables: Scratch) -> DataFrame:
+    """pivot, rid of some cells, see _regions()."""
+    group = "component" if "component" in entries.columns else "lead"
+    heads = entries.groupBy("cell").agg(F.min("lead").alias("head"), F.min(group).alias("low"), F.max(group).alias("high"))
     heads = heads.where("low != high").select("cell", F.col("cell").alias("twin"), F.col("head").bitwiseAND(RID_MASK).alias("pivot"))
     heads = tables.stored(heads, "heads")  # so that entries are on disk once at a time
     # Joined on more than the grouping key: both sides are dealt out anew, so that AQE can split a cell with many sets.
@@ -210,6 +224,11 @@ def _known(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(each, ", ".join(["rid long", "body binary", "n long", *(f"{c} long" for c in SKETCHES)]))
 
 
+def _part(df: DataFrame, i: int) -> DataFrame:
+    """The rows of df that belong to a part of the points."""
+    return df.where(F.pmod(F.xxhash64("rid"), F.lit(POINT_PARTS)) == i)
+
+
 def _sized(regions: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """regions: pivot, rid -> the same with n, s0 .., and maybe_near: sizes and sketches leave room for a link to the pivot."""
     own = regions.join(known.select("rid", "n", *SKETCHES), "rid")
@@ -335,16 +354,20 @@ def components(links: DataFrame, tables: Scratch) -> DataFrame:
             return tables.stored(found, "found")
 
 
-def _components_of_links(texts: DataFrame, points: Scratch, tables: Scratch, k: int, percent: int) -> DataFrame:
-    """texts: rid, body of each point, in the scope points, which ends here -> rid, component of the linked ones."""
-    entries, bodies, known, parts = _set_cells(texts, _frequent(texts, k), k, percent), None, None, None
+def _components_of_links(points: list[tuple[Scratch, DataFrame]], tables: Scratch, k: int, percent: int) -> DataFrame:
+    """points: rid, body of each point, by parts, each in a scope of its own that ends here -> rid, component of the linked ones."""
+    texts = reduce(DataFrame.union, [part for _, part in points])
+    entries, bodies, known, parts = _set_cells(texts, _frequent(texts, k), k, percent, CELL_PARTS), None, None, None
     for level in range(1, LEVELS + 1):
-        regions = tables.stored(_regions(entries, tables), "regions")
+        regions = _regions(entries, tables)
         if bodies is None:
-            inside = regions.select("rid").union(regions.select("pivot")).distinct()
-            known_sets = tables.stored(_known(texts.join(inside.hint("merge"), "rid", "left_semi"), k), "known")
+            inside = tables.stored(regions.select("rid").union(regions.select("pivot")).distinct(), "inside")
+            known_parts = []
+            for i, (scope, part) in enumerate(points):
+                known_parts.append(tables.stored(_known(part.join(_part(inside, i).hint("merge"), "rid", "left_semi"), k), "known"))
+                scope.remove()  # nothing reads the part's texts any more
+            known_sets = reduce(DataFrame.union, known_parts)
             bodies = known_sets.select("rid", "body")
-            points.remove()  # nothing reads the texts any more
         sized = tables.stored(_sized(regions, known_sets, percent), "sized")
         measured, new = tables.counted(_measured(sized.where("maybe_near"), bodies, k, percent), "measured", links=F.col("near"))
         found = measured.where("near").select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
@@ -369,7 +392,7 @@ def _components_of_links(texts: DataFrame, points: Scratch, tables: Scratch, k:
                 parts = components(known, tables)
         if not n["crowded"]:
             return parts
-        entries = tables.stored(_difference_cells(mixed_.where("crowded"), bodies, k, percent), "differences")
+        entries = [tables.stored(_difference_cells(mixed_.where("crowded"), bodies, k, percent), "differences")]
     raise AssertionError("no region is crowded at the last level")
 
 
@@ -396,10 +419,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
         equal = sets.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("point"), F.min("n_shingles").alias("n_shingles"))
         member = tables.stored(sets.join(equal, ["digest", "n_shingles"]).select("rid", "id", "point"), "members")
         first = member.where("rid = point").select("rid")
-        packed = read.select("rid", "text").mapInArrow(pack, "rid long, body binary")
-        points = tables.inner("points")
-        texts = points.stored(packed.join(first.hint("merge"), "rid", "left_semi"), "points")
-        parts = _components_of_links(texts, points, tables, k, percent)
+        points = []
+        for i in range(POINT_PARTS):
+            packed = _part(read.select("rid", "text"), i).mapInArrow(pack, "rid long, body binary")
+            scope = tables.inner("points")
+            points.append((scope, scope.stored(packed.join(_part(first, i).hint("merge"), "rid", "left_semi"), "points")))
+        parts = _components_of_links(points, tables, k, percent)
         whole = member.join(parts.withColumnRenamed("rid", "point"), "point", "left")
         whole = tables.stored(whole.select("rid", "id", F.coalesce("component", "point").alias("component")), "whole")
         names = whole.groupBy("component").agg(F.min("id").alias("component_id")).withColumn("twin", F.col("component"))

@@ -161,3 +161,25 @@ def test_components_of_long_chains(spark):
     with Scratch(spark, "test") as tables:
         got = {r.rid: r.component for r in jaccard.components(spark.createDataFrame(links, "a long, b long"), tables).collect()}
     assert all(got[i] == 1 for i in range(1, 121)) and got[502] == 500
+
+
+def test_cells_by_parts_are_all_cells_once(spark, tmp_path):
+    """Parts of the cells are dealt out in turn, which bounds what is on disk at a time; together they are all entries."""
+    rng = random.Random(8)
+    texts = [(i, jaccard._packed(" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 60))))) for i in range(60)]
+    df = spark.createDataFrame(texts, "rid long, body binary")
+    order = jaccard._frequent(df, 5)
+    (whole,) = jaccard._set_cells(df, order, 5, 80)
+    parts = [[tuple(r) for r in part.collect()] for part in jaccard._set_cells(df, order, 5, 80, 3)]
+    assert all(parts) and sorted(sum(parts, [])) == sorted(tuple(r) for r in whole.collect())
+    for i, part in enumerate(parts):
+        assert all((cell & (1 << 64) - 1) % 3 == i for cell, _ in part)
+
+
+def test_no_text_is_left_once_the_sets_are_known(spark, tmp_path, monkeypatch):
+    """Each part of the points goes as soon as its sets are known, before the next part's are."""
+    events, remove, known = [], Scratch.remove, jaccard._known
+    monkeypatch.setattr(Scratch, "remove", lambda self: (events.append("gone" if "/points-" in self.folder else "end"), remove(self)))
+    monkeypatch.setattr(jaccard, "_known", lambda *a: (events.append("known"), known(*a))[1])
+    check(spark, [(i, " ".join(f"w{j}" for j in range(i % 5, 30))) for i in range(40)], tmp_path)
+    assert events == ["known", "gone"] * jaccard.POINT_PARTS + ["end"]
